@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import decontaminate, mixing, quality_rules, sharding
+from webloom.llm import decontaminate, html_cut, langid, mixing, pii, quality_rules, sharding
 from webloom.llm.common import table
 
 
@@ -18,10 +18,22 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_html_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_cut.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -29,7 +41,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
+    "op3_html_cut": op3_html_cut,
     "op4_decontaminate": op4_decontaminate,
+    "op5_langid": op5_langid,
+    "op7_pii": op7_pii,
     "op9_mixing": op9_mixing,
 }
 
