@@ -57,17 +57,26 @@ def released(*frames: DataFrame) -> None:
             hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """Apply ``fn`` (record batch -> columns by name, or None for no rows) to every Arrow batch."""
-    names = [f.name for f in df.sparkSession.createDataFrame([], schema).schema]
+#: Bytes and rows of a batch that Python works on at once: bounds a worker's memory.
+SLICE_BYTES, SLICE_ROWS = 4 << 20, 2048
+
+
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, whole: bool = False) -> DataFrame:
+    """Apply ``fn`` (record batch -> columns by name, or None for no rows) to slices of every Arrow batch.
+
+    ``whole``: to whole batches, for functions that return a few rows a batch.
+    """
     target = pa.schema(_arrow_fields(df.sparkSession.createDataFrame([], schema)))
+    names = target.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
+            n = batch.num_rows
+            step = n if whole else max(1, min(SLICE_ROWS, SLICE_BYTES * n // max(1, batch.nbytes)))
+            for at in range(0, n, step or 1):
+                out = fn(batch.slice(at, step))
                 if out is not None:
-                    yield pa.RecordBatch.from_arrays([_array(out[n], target.field(n).type) for n in names], schema=target)
+                    yield pa.RecordBatch.from_arrays([_array(out[c], target.field(c).type) for c in names], schema=target)
 
     return df.mapInArrow(run, schema)
 

@@ -4,11 +4,11 @@ A window is 13 consecutive words of a benchmark item (a shorter item is one wind
 only if it contains the window's rarest word, so for containment 1.0 the necessary prefix of a window is that single
 word, in the global order by document frequency over the whole corpus. Document words that are some window's prefix
 word become candidates with the words around them; the position of the prefix word in the window bounds where the
-window can lie in the document (positional and length bounds), and the words are then compared exactly.
+window can lie in the document (positional and length bounds), and the words before and after it are then compared exactly.
 
-The only thing sent to every task is a bit map over hashed benchmark words whose size is chosen from the number of
-distinct benchmark words and capped (``max_bits``); beyond the cap it only lets more words through to the join, which
-decides. The windows themselves are joined, not broadcast, so the benchmark can grow as well.
+Words reach the join only if bit maps over hashed benchmark words hold them and their pair with the next word; the
+bit maps are sized by the benchmark's vocabulary and capped (``max_bits``): beyond the cap they only let more words
+through to the join, which decides. The windows themselves are joined, not broadcast, so the benchmark can grow as well.
 
 Edge cases: null or empty texts and items have no words; an item of 1 to 12 words is one window; repeated items with
 one id count once; repeated document rows are judged row by row; extra columns are ignored.
@@ -58,7 +58,7 @@ def benchmark_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     return arrow_map(items, run, "item_id string, words array<string>").distinct()
 
 
-def word_bitmap(words: DataFrame, max_bits: int = 1 << 28) -> np.ndarray:
+def bitmap(words: DataFrame, max_bits: int = 1 << 28) -> np.ndarray:
     """A bit per hashed word; ``words`` has one column ``word``. Sixteen bits a word, at most ``max_bits``."""
     n = words.count()
     bits = 1 << max(10, min(max_bits.bit_length() - 1, int(16 * max(1, n)).bit_length()))
@@ -74,63 +74,89 @@ def word_bitmap(words: DataFrame, max_bits: int = 1 << 28) -> np.ndarray:
     return out
 
 
-def document_frequency(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
+def _has(table: np.ndarray, word: bytes) -> bool:
+    s = _slot(word, len(table) << 3)
+    return bool(table[s >> 3] >> (s & 7) & 1)
+
+
+def _known(words: set[bytes], known: dict[bytes, bool], table: np.ndarray) -> set[bytes]:
+    """Those of ``words`` in the bit map; ``known`` remembers answers and is emptied when it grows large."""
+    if len(known) > 200_000:
+        known.clear()
+    hits = set()
+    for w in words:
+        hit = known.get(w)
+        if hit is None:
+            hit = known[w] = _has(table, w)
+        if hit:
+            hits.add(w)
+    return hits
+
+
+def document_frequency(docs: DataFrame, table: np.ndarray) -> DataFrame:
     """(word, df) over all documents for the words that the bit map lets through."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
-    def run(batch: pa.RecordBatch) -> dict:
-        known: dict[bytes, bool] = {}
+    def run(batch: pa.RecordBatch, known: dict[bytes, bool] = {}) -> dict:  # noqa: B006  one for each task
         counts: dict[bytes, int] = {}
-        table = shared.value
-        bits = len(table) << 3
         for text in batch.column("text").to_pylist():
-            for w in set(words_of(text)):
-                if (hit := known.get(w)) is None:
-                    s = _slot(w, bits)
-                    hit = known[w] = bool(table[s >> 3] >> (s & 7) & 1)
-                if hit:
-                    counts[w] = counts.get(w, 0) + 1
+            for w in _known(set(words_of(text)), known, shared.value):
+                counts[w] = counts.get(w, 0) + 1
         return {"word": [w.decode("utf-8", "surrogatepass") for w in counts], "df": list(counts.values())}
 
-    return arrow_map(core(docs, "text"), run, "word string, df long").groupBy("word").agg(F.sum("df").alias("df"))
+    return arrow_map(core(docs, "text"), run, "word string, df long", whole=True).groupBy("word").agg(F.sum("df").alias("df"))
 
 
 def prefixes(windows: DataFrame, frequency: DataFrame) -> DataFrame:
-    """Each window with its rarest word (``token``; ties by the word, then the first place) and that word's place ``off``."""
+    """Each window with its rarest word (``token``; ties by the word, then the first place), the words before and after it
+    (``pre``, ``post``; joined by spaces) and the ``sign`` of the token and its neighbour."""
     placed = windows.withColumn("wid", F.xxhash64("item_id", "words")).select("wid", "item_id", "words", F.posexplode("words").alias("off", "token"))
     rare = placed.join(frequency, F.col("token") == F.col("word"), "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    first = F.min(F.struct("df", "token", "off")).alias("first")
-    return rare.groupBy("wid", "item_id", "words").agg(first).select("item_id", "words", F.size("words").alias("len"), "first.token", "first.off")
+    first = rare.groupBy("wid", "item_id", "words").agg(F.min(F.struct("df", "token", "off")).alias("first"))
+    n, off = F.size("words"), F.col("off")
+    out = first.select("item_id", "words", n.alias("len"), "first.token", "first.off")
+    after, before = F.element_at("words", F.least(off + 2, n)), F.element_at("words", F.greatest(off, F.lit(1)))
+    sign = F.when(off + 1 < n, F.concat_ws(" ", "token", after)).when(off > 0, F.concat_ws(" ", before, "token", F.lit(""))).otherwise(F.col("token"))
+    return out.select(
+        "item_id", "len", "token", "off", sign.alias("sign"),
+        F.array_join(F.slice("words", F.lit(1), off), " ").alias("pre"),
+        F.array_join(F.slice("words", off + 2, n), " ").alias("post"),
+    )
 
 
-def candidates(docs: DataFrame, bitmap: np.ndarray, size: int = SIZE) -> DataFrame:
-    """Per document row its word count and, for each word that may be a prefix word, the words around it."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+def candidates(docs: DataFrame, tokens: np.ndarray, signs: np.ndarray, size: int = SIZE) -> DataFrame:
+    """Per document row its word count and, for each word that may be a prefix word beside its neighbour, the words around it."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((tokens, signs))
 
-    def run(batch: pa.RecordBatch) -> dict:
-        known: dict[bytes, bool] = {}
-        table = shared.value
-        bits = len(table) << 3
+    def run(batch: pa.RecordBatch, known: dict[bytes, bool] = {}) -> dict:  # noqa: B006  one for each task
+        table, pairs = shared.value
         n_words, found = [], []
         for text in batch.column("text").to_pylist():
             words = words_of(text)
-            n_words.append(len(words))
+            n = len(words)
+            n_words.append(n)
             own = []
-            for w in set(words):
-                if w not in known:
-                    s = _slot(w, bits)
-                    known[w] = bool(table[s >> 3] >> (s & 7) & 1)
-            hits = {w for w in set(words) if known[w]}
+            hits = _known(set(words), known, table)
             if hits:
                 for i, w in enumerate(words):
-                    if w in hits:
-                        at = min(i, size - 1)
-                        around = [x.decode("utf-8", "surrogatepass") for x in words[i - at : i + size]]
-                        own.append({"pos": i, "at": at, "around": around})
+                    if w in hits and (i + 1 < n and _has(pairs, w + b" " + words[i + 1]) or i and _has(pairs, words[i - 1] + b" " + w + b" ") or _has(pairs, w)):
+                        left = words[max(0, i - size + 1) : i]
+                        right = words[i + 1 : i + size]
+                        own.append(
+                            {
+                                "pos": i,
+                                "n_left": len(left),
+                                "n_right": len(right),
+                                "token": w.decode("utf-8", "surrogatepass"),
+                                "left": b" ".join(left).decode("utf-8", "surrogatepass"),
+                                "right": b" ".join(right).decode("utf-8", "surrogatepass"),
+                            }
+                        )
             found.append(own)
         return {"doc_id": batch.column("doc_id"), "n_words": n_words, "found": found}
 
-    schema = "doc_id long, n_words long, found array<struct<pos:int,at:int,around:array<string>>>"
+    schema = "doc_id long, n_words long, found array<struct<pos:int,n_left:int,n_right:int,token:string,left:string,right:string>>"
     return arrow_map(core(docs, "doc_id", "text"), run, schema)
 
 
@@ -138,13 +164,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> Da
     """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and 20 * n_hit >= n_words)."""
     windows = written(benchmark_windows(benchmark, size), "op4-windows")
     vocabulary = windows.select(F.explode("words").alias("word")).distinct()
-    frequency = document_frequency(docs, word_bitmap(vocabulary))
+    frequency = document_frequency(docs, bitmap(vocabulary))
     prefix = written(prefixes(windows, frequency), "op4-prefixes")
-    rows = written(candidates(docs, word_bitmap(prefix.select(F.col("token").alias("word")).distinct()), size).withColumn("rid", F.monotonically_increasing_id()), "op4-rows")
-    each = rows.select("rid", F.explode("found").alias("x")).select("rid", "x.pos", "x.at", "x.around", F.element_at("x.around", F.col("x.at") + 1).alias("token"))
-    fits = (F.col("off") <= F.col("at")) & (F.col("at") - F.col("off") + F.col("len") <= F.size("around"))  # positional and length bounds
-    same = F.slice("around", F.when(fits, F.col("at") - F.col("off") + 1).otherwise(1), F.col("len")) == F.col("words")
-    hits = each.join(prefix, "token").filter(fits & same).select("rid", "item_id", (F.col("pos") - F.col("off")).alias("start"), "len")
+    tokens, signs = (bitmap(prefix.select(F.col(c).alias("word")).distinct()) for c in ("token", "sign"))
+    rows = written(candidates(docs, tokens, signs, size).withColumn("rid", F.monotonically_increasing_id()), "op4-rows")
+    each = rows.select("rid", F.explode("found").alias("x")).select("rid", "x.*")
+    fits = (F.col("off") <= F.col("n_left")) & (F.col("len") - F.col("off") - 1 <= F.col("n_right"))  # positional and length bounds
+    before = (F.col("pre") == "") | F.endswith(F.concat(F.lit(" "), "left"), F.concat(F.lit(" "), "pre"))
+    after = (F.col("post") == "") | F.startswith(F.concat("right", F.lit(" ")), F.concat("post", F.lit(" ")))
+    hits = each.join(prefix, "token").filter(fits & before & after).select("rid", "item_id", (F.col("pos") - F.col("off")).alias("start"), "len")
     # The union of the hit runs: each run counts what lies beyond all runs that start before it.
     runs = hits.groupBy("rid", "start").agg(F.max(F.col("start") + F.col("len")).alias("end"))
     reach = F.max("end").over(Window.partitionBy("rid").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))

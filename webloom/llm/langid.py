@@ -176,7 +176,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> MaskFilter:
             return {"lang": [], "key": [], "n": []}
         return {"lang": np.concatenate(langs), "key": np.concatenate(keys), "n": np.concatenate(counts)}
 
-    grammed = arrow_map(sample.select("text", "lang"), run, "lang int, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).filter("n > 1").toPandas()
+    grammed = arrow_map(sample.select("text", "lang"), run, "lang int, key long, n long", whole=True).groupBy("lang", "key").agg(F.sum("n").alias("n")).filter("n > 1").toPandas()
     total = grammed.groupby("lang")["n"].sum()
     grammed["share"] = grammed["n"] / grammed["lang"].map(total)
     top = grammed.groupby("key")["share"].transform("max")
