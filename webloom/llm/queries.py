@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import decontaminate, html_cut, langid, mixing, pii, quality_rules, sharding
+from webloom.llm import decontaminate, html_cut, langid, mixing, ngram_join, pii, quality_rules, sharding, weak_quality
 from webloom.llm.common import table
 
 
@@ -34,10 +34,18 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
@@ -45,7 +53,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_langid": op5_langid,
     "op7_pii": op7_pii,
+    "op8_ngram_join": op8_ngram_join,
     "op9_mixing": op9_mixing,
+    "op10_weak_quality": op10_weak_quality,
 }
 
 ORACLES: dict[str, str] = {}
