@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import decontaminate, html_cut, langid, mixing, ngram_join, pii, quality_rules, sharding, weak_quality
+from webloom.llm import decontaminate, html_cut, langid, mixing, ngram_join, pii, quality_rules, sharding, suffix_dedup, weak_quality
 from webloom.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_cut": op3_html_cut,
     "op4_decontaminate": op4_decontaminate,
     "op5_langid": op5_langid,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_pii": op7_pii,
     "op8_ngram_join": op8_ngram_join,
     "op9_mixing": op9_mixing,
