@@ -6,9 +6,9 @@ word, in the global order by document frequency over the whole corpus. Document
 word become candidates with the words around them; the position of the prefix word in the window bounds where the
 window can lie in the document (positional and length bounds), and the words before and after it are then compared exactly.
 
-Words reach the join only if bit maps over hashed benchmark words hold them and their pair with the next word; the
-bit maps are sized by the benchmark's vocabulary and capped (``max_bits``): beyond the cap they only let more words
-through to the join, which decides. The windows themselves are joined, not broadcast, so the benchmark can grow as well.
+Words reach the join only if the benchmark's prefix words hold them, and its prefix pairs hold them with the next word.
+Up to MOST_WORDS words are sent to the tasks as they are; a larger vocabulary as a bit map of hashed words, sized by it
+and capped (``max_bits``), which at worst lets more words through to the join, which decides. The windows themselves are joined, not broadcast, so the benchmark can grow as well.
 
 Edge cases: null or empty texts and items have no words; an item of 1 to 12 words is one window; repeated items with
 one id count once; repeated document rows are judged row by row; extra columns are ignored.
@@ -17,6 +17,8 @@ one id count once; repeated document rows are judged row by row; extra columns a
 from __future__ import annotations
 
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from webloom.llm.common import arrow_map, core, written
 
 SIZE = 13
+#: Words up to which a vocabulary is sent to the tasks as it is.
+MOST_WORDS = 200_000
 #: Bytes that are no part of a word become spaces, A-Z become a-z.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -79,29 +83,43 @@ def _has(table: np.ndarray, word: bytes) -> bool:
     return bool(table[s >> 3] >> (s & 7) & 1)
 
 
-def _known(words: set[bytes], known: dict[bytes, bool], table: np.ndarray) -> set[bytes]:
-    """Those of ``words`` in the bit map; ``known`` remembers answers and is emptied when it grows large."""
-    if len(known) > 200_000:
-        known.clear()
-    hits = set()
-    for w in words:
-        hit = known.get(w)
-        if hit is None:
-            hit = known[w] = _has(table, w)
-        if hit:
-            hits.add(w)
-    return hits
+class Vocabulary:
+    """Membership of words: the words themselves up to ``MOST_WORDS`` of them, beyond that a bit map that may let others through."""
+
+    def __init__(self, words: DataFrame):
+        few = [r["word"] for r in words.limit(MOST_WORDS + 1).collect()]
+        self.words = frozenset(w.encode("utf-8", "surrogatepass") for w in few) if len(few) <= MOST_WORDS else None
+        self.table = bitmap(words) if self.words is None else None
+        self.known: dict[bytes, bool] = {}
+
+    def of(self, words: set[bytes]) -> set[bytes]:
+        """Those of ``words`` that are in it; answers of the bit map are remembered, and forgotten when there are many."""
+        if self.words is not None:
+            return words & self.words
+        if len(self.known) > 200_000:
+            self.known.clear()
+        hits = set()
+        for w in words:
+            hit = self.known.get(w)
+            if hit is None:
+                hit = self.known[w] = _has(self.table, w)
+            if hit:
+                hits.add(w)
+        return hits
+
+    def __contains__(self, word: bytes) -> bool:
+        return word in self.words if self.words is not None else _has(self.table, word)
 
 
-def document_frequency(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """(word, df) over all documents for the words that the bit map lets through."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+def document_frequency(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(word, df) over all documents for the words of the vocabulary."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def run(batch: pa.RecordBatch, known: dict[bytes, bool] = {}) -> dict:  # noqa: B006  one for each task
-        counts: dict[bytes, int] = {}
+    def run(batch: pa.RecordBatch) -> dict:
+        counts: Counter[bytes] = Counter()
+        known = shared.value
         for text in batch.column("text").to_pylist():
-            for w in _known(set(words_of(text)), known, shared.value):
-                counts[w] = counts.get(w, 0) + 1
+            counts.update(known.of(set(words_of(text))))
         return {"word": [w.decode("utf-8", "surrogatepass") for w in counts], "df": list(counts.values())}
 
     return arrow_map(core(docs, "text"), run, "word string, df long", whole=True).groupBy("word").agg(F.sum("df").alias("df"))
@@ -124,35 +142,49 @@ def prefixes(windows: DataFrame, frequency: DataFrame) -> DataFrame:
     )
 
 
-def candidates(docs: DataFrame, tokens: np.ndarray, signs: np.ndarray, size: int = SIZE) -> DataFrame:
+def _places(words: list[bytes], hits: set[bytes]) -> list[int]:
+    """Where in ``words`` the hits are, in order."""
+    if len(hits) > 6:
+        return [i for i, w in enumerate(words) if w in hits]
+    out = []
+    for w in hits:
+        i = -1
+        try:
+            while True:
+                i = words.index(w, i + 1)
+                out.append(i)
+        except ValueError:
+            pass
+    return sorted(out)
+
+
+def candidates(docs: DataFrame, tokens: Vocabulary, signs: Vocabulary, size: int = SIZE) -> DataFrame:
     """Per document row its word count and, for each word that may be a prefix word beside its neighbour, the words around it."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((tokens, signs))
+    shared = docs.sparkSession.sparkContext.broadcast((tokens, signs))
 
-    def run(batch: pa.RecordBatch, known: dict[bytes, bool] = {}) -> dict:  # noqa: B006  one for each task
-        table, pairs = shared.value
+    def run(batch: pa.RecordBatch) -> dict:
+        known, pairs = shared.value
         n_words, found = [], []
         for text in batch.column("text").to_pylist():
             words = words_of(text)
             n = len(words)
             n_words.append(n)
             own = []
-            hits = _known(set(words), known, table)
-            if hits:
-                for i, w in enumerate(words):
-                    if w in hits and (i + 1 < n and _has(pairs, w + b" " + words[i + 1]) or i and _has(pairs, words[i - 1] + b" " + w + b" ") or _has(pairs, w)):
-                        left = words[max(0, i - size + 1) : i]
-                        right = words[i + 1 : i + size]
-                        own.append(
-                            {
-                                "pos": i,
-                                "n_left": len(left),
-                                "n_right": len(right),
-                                "token": w.decode("utf-8", "surrogatepass"),
-                                "left": b" ".join(left).decode("utf-8", "surrogatepass"),
-                                "right": b" ".join(right).decode("utf-8", "surrogatepass"),
-                            }
-                        )
+            for i in _places(words, known.of(set(words))):
+                w = words[i]
+                if (i + 1 < n and w + b" " + words[i + 1] in pairs) or (i and words[i - 1] + b" " + w + b" " in pairs) or w in pairs:
+                    left = words[max(0, i - size + 1) : i]
+                    right = words[i + 1 : i + size]
+                    own.append(
+                        {
+                            "pos": i,
+                            "n_left": len(left),
+                            "n_right": len(right),
+                            "token": w.decode("utf-8", "surrogatepass"),
+                            "left": b" ".join(left).decode("utf-8", "surrogatepass"),
+                            "right": b" ".join(right).decode("utf-8", "surrogatepass"),
+                        }
+                    )
             found.append(own)
         return {"doc_id": batch.column("doc_id"), "n_words": n_words, "found": found}
 
@@ -164,9 +196,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> Da
     """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and 20 * n_hit >= n_words)."""
     windows = written(benchmark_windows(benchmark, size), "op4-windows")
     vocabulary = windows.select(F.explode("words").alias("word")).distinct()
-    frequency = document_frequency(docs, bitmap(vocabulary))
+    frequency = document_frequency(docs, Vocabulary(vocabulary))
     prefix = written(prefixes(windows, frequency), "op4-prefixes")
-    tokens, signs = (bitmap(prefix.select(F.col(c).alias("word")).distinct()) for c in ("token", "sign"))
+    tokens, signs = (Vocabulary(prefix.select(F.col(c).alias("word")).distinct()) for c in ("token", "sign"))
     rows = written(candidates(docs, tokens, signs, size).withColumn("rid", F.monotonically_increasing_id()), "op4-rows")
     each = rows.select("rid", F.explode("found").alias("x")).select("rid", "x.*")
     fits = (F.col("off") <= F.col("n_left")) & (F.col("len") - F.col("off") - 1 <= F.col("n_right"))  # positional and length bounds
