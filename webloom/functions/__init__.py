@@ -1,0 +1 @@
+"""Column functions (JVM-side) and the parser-side functions behind the Arrow operators."""
