@@ -163,3 +163,50 @@ COLOR_NAMES = {
     "708090": "Slate Gray", "2E8B57": "Sea Green", "87CEEB": "Sky Blue", "D2B48C": "Tan", "DDA0DD": "Plum", "DA70D6": "Orchid",
     "191970": "Midnight Blue",
 }
+
+# Wrappers of noise (class and id phrases, exact tokens, token prefixes, roles).
+NOISE_PHRASES = (
+    "sidebar", "table-of-contents", "tableofcontents", "infobox", "navbox", "nav-box", "navigation", "breadcrumb", "cookie", "consent", "banner",
+    "disqus", "advert", "popup", "modal", "subscribe", "printfooter", "catlinks", "mw-panel", "mw-navigation", "sitesub", "jump-to-nav",
+    "mw-editsection", "reflist", "mw-references", "authority-control", "mw-indicators", "sistersitebox", "mbox", "ambox", "ombox", "hatnote",
+    "shortdescription", "sphinxsidebar", "sphinxfooter", "copyright", "dropdown", "city-selector", "location-selector", "lang-selector",
+    "language-selector", "skip-to", "skip-link", "skiplinks", "promo", "promotional", "widget", "widgets", "site-footer", "site-header",
+    "page-footer", "page-header", "global-nav", "global-footer", "global-header", "main-nav", "primary-nav", "secondary-nav", "social-share",
+    "social-links", "social-icons", "follow-us", "site-map", "sitemap", "playground", "railway", "up.railway", "external-link", "sharing",
+    "share", "follow-btn", "follow-container", "btn-follow", "btn-fab", "like-btn", "article-tags", "article-tags-list", "article-tags-element",
+    "tags-link", "option-btn", "btn-share", "sharing-btn", "w-sharing", "expand-extra-info", "extra-content-cta", "main-icon", "icon",
+    "fab-label", "icon-xlarge", "icon-large", "i-follow", "i-share", "i-facebook", "i-x", "i-whatsapp", "i-threads", "i-bluesky", "i-linkedin",
+    "i-reddit", "i-flipboard", "is-hidden", "article-options", "article-topics", "articleTopics", "articleTopicsRow", "linkButtonRow",
+    "reader-comments", "article-reader-comments", "add-comment", "comment-form", "commentForm", "house-rules", "most-read", "most-watched",
+    "dont-miss", "don't miss", "taboola", "ez-modal", "modal-", "column-content",
+)
+NOISE_TOKENS = ("toc", "share", "social", "related", "recommended")
+NOISE_PREFIXES = ("ad-", "ads-")
+NOISE_ROLES = ("navigation", "banner", "contentinfo", "complementary")
+SEMANTIC_TAGS = frozenset(
+    "article section main h1 h2 h3 h4 h5 h6 ul ol li dl dt dd p blockquote pre code table thead tbody tr td th strong em b i u figure figcaption picture label form input".split()
+)
+CONTENT_HINTS = (
+    "article", "content", "main", "body", "post", "story", "entry", "markdown", "markdown-body", "readme", "repository-content", "layout-main",
+    "articlebody", "question", "answer", "mw-parser-output", "page-content", "text", "prose", "readme", "documentation",
+)
+PRIORITY_SELECTORS = ("#readme .markdown-body", "#readme", ".markdown-body", ".repository-content", ".Layout-main", "article", "main", '[role="main"]')
+SCORED_SELECTORS = (
+    "#readme", ".markdown-body", ".repository-content", ".Layout-main", ".post-content", ".article-body", ".entry-content", ".article-content",
+    ".post-body", ".story-body", ".content-body", "#main-content", "#article", "#content", ".content", ".main", '[itemprop="articleBody"]',
+    '[itemprop="text"]', ".main-page-content", ".js-post-body", ".s-prose", "#question", ".page-content", "#page-content", '[role="article"]',
+    ".mw-parser-output", "#mw-content-text", "#bodyContent", ".mw-body-content",
+)
+INNER_SELECTORS = (
+    "#readme", ".markdown-body", ".repository-content", ".Layout-main", ".main-page-content", ".article-content", ".post-content",
+    ".entry-content", ".content-body", ".article-body", '[itemprop="articleBody"]', '[itemprop="text"]', ".mw-parser-output", "#mw-content-text",
+    "#content", ".content", "article",
+)
+
+# Class and id words of the published readability algorithm.
+UNLIKELY = r"(?i)-ad-|ai2html|banner|breadcrumbs|combx|comment|community|cover-wrap|disqus|extra|foot|gdpr|header|legends|menu|related|remark|replies|rss|shoutbox|sidebar|skyscraper|social|sponsor|supplemental|ad-break|agegate|pagination|pager|popup|yom-remote"
+MAYBE = r"(?i)and|article|body|column|main|shadow"
+POSITIVE = r"(?i)article|body|content|entry|hentry|h-entry|main|page|pagination|post|text|blog|story"
+NEGATIVE = r"(?i)hidden|^hid$| hid$| hid |^hid |banner|combx|comment|com-|contact|foot|footer|footnote|gdpr|masthead|media|meta|outbrain|promo|related|scroll|share|shoutbox|sidebar|skyscraper|sponsor|shopping|tags|tool|widget"
+BYLINE = r"(?i)byline|author|dateline|writtenby|p-author"
+EMBEDDED_VIDEO = r"(?i)//(www\.)?((dailymotion|youtube|youtube-nocookie|player\.vimeo|v\.qq)\.com|(archive|upload\.wikimedia)\.org|player\.twitch\.tv)"
