@@ -26,9 +26,10 @@ def contains_any(x: Column, needles: Iterable[str]) -> Column:
 
 
 def first_bytes(x: Column, n: int) -> Column:
-    """The first n bytes of a text, as text: cut between characters where the limit falls inside one."""
+    """The first n bytes of a text, as text: a character that the limit cuts is left out."""
     short = F.octet_length(x) <= n
-    return F.when(short, x).otherwise(F.decode(F.substring(F.encode(x, "UTF-8"), 1, n), "UTF-8"))
+    cut = F.make_valid_utf8(F.substring(F.encode(x, "UTF-8"), 1, n).cast("string"))
+    return F.when(short, x).otherwise(F.rtrim(cut, F.lit("\ufffd")))
 
 
 def replaced(x: Column, pattern: str, by: str = "") -> Column:

@@ -1,2 +1,653 @@
-"""Named queries over the driver tables."""
-QUERIES: dict = {}
+"""Named queries: one for each operator and function family, over the stored tables and small inline inputs."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from webloom.functions import brand, classify, color, html_text, links, pattern, url
+from webloom.functions import fixed
+from webloom.operators import crawl, evaluate, extract, requests, robots, search, sitemap
+from webloom.plans import fixtures as fx
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(fn: Query) -> Query:
+    QUERIES[fn.__name__] = fn
+    return fn
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def with_status(pages: DataFrame) -> DataFrame:
+    """The stored pages have no status: one is made from the id."""
+    k = F.col("page_id") % 10
+    return pages.withColumn("status", F.when(k == 0, 403).when(k == 1, 503).when(k == 2, 404).otherwise(200))
+
+
+def marked(pages: DataFrame) -> DataFrame:
+    """Pages with a block page's marker in front, by id."""
+    m = F.lit("")
+    for i, text in enumerate(fx.MARKERS):
+        m = F.when(F.col("page_id") % len(fx.MARKERS) == i, text).otherwise(m)
+    return pages.withColumn("html", F.concat(m, "html"))
+
+
+# Classification.
+
+
+@query
+def page_body_bytes(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", html_text.body_text_bytes(F.lower("html")).alias("body_bytes"))
+
+
+@query
+def page_escalation(spark, sf_dir):
+    return with_status(table(spark, sf_dir, "pages")).select("page_id", classify.escalation("html", "status").alias("reason"))
+
+
+@query
+def escalation_by_host(spark, sf_dir):
+    d = with_status(table(spark, sf_dir, "pages")).select(url.host("url").alias("host"), classify.escalation("html", "status").alias("reason"))
+    return d.groupBy("host", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def page_vendor_block(spark, sf_dir):
+    return marked(table(spark, sf_dir, "pages")).select("page_id", classify.vendor_block("html").alias("vendor"))
+
+
+@query
+def page_challenge(spark, sf_dir):
+    return marked(table(spark, sf_dir, "pages")).select(
+        "page_id", classify.cf_weak_hits("html").cast("long").alias("weak_hits"), classify.is_cf_challenge("html").alias("challenge"), classify.is_anti_bot_page("html").alias("anti_bot")
+    )
+
+
+@query
+def page_flags(spark, sf_dir):
+    p = marked(table(spark, sf_dir, "pages"))
+    return p.select("page_id", classify.needs_js("html").alias("needs_js"), classify.is_thin("html").alias("thin"), classify.is_bot_wall("html").alias("bot_wall"))
+
+
+@query
+def page_warning(spark, sf_dir):
+    return with_status(marked(table(spark, sf_dir, "pages"))).select("page_id", classify.fetch_warning("html", "status").alias("warning"))
+
+
+@query
+def soft_failure(spark, sf_dir):
+    p = with_status(table(spark, sf_dir, "pages")).withColumn("text", html_text.visible_text(html_text.body_html(F.lower("html"))))
+    return p.select("page_id", classify.is_soft_failure("status", "text", F.lit("")).alias("failed"))
+
+
+@query
+def status_rules(spark, sf_dir):
+    s = fx.frame(spark, fx.STATUS, "status int")
+    return s.select("status", url.status_text("status").alias("text"), classify.is_soft_block("status").alias("soft_block"), classify.is_retriable_status("status").alias("retriable"))
+
+
+@query
+def error_rules(spark, sf_dir):
+    e = fx.frame(spark, fx.ERRORS, "id int, message string")
+    return e.select("id", classify.is_retriable_error("message").alias("retriable"), classify.is_unreachable_error("message").alias("unreachable"))
+
+
+@query
+def fetch_routes(spark, sf_dir):
+    return fx.frame(spark, fx.MODES, "id int, mode string, reason string").select("id", classify.fetch_route("mode", "reason").alias("route"))
+
+
+@query
+def fetch_plan(spark, sf_dir):
+    """Pages that auto mode would fetch again with a browser, by reason."""
+    d = with_status(table(spark, sf_dir, "pages")).select(classify.escalation("html", "status").alias("reason"))
+    return d.filter("reason <> ''").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+# URLs.
+
+
+@query
+def url_normalize_dedup(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", url.normalize_url("url").alias("norm"))
+    return p.groupBy("norm").agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def url_parts(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", *(f("url").alias(n) for n, f in (("host", url.host), ("origin", url.origin), ("path", url.path), ("domain", url.domain))))
+
+
+@query
+def url_safety(spark, sf_dir):
+    u = fx.frame(spark, fx.URLS, "id int, url string")
+    return u.select("id", url.host("url").alias("host"), url.is_safe_url("url").alias("safe"), url.is_binary_path("url").alias("binary"), url.is_excluded_scheme("url").alias("excluded"))
+
+
+@query
+def content_types(spark, sf_dir):
+    c = fx.frame(spark, fx.CONTENT_TYPES, "id int, ct string")
+    clean = url.clean_content_type("ct")
+    return c.select("id", clean.alias("clean"), url.is_binary_content_type(clean).alias("binary"), url.is_pdf_content_type(clean).alias("pdf"))
+
+
+@query
+def cache_keys(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", url.cache_key("url", F.lit("markdown"), F.lit("auto")).alias("key"))
+
+
+@query
+def brand_resolved(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.explode(F.array(F.lit("/logo.png"), F.lit("a?b#c"), F.lit("//cdn.example.com/x"), F.lit("https://example.com/y"))).alias("src"))
+    return p.select("page_id", "src", url.brand_resolve("src", "url").alias("abs_url"))
+
+
+@query
+def blocklist_kept(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.filter(~pattern.is_blocked("url", ("*.example.net/*",))).select("page_id", "url")
+
+
+@query
+def blocklist_blocked(spark, sf_dir):
+    return table(spark, sf_dir, "pages").filter(pattern.is_blocked("url", ("*.example.net/*", "~/en/[0-9]+$"))).select("page_id", "url")
+
+
+@query
+def pattern_rules(spark, sf_dir):
+    rows = fx.frame(spark, fx.PATTERNS, "id int, pattern string, x string, expected boolean")
+    out = F.lit(None).cast("boolean")
+    for i, p, _, _ in fx.PATTERNS:
+        out = F.when(F.col("id") == i, pattern.matches("x", p)).otherwise(out)
+    return rows.select("id", out.alias("matched"))
+
+
+# Links.
+
+
+@query
+def links_raw(spark, sf_dir):
+    return links.anchors(table(spark, sf_dir, "pages")).select("page_id", "ord", "raw")
+
+
+@query
+def links_per_page(spark, sf_dir):
+    return links.anchors(table(spark, sf_dir, "pages")).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("raw").alias("n_distinct"))
+
+
+@query
+def links_rooted(spark, sf_dir):
+    return links.rooted_links(table(spark, sf_dir, "pages"))
+
+
+@query
+def top_anchor_targets(spark, sf_dir):
+    """A report of the twenty most frequent targets."""
+    a = links.anchors(table(spark, sf_dir, "pages")).groupBy("raw").agg(F.count(F.lit(1)).alias("n"))
+    return a.orderBy(F.desc("n"), "raw").limit(20)
+
+
+@query
+def bare_urls(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring("text", 1, 40), F.lit(" see http://www.example.com/a?b=1, and WWW.example.org)"), F.col("doc_id").cast("string")).alias("text"))
+    return d.select("doc_id", F.array_join(links.bare_urls("text"), " ").alias("urls"))
+
+
+@query
+def images_raw(spark, sf_dir):
+    return fx.frame(spark, fx.IMG_PAGES, "id int, html string").select("id", F.array_join(links.raw_images("html"), " ").alias("images"))
+
+
+@query
+def ordered_union(spark, sf_dir):
+    """Links of anchors and of text, each once, in order of first appearance."""
+    p = table(spark, sf_dir, "pages")
+    both = F.array_distinct(F.concat(links.raw_hrefs("html"), links.bare_urls("html")))
+    return p.select("page_id", F.array_join(both, "\n").alias("links"))
+
+
+# Markup and markdown text.
+
+
+@query
+def title_lang(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", html_text.title("html").alias("title"), html_text.html_lang("html").alias("lang"))
+
+
+@query
+def clean_noise(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(html_text.clean_noise("html").cast("binary")).alias("digest"), F.octet_length(html_text.clean_noise("html")).alias("n_bytes"))
+
+
+@query
+def strip_links_images(spark, sf_dir):
+    out = html_text.strip_links_images("html")
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(out.cast("binary")).alias("digest"))
+
+
+@query
+def entities(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(html_text.unescape_entities("html").cast("binary")).alias("plain"), F.md5(html_text.escape_html("html").cast("binary")).alias("escaped"))
+
+
+def _md(d: DataFrame) -> DataFrame:
+    extra = "¶ [¶](#x) ![](/) ![a]() ![b](data:x) ![c](http://i/x.png) [link text](http://example.com/p) § 1\n"
+    return d.select("doc_id", F.concat(F.lit(extra), "text").alias("md"))
+
+
+@query
+def markdown_postprocess(spark, sf_dir):
+    d = _md(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", F.md5(html_text.postprocess_markdown("md").cast("binary")).alias("digest"), F.substring(html_text.postprocess_markdown("md"), 1, 40).alias("head"))
+
+
+@query
+def markdown_links(spark, sf_dir):
+    d = _md(table(spark, sf_dir, "documents"))
+    return d.select(
+        "doc_id", F.md5(html_text.remove_link_syntax("md").cast("binary")).alias("unlinked"), F.md5(html_text.filter_markdown_images("md").cast("binary")).alias("no_images"),
+        F.md5(html_text.searchable("md").cast("binary")).alias("searchable"),
+    )
+
+
+@query
+def phrase_split(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.size(html_text.phrases("text", 20)).cast("long").alias("n20"), F.size(html_text.phrases("text", 10)).cast("long").alias("n10"))
+
+
+@query
+def headings_dropped(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# Title\n"), "text", F.lit("\n# End")).alias("md"))
+    return d.select("doc_id", F.md5(html_text.drop_first_headings("md").cast("binary")).alias("digest"))
+
+
+@query
+def titles_resolved(spark, sf_dir):
+    return fx.frame(spark, fx.TITLES, "id int, og string, title string").select("id", html_text.resolve_title("og", "title").alias("title"))
+
+
+@query
+def dates_displayed(spark, sf_dir):
+    return fx.frame(spark, fx.DATES, "id int, iso string").select("id", html_text.display_date("iso").alias("shown"))
+
+
+@query
+def description_appended(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.substring("text", 1, 60), F.lit(" and then a description that goes on for long enough to count")).alias("d"))
+    out = html_text.append_description("text", "d", F.lit(None).cast("string"), F.lit("Title"))
+    return d.select("doc_id", F.md5(out.cast("binary")).alias("digest"))
+
+
+@query
+def header_prepended(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    head = html_text.article_header("source", "lang", F.lit("2024-03-05T14:07:00Z"), F.lit(None).cast("string"))
+    return d.select("doc_id", F.md5(html_text.prepend_header("text", head, "source").cast("binary")).alias("digest"))
+
+
+@query
+def documents_formatted(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.md5(html_text.format_document("source", "lang", "text").cast("binary")).alias("digest"))
+
+
+@query
+def best_candidate(spark, sf_dir):
+    """The longest of several renderings in bytes, the earliest of equals."""
+    d = table(spark, sf_dir, "documents")
+    options = F.array(F.struct(F.octet_length("text").alias("n"), F.lit(0).alias("o")), F.struct(F.octet_length(html_text.remove_link_syntax("text")).alias("n"), F.lit(-1).alias("o")), F.struct((F.octet_length("text") / 2).cast("int").alias("n"), F.lit(-2).alias("o")))
+    return d.select("doc_id", (-F.array_max(options)["o"]).cast("long").alias("pick"))
+
+
+# Tokens and ranking.
+
+
+@query
+def document_lengths(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("lang", F.size(html_text.tokens("text")).alias("n"))
+    return d.groupBy("lang").agg(F.sum("n").cast("long").alias("n_tokens"), F.round(F.avg("n"), 6).alias("avg_tokens"))
+
+
+@query
+def term_frequencies(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("w", html_text.tokens("text"))
+    return d.select("doc_id", search.term_frequency(F.col("w"), "the").cast("long").alias("tf_the"), search.term_frequency(F.col("w"), "de").cast("long").alias("tf_de"))
+
+
+def _ranked_docs(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("title"), F.substring("text", 61, 100000).alias("snippet"))
+
+
+QUERY_TEXT = "the and of, que The"
+
+
+@query
+def bm25f_field_df(spark, sf_dir):
+    return search.bm25f(_ranked_docs(spark, sf_dir), QUERY_TEXT).select("doc_id", F.round("bm25_score", 6).alias("score"))
+
+
+@query
+def bm25f_doc_df(spark, sf_dir):
+    return search.bm25f(_ranked_docs(spark, sf_dir), QUERY_TEXT, by_documents=True).select("doc_id", F.round("bm25_score", 6).alias("score"))
+
+
+@query
+def bm25f_topk(spark, sf_dir):
+    """The ten best documents."""
+    s = search.bm25f(_ranked_docs(spark, sf_dir), QUERY_TEXT, by_documents=True).withColumn("bm25_score", F.round("bm25_score", 6))
+    return search.reranked(s, "doc_id", k=10).select("position", "doc_id", F.col("bm25_score").alias("score"))
+
+
+@query
+def conversation_search(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("title"), F.col("text").alias("snippet"))
+    return search.bm25f(c, "user the", by_documents=True).select("conv_id", "turn", F.round("bm25_score", 6).alias("score"))
+
+
+@query
+def search_with_content(spark, sf_dir):
+    """Hits keep their place where no stored page answers to them."""
+    p = table(spark, sf_dir, "pages")
+    hits = p.select("page_id", F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit("?gone"))).otherwise(F.col("url")).alias("url"))
+    pages = p.groupBy("url").agg(F.max(F.octet_length("html")).alias("n_bytes"))
+    return hits.join(pages, "url", "left").select("page_id", "url", F.col("n_bytes").cast("long").alias("n_bytes"))
+
+
+@query
+def published_dates(spark, sf_dir):
+    return fx.frame(spark, fx.HITS, "id int, publishedDate string, pubdate string").select("id", search.published().alias("published"))
+
+
+# Evaluation.
+
+
+def _eval_rows(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    ok = F.col("quality") == 1
+    return d.select(
+        F.col("doc_id").cast("string").alias("url"), ok.alias("ok"), F.col("text").alias("markdown"),
+        F.concat(F.substring("text", 1, 30), F.lit("\nthis phrase is not in the text at all\n"), F.substring("text", 40, 35)).alias("truth_text"),
+        F.when(F.col("toxic") == 1, F.substring("text", 10, 20)).otherwise(F.lit("nowhere to be found")).alias("lie_text"),
+        F.col("n_chars").cast("double").alias("ms"), F.when(~ok, F.concat(F.lit("failed in "), F.col("source"))).alias("reason"),
+    )
+
+
+@query
+def eval_rows(spark, sf_dir):
+    return evaluate.score_rows(_eval_rows(spark, sf_dir)).select("url", "n_expected", "n_found", "n_forbidden", "n_leaked", "has_truth", "enough_found", "leaked")
+
+
+@query
+def eval_summary(spark, sf_dir):
+    return evaluate.run_totals(evaluate.score_rows(_eval_rows(spark, sf_dir)))
+
+
+@query
+def failure_top10(spark, sf_dir):
+    """A report of the ten most frequent failures."""
+    return evaluate.failure_histogram(_eval_rows(spark, sf_dir).filter("NOT ok"))
+
+
+@query
+def latency_percentiles(spark, sf_dir):
+    return evaluate.latency(table(spark, sf_dir, "events").select(F.col("value").alias("ms")))
+
+
+@query
+def phrase_hits(spark, sf_dir):
+    return evaluate.phrase_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def usage_share(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return e.withColumn("share", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 2))
+
+
+@query
+def spacing_medians(spark, sf_dir):
+    """Upper median of the values of each size bucket."""
+    b = F.when(F.col("value") <= 8, 8).when(F.col("value") <= 16, 16).when(F.col("value") <= 32, 32).when(F.col("value") <= 64, 64).otherwise(999)
+    e = table(spark, sf_dir, "events").select(b.alias("bucket"), "value")
+    ranks = e.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("value"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket")))
+    return ranks.filter(F.col("r") == F.floor(F.col("n") / 2) + 1).select("bucket", F.round("value", 6).alias("median"), "n")
+
+
+# Colours and brand facts.
+
+
+@query
+def nearest_color(spark, sf_dir):
+    h = F.concat(F.lit("#"), F.substring(F.md5(F.col("o_orderkey").cast("string").cast("binary")), 1, 6))
+    d = table(spark, sf_dir, "orders").select("o_orderkey", h.alias("hex"))
+    return color.nearest_name(d, "hex").select("o_orderkey", "color_name", "color_distance")
+
+
+@query
+def color_math(spark, sf_dir):
+    c = fx.frame(spark, fx.COLORS, "id int, hex string").withColumn("rgb", color.rgb("hex")).withColumn("hsl", color.hsl(F.col("rgb")))
+    return c.select("id", color.six_digits("hex").alias("six"), color.is_valid_color("hex").alias("valid"), "rgb.r", "rgb.g", "rgb.b", "hsl.h", "hsl.s", "hsl.l", color.is_dark(F.col("rgb")).alias("dark"))
+
+
+@query
+def css_colors(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("a{color:#FFF}b{color:#"), F.substring(F.md5("p_name"), 1, 6), F.lit("}c{color:#fff;x:#12}")).alias("css"))
+    return p.select("p_partkey", F.array_join(color.brand_colors("css"), ",").alias("colors"))
+
+
+@query
+def social_accounts(spark, sf_dir):
+    h = fx.frame(spark, fx.HREFS, "id int, href string").withColumn("a", brand.social_account("href"))
+    return h.select("id", F.col("a.type").alias("type"), F.col("a.url").alias("url"))
+
+
+@query
+def image_formats(spark, sf_dir):
+    return fx.frame(spark, fx.IMAGES, "id int, url string, ct string").select("id", brand.image_format("url", "ct").alias("format"))
+
+
+@query
+def icon_sizes(spark, sf_dir):
+    rows = [(1, "16x16 32x32"), (2, "any"), (3, ""), (4, "48x48 axb 64x"), (5, "180x180")]
+    return fx.frame(spark, rows, "id int, sizes string").select("id", F.array_join(F.transform(brand.sizes("sizes"), lambda x: x.cast("string")), ",").alias("widths"))
+
+
+@query
+def addresses(spark, sf_dir):
+    a = fx.frame(spark, fx.ADDRESSES, "id int, text string").withColumn("a", brand.address("text"))
+    return a.select("id", "a.city", "a.country", "a.postal_code", "a.state_province")
+
+
+@query
+def brand_keywords(spark, sf_dir):
+    """The first anchor of each page whose target holds a keyword, for each keyword."""
+    a = links.anchors(table(spark, sf_dir, "pages")).withColumn("low", F.lower("raw"))
+    words = F.array(*(F.lit(w) for w in ("the", "de", "and", "la")))
+    hit = a.select("page_id", "ord", "raw", F.explode(F.filter(words, lambda w: F.contains(F.col("low"), w))).alias("word"))
+    return hit.groupBy("page_id", "word").agg(F.min_by("raw", "ord").alias("raw"))
+
+
+@query
+def noise_wrappers(spark, sf_dir):
+    rows = fx.frame(spark, fx.WRAPPERS, "id int, names string, role string")
+    words = F.split("names", " ")
+    test = F.lit(False)
+    for p in fixed.NOISE_PHRASES:
+        test = test | F.contains("names", F.lit(p))
+    exact = F.exists(words, lambda w: w.isin(*fixed.NOISE_TOKENS) | F.startswith(w, F.lit("ad-")) | F.startswith(w, F.lit("ads-")))
+    return rows.select("id", (test | exact | F.lower("role").isin(*fixed.NOISE_ROLES)).alias("noise"))
+
+
+@query
+def content_scores(spark, sf_dir):
+    """Candidate score of the body as one candidate, from lengths alone."""
+    p = table(spark, sf_dir, "pages").select("page_id", html_text.body_text_bytes(F.lower("html")).cast("double").alias("t"), F.octet_length("html").cast("double").alias("h"), F.size(links.raw_hrefs("html")).cast("double").alias("a"))
+    link = F.least(F.lit(0.85), F.col("a") * 10 / F.greatest(F.col("t"), F.lit(1.0)))
+    score = F.when(F.col("t") < 50, 0.0).otherwise(F.col("t") * F.pow(F.col("t") / F.col("h"), 2) * (1 - link) * F.when(F.col("t") > 500, 1.25).otherwise(1.0))
+    return p.select("page_id", F.round(score, 6).alias("score"))
+
+
+# Requests, caching, pacing.
+
+
+def _requests(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("key"), F.unix_timestamp(F.date_trunc("second", "ts")).alias("at_s"), (F.col("event_id") % 4 * 86400).alias("ttl_s"), "event_type", "user_id")
+
+
+@query
+def cache_hit_join(spark, sf_dir):
+    r = _requests(spark, sf_dir)
+    cache = r.filter("event_type = 'view' AND event_id % 2 = 0").select("key", F.col("at_s").alias("cached_at"))
+    return requests.cache_lookup(r, cache).select("event_id", "hit", "cached_at")
+
+
+@query
+def cache_totals(spark, sf_dir):
+    r = _requests(spark, sf_dir).select(url.cache_key("key", F.lit("markdown"), F.lit("auto")).alias("key"))
+    return r.agg(F.countDistinct("key").alias("n_keys"), F.count(F.lit(1)).alias("n_writes"))
+
+
+@query
+def job_latest_state(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    return requests.latest_state(e, "user_id", "event_id", "event_type")
+
+
+@query
+def jobs_evicted(spark, sf_dir):
+    e = _requests(spark, sf_dir).select("event_id", F.when(F.col("event_type") == "view", "running").when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"), F.col("at_s").alias("created_s"))
+    return requests.evicted(e, 1706000000, ttl_s=86400).select("event_id", "status")
+
+
+@query
+def pacing(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", (F.unix_timestamp(F.date_trunc("second", "ts")) * 1000).alias("at_ms"))
+    return requests.paced(e, "user_id", "at_ms", "event_id", 60_000).select("event_id", "start_ms", "wait_ms")
+
+
+@query
+def idle_sessions(spark, sf_dir):
+    s = requests.idle_sessions(table(spark, sf_dir, "events"), "user_id", "ts", "6 hours")
+    return s.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_sessions"), F.max("n").alias("longest"))
+
+
+@query
+def rate_limited(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_timestamp(F.date_trunc("second", "ts")).cast("double").alias("at_s"))
+    return requests.limited(e, "user_id", "at_s", "event_id", 86_400.0, 3).select("event_id", "allowed")
+
+
+@query
+def props_json_field(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"name": "'), "event_type", F.lit('", "props": '), "props", F.lit("}")).alias("j"))
+    return e.select("event_id", brand.json_string_field("j", "name").alias("name"), brand.json_string_field("j", "props").alias("props"))
+
+
+# Traversal.
+
+SEED = "https://site.example.com/p1"
+
+
+def _edges(spark) -> DataFrame:
+    return fx.frame(spark, fx.edges(), "src string, dst string, ord int")
+
+
+@query
+def crawl_bfs(spark, sf_dir):
+    return crawl.traverse(_edges(spark), SEED, max_depth=4).select("norm", "depth")
+
+
+@query
+def map_urls(spark, sf_dir):
+    return crawl.map_urls(_edges(spark), SEED, 3)
+
+
+@query
+def crawl_counters(spark, sf_dir):
+    return crawl.traverse(_edges(spark), SEED, max_depth=5).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def robots_gate(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    text = "User-agent: *\nDisallow: /en/\nAllow: /en/7\nDisallow: /*?page=\n\nUser-agent: loombot\nDisallow: /fr/\n"
+    files = p.select(url.origin("url").alias("origin")).distinct().withColumn("text", F.lit(text))
+    return robots.gate(p, files, "loombot/1.0").select("page_id", "robots_allowed")
+
+
+@query
+def sitemap_locations(spark, sf_dir):
+    xml = '<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> https://example.com/a?x=1&amp;y=2 </loc></url><url><loc>https://example.com/b</loc></url></urlset>'
+    files = fx.frame(spark, [("https://example.com/sitemap.xml", xml), ("https://example.com/bad.xml", "<html>")], "url string, xml string")
+    return sitemap.sitemap_urls(files)
+
+
+# Extraction: trees in Python workers, no SQL twin.
+
+
+@query
+def extract_markdown(spark, sf_dir):
+    return extract.scrape(table(spark, sf_dir, "pages"), ["markdown"]).select("page_id", "markdown")
+
+
+@query
+def extract_legacy(spark, sf_dir):
+    return extract.scrape(table(spark, sf_dir, "pages"), ["markdown", "html"], extractor="legacy").select("page_id", "markdown", "html")
+
+
+@query
+def extract_selected(spark, sf_dir):
+    return extract.scrape(table(spark, sf_dir, "pages"), ["plainText"], css="article", exclude=["h1"]).select("page_id", "plain_text")
+
+
+@query
+def extract_links(spark, sf_dir):
+    d = links.absolute_links(table(spark, sf_dir, "pages"))
+    return d.select("page_id", F.array_join("links", "\n").alias("links"), F.size("image_links").alias("n_images"))
+
+
+@query
+def extract_metadata(spark, sf_dir):
+    return extract.page_metadata(table(spark, sf_dir, "pages")).select("page_id", "title", "language")
+
+
+@query
+def extract_plaintext(spark, sf_dir):
+    return extract.page_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def readability_article(spark, sf_dir):
+    return extract.page_article(table(spark, sf_dir, "pages")).select("page_id", "title", "length", "excerpt")
+
+
+@query
+def readable_pages(spark, sf_dir):
+    return extract.page_readable(table(spark, sf_dir, "pages"))
+
+
+@query
+def selector_counts(spark, sf_dir):
+    return extract.selected(table(spark, sf_dir, "pages"), "nav li a[href^='/']").select("page_id", "n")
+
+
+@query
+def brand_pages(spark, sf_dir):
+    b = extract.brand(table(spark, sf_dir, "pages"))
+    return b.select("page_id", "domain", "title", "language", F.array_join("colors", ",").alias("colors"), F.size("logos").alias("n_logos"))
+
+
+@query
+def scrape_answers(spark, sf_dir):
+    from webloom.api import ScrapeRequest, envelope, scrape
+
+    return envelope(scrape(with_status(table(spark, sf_dir, "pages")), ScrapeRequest(["markdown", "links"])))
