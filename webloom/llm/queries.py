@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from webloom.llm import decontaminate, html_cut, langid, mixing, ngram_join, pii, quality_rules, sharding, suffix_dedup, weak_quality
 from webloom.llm.common import table
+from webloom.llm.oracle import ORACLES
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +64,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_weak_quality": op10_weak_quality,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
