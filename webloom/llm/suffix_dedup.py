@@ -34,8 +34,8 @@ from webloom.llm.common import arrow_map, core, written
 
 LENGTH, GRAM = 200, 50
 SPAN = LENGTH - GRAM + 1
-#: Windows of a text that are worked on at once.
-PIECE = 1 << 20
+#: Windows of a text, and bytes of texts, that are worked on at once: bounds a worker's arrays.
+PIECE, BUFFER = 1 << 18, 1 << 19
 #: Bytes that a task's suffix sort should hold, and contexts from which an anchor is cut further.
 TASK_BYTES, MANY = 1 << 18, 3000
 #: Windows of a block when an anchor is cut further.
@@ -256,7 +256,7 @@ def _anchored(docs: DataFrame) -> DataFrame:
         columns, owners, at = [], [], 0
         while at < len(pieces):
             end, size = at, 0
-            while end < len(pieces) and (end == at or size + len(pieces[end]) <= 2 * PIECE):
+            while end < len(pieces) and (end == at or size + len(pieces[end]) <= BUFFER):
                 size += len(pieces[end])
                 end += 1
             piece, *rest = anchors(pieces[at:end])
