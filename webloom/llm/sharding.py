@@ -3,8 +3,8 @@
 Linked documents share a hub (here: an equal text); a hub is one row a member, so links grow with the documents and
 never with their pairs. Every linked document starts in a shard by hash. In each round, joins count for each document
 how many neighbours every shard holds; it wants the best shard, and moves are admitted hub by hub, larger hubs first,
-while the target's quota has room. Hubs larger than a quota are first split into parts of at most a quota: those cuts
-can't be avoided. After the rounds, overfull shards send off what is over, and documents without links fill the
+while the target's quota has room. Hubs larger than a quota are first split into parts that fit one: those cuts can't be
+avoided. After the rounds, overfull shards send off what is over, and documents without links fill the
 shards to their exact quota, dealt by size class so that bytes come out near even too. The law is ``rows``: shard
 sizes in rows differ by one at most, whatever the links.
 
@@ -31,9 +31,10 @@ PARTS = 8
 def propagate(links: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> DataFrame:
     """links (rid, hub) -> (rid, shard) for every linked row, by quota-bound label propagation; several hubs a row are fine."""
     k = len(quotas)
-    largest = max(1, min(q for q in quotas) if quotas else 1)
+    quota = min(quotas, default=1)
+    largest = max(1, quota // 2, int(quota - 3 * quota**0.5))  # parts are cut by hash: leave room for their spread
     sizes = links.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    part = F.pmod(F.xxhash64("rid"), F.ceil(F.col("n") / largest))
+    part = F.when(F.col("n") > quota, F.pmod(F.xxhash64("rid"), F.ceil(F.col("n") / largest))).otherwise(0)
     links = written(links.join(sizes, "hub").select("rid", F.xxhash64("hub", part).alias("hub"), F.least(F.col("n"), F.lit(largest)).alias("n")), "op2-links")
     labels = links.groupBy("rid").agg(F.min("hub").alias("unit"), F.max("n").alias("unit_n")).withColumn("shard", F.pmod(F.xxhash64("rid", F.lit(1)), F.lit(k)).cast("int"))
     labels = written(labels, "op2-labels")
