@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from webloom.llm.common import core, n_buckets, ranked, written
 
 N_SHARDS = 16
-ROUNDS = 3
+ROUNDS = 4
 #: Priority buckets of a target shard: 48 size levels of hubs, each in this many parts.
-PARTS = 8
+PARTS = 64
 
 
 def propagate(links: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> DataFrame:
@@ -35,8 +35,11 @@ def propagate(links: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> Data
     largest = max(1, quota // 2, int(quota - 3 * quota**0.5))  # parts are cut by hash: leave room for their spread
     sizes = links.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     part = F.when(F.col("n") > quota, F.pmod(F.xxhash64("rid"), F.ceil(F.col("n") / largest))).otherwise(0)
-    links = written(links.join(sizes, "hub").select("rid", F.xxhash64("hub", part).alias("hub"), F.least(F.col("n"), F.lit(largest)).alias("n")), "op2-links")
-    labels = links.groupBy("rid").agg(F.min("hub").alias("unit"), F.max("n").alias("unit_n")).withColumn("shard", F.pmod(F.xxhash64("rid", F.lit(1)), F.lit(k)).cast("int"))
+    # Parts of an oversize hub start together in neighbouring shards; all others start by hash.
+    start = F.when(F.col("n") > quota, F.pmod(F.xxhash64("hub") + F.floor(part * largest / quota), F.lit(k)).cast("int"))
+    links = written(links.join(sizes, "hub").select("rid", start.alias("start"), F.xxhash64("hub", part).alias("hub"), F.least(F.col("n"), F.lit(largest)).alias("n")), "op2-links")
+    begin = F.coalesce(F.max_by("start", "n"), F.pmod(F.xxhash64("rid", F.lit(1)), F.lit(k)).cast("int"))
+    labels = links.groupBy("rid").agg(F.min("hub").alias("unit"), F.max("n").alias("unit_n"), begin.alias("shard"))
     labels = written(labels, "op2-labels")
     for turn in range(rounds):
         placed = links.join(labels.select("rid", "shard"), "rid")
