@@ -345,7 +345,9 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = written(_anchored(docs).withColumn("rid", F.monotonically_increasing_id()), "op6-rows")
     each = rows.select("rid", F.explode("anchors").alias("x")).select("rid", "x.*")
     twice = each.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("k > 1")
-    shared = written(each.join(twice.select("h", (F.col("c0") != F.col("c1")).alias("several")), "h"), "op6-shared")
+    # Written first: a join of two plain shuffles can be split where one gram has very many places.
+    twice = written(twice.select("h", (F.col("c0") != F.col("c1")).alias("several")), "op6-twice")
+    shared = written(each.join(twice, "h"), "op6-shared")
     contexts = shared.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k"), F.max("several").alias("several"), F.max("n").alias("n"), F.min(F.struct("rid", "lo", "n", "d")).alias("rep"))
     contexts = written(contexts, "op6-contexts")
     whole = contexts.filter("k > 1").select("h", "c", F.lit(0).alias("first"), F.col("n").alias("last"))
