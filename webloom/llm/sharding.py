@@ -31,7 +31,7 @@ PARTS = 64
 def propagate(links: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> DataFrame:
     """links (rid, hub) -> (rid, shard) for every linked row, by quota-bound label propagation; several hubs a row are fine."""
     k = len(quotas)
-    quota = min(quotas, default=1)
+    quota = max(1, min(quotas, default=1))
     largest = max(1, quota // 2, int(quota - 3 * quota**0.5))  # parts are cut by hash: leave room for their spread
     sizes = links.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     part = F.when(F.col("n") > quota, F.pmod(F.xxhash64("rid"), F.ceil(F.col("n") / largest))).otherwise(0)
