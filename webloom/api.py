@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.functions.classify import escalation, fetch_route, fetch_warning, is_soft_failure
+from webloom.functions.classify import fetch_route, fetch_warning, is_soft_failure, with_escalation
 from webloom.functions.url import is_binary_path
 from webloom.operators import crawl as crawling
 from webloom.operators import extract, robots
@@ -102,7 +102,7 @@ def scrape(pages: DataFrame, request: ScrapeRequest | None = None, robots_files:
     rows = rows.filter(~is_binary_path("url"))
     if robots_files is not None:
         rows = robots.gate(rows, robots_files, agent).filter("robots_allowed").drop("robots_allowed")
-    facts = rows.select("page_id", "status", fetch_warning("html", "status").alias("warning"), escalation("html", "status").alias("escalation"))
+    facts = with_escalation(rows, out="escalation").select("page_id", "status", fetch_warning("html", "status").alias("warning"), "escalation")
     facts = facts.withColumn("route", fetch_route(F.lit(parse_render_mode(r.render_mode)), "escalation"))
     out = extract.scrape(rows, r.formats, r.extractor, r.include_tags, r.exclude_tags, r.css_selector, r.compat).join(facts, "page_id")
     failed = is_soft_failure("status", "markdown", "plain_text")

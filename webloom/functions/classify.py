@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import fixed
@@ -12,7 +12,10 @@ from webloom.functions.html_text import body_html, body_text_bytes, visible_text
 
 def needs_js(html: Column | str) -> Column:
     low = F.lower(first_bytes(col(html), 500_000))
-    n = body_text_bytes(low)
+    return _needs_js(low, body_text_bytes(low))
+
+
+def _needs_js(low: Column, n: Column) -> Column:
     return (
         ((n < 200) & contains_any(low, fixed.SPA_MARKERS))
         | (F.contains(low, F.lit("<noscript>")) & F.contains(low, F.lit("enable javascript")))
@@ -76,6 +79,29 @@ def escalation(html: Column | str, status: Column | str) -> Column:
     )
 
 
+def with_escalation(pages: DataFrame, html: str = "html", status: str = "status", out: str = "reason") -> DataFrame:
+    """``pages`` with :func:`escalation`, the page's text taken out once instead of once a test."""
+    small = F.octet_length(html) <= 500_000
+    d = pages.withColumn("_low", F.lower(html)).withColumn("_text", visible_text(body_html("_low")))
+    n = F.when(~F.contains("_low", F.lit("<body")), F.lit(1000)).otherwise(F.octet_length("_text"))
+    d = d.withColumns({"_n": F.when(small, n).otherwise(body_text_bytes(F.lower(first_bytes(col(html), 500_000)))), "_thin": is_thin(html), "_vendor": vendor_block(html)})
+    head = F.when(small, F.col("_low")).otherwise(F.lower(first_bytes(col(html), 500_000)))
+    ok, s = col(status).between(200, 299), col(status)
+    wall = (F.octet_length(html) <= 80_000) & (F.octet_length("_text") <= 600) & contains_any(F.col("_text"), fixed.WALL_PHRASES)
+    weak = sum(F.contains("_low", F.lit(m)).cast("int") for m in fixed.CF_WEAK)
+    challenge = (F.octet_length(html) <= 80_000) & (contains_any(F.col("_low"), fixed.CF_STRONG) | (weak >= 2))
+    reason = (
+        F.when(_needs_js(head, F.col("_n")), "SPA shell detected")
+        .when(is_soft_block(s), F.concat(F.lit("soft-block status HTTP "), s.cast("string")))
+        .when(ok & F.col("_thin"), "thin HTML content")
+        .when(ok & challenge, "Cloudflare challenge detected")
+        .when(ok & wall, "generic anti-bot wall detected")
+        .when(ok & (F.col("_vendor") != ""), F.concat(F.lit("anti-bot vendor block: "), F.col("_vendor")))
+        .otherwise("")
+    )
+    return d.withColumn(out, reason).drop("_low", "_text", "_n", "_thin", "_vendor")
+
+
 def fetch_warning(html: Column | str, status: Column | str) -> Column:
     """The head of an error page, or a note that a block page came instead of content; null for neither."""
     low = F.lower(col(html))

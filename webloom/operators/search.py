@@ -41,10 +41,10 @@ def bm25f(
     title_weight, snippet_weight = (w if w > 0 else 1.0 for w in (title_weight, snippet_weight))
     terms = query_terms(docs, query)
     unique = sorted(set(terms))
-    words = {"t": tokens(F.coalesce(F.col(title), F.lit(""))), "s": tokens(F.coalesce(F.col(snippet), F.lit("")))}
-    figures = [F.size(words[f]).alias(f"_{f}_dl") for f in "ts"]
-    figures += [term_frequency(words[f], term).alias(f"_{f}_{k}") for k, term in enumerate(unique) for f in "ts"]
-    counted = docs.select("*", *figures)
+    split = docs.withColumns({"_t": tokens(F.coalesce(F.col(title), F.lit(""))), "_s": tokens(F.coalesce(F.col(snippet), F.lit("")))})  # once a field
+    figures = [F.size(f"_{f}").alias(f"_{f}_dl") for f in "ts"]
+    figures += [term_frequency(F.col(f"_{f}"), term).alias(f"_{f}_{k}") for k, term in enumerate(unique) for f in "ts"]
+    counted = split.select("*", *figures)
     stats = [F.count(F.lit(1)).alias("_N"), F.avg("_t_dl").alias("_t_avg"), F.avg("_s_dl").alias("_s_avg")]
     for k in range(len(unique)):
         if by_documents:

@@ -49,12 +49,12 @@ def page_body_bytes(spark, sf_dir):
 
 @query
 def page_escalation(spark, sf_dir):
-    return with_status(table(spark, sf_dir, "pages")).select("page_id", classify.escalation("html", "status").alias("reason"))
+    return classify.with_escalation(with_status(table(spark, sf_dir, "pages"))).select("page_id", "reason")
 
 
 @query
 def escalation_by_host(spark, sf_dir):
-    d = with_status(table(spark, sf_dir, "pages")).select(url.host("url").alias("host"), classify.escalation("html", "status").alias("reason"))
+    d = classify.with_escalation(with_status(table(spark, sf_dir, "pages"))).select(url.host("url").alias("host"), "reason")
     return d.groupBy("host", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -107,7 +107,7 @@ def fetch_routes(spark, sf_dir):
 @query
 def fetch_plan(spark, sf_dir):
     """Pages that auto mode would fetch again with a browser, by reason."""
-    d = with_status(table(spark, sf_dir, "pages")).select(classify.escalation("html", "status").alias("reason"))
+    d = classify.with_escalation(with_status(table(spark, sf_dir, "pages"))).select("reason")
     return d.filter("reason <> ''").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
