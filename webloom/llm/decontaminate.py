@@ -196,7 +196,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> Da
     """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and 20 * n_hit >= n_words)."""
     windows = written(benchmark_windows(benchmark, size), "op4-windows")
     vocabulary = windows.select(F.explode("words").alias("word")).distinct()
-    frequency = document_frequency(docs, Vocabulary(vocabulary))
+    frequency = written(document_frequency(docs, Vocabulary(vocabulary)), "op4-frequency")
     prefix = written(prefixes(windows, frequency), "op4-prefixes")
     tokens, signs = (Vocabulary(prefix.select(F.col(c).alias("word")).distinct()) for c in ("token", "sign"))
     rows = written(candidates(docs, tokens, signs, size).withColumn("rid", F.monotonically_increasing_id()), "op4-rows")
