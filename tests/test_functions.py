@@ -118,12 +118,12 @@ def test_markdown_has_no_images_and_plain_text_no_tags():
     assert plain_text(html) == "Ta b lonetwohck v"
 
 
-ARTICLE = "<html><head><title>A long enough title | Site</title></head><body><div class='sidebar'><p>" + "menu text, more, " * 10 + "</p></div><div class='post'><p class='byline'>By Someone</p>" + "".join(f"<p>Paragraph {i} has prose, with commas, and it goes on for a while so that it counts.</p>" for i in range(12)) + "</div></body></html>"
+ARTICLE = "<html><head><title>A long enough title of six words | Site</title></head><body><div class='sidebar'><p>" + "menu text, more, " * 10 + "</p></div><div class='post'><p class='byline'>By Someone</p>" + "".join(f"<p>Paragraph {i} has prose, with commas, and it goes on for a while so that it counts.</p>" for i in range(12)) + "</div></body></html>"
 
 
 def test_readability_finds_the_article():
     a = readability(ARTICLE, "https://a.com/")
-    assert a.byline == "By Someone" and "Paragraph 11" in a.content and "menu text" not in a.content and a.title == "A long enough title"
+    assert a.byline == "By Someone" and "Paragraph 11" in a.content and "menu text" not in a.content and a.title == "A long enough title of six words"
     assert is_readable(ARTICLE.replace("counts.", "counts. " + "And more of it here. " * 6)) and not is_readable("<p>short</p>")
 
 
