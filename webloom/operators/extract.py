@@ -162,21 +162,35 @@ SCHEMA = ", ".join(["page_id long", "url string", *(f"{t} string" for t in _TEXT
 def scrape(pages: DataFrame, formats: list[str] | None = None, extractor: str = "auto", include: list[str] | None = None, exclude: list[str] | None = None, css: str | None = None, compat: bool = False) -> DataFrame:
     """pages (page_id, url, html) -> one row a page: the renderings asked for and ten fields of metadata.
 
-    Formats that aren't asked for are null and cost nothing. Null html counts as empty.
+    Formats that aren't asked for are null and cost nothing. Null html counts as empty. Where pages have ``raw`` and
+    ``content_type``, a PDF's text is its markdown and plain text.
     """
+    from webloom.operators.pdf import pdf_info, pdf_text
+
     wanted = parse_formats(formats)
+    with_raw = {"raw", "content_type"} <= set(pages.columns)
+
+    def one(html: str, url: str, raw: bytes | None) -> dict:
+        if raw is None:
+            return rendering(html, url, wanted, extractor, include, exclude, css, compat)
+        text = pdf_text(raw)
+        return dict.fromkeys((*_TEXTS, "links", "image_links", *_META_FIELDS)) | {"markdown": text if "markdown" in wanted else None, "plain_text": text if "plainText" in wanted else None, "title": pdf_info(raw)[1]}
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = [rendering(h or "", u or "", wanted, extractor, include, exclude, css, compat) for h, u in zip(part.column("html").to_pylist(), part.column("url").to_pylist(), strict=True)]
+                raws = part.column("raw").to_pylist()
+                rows = [one(h or "", u or "", raw) for h, u, raw in zip(part.column("html").to_pylist(), part.column("url").to_pylist(), raws, strict=True)]
                 texts = [pa.array([r[t] for r in rows], pa.string()) for t in _TEXTS]
                 lists = [pa.array([r[t] for r in rows], pa.list_(pa.string())) for t in ("links", "image_links")]
                 metas = [pa.array([r[f] for r in rows], pa.string()) for f in _META_FIELDS]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), *texts, *lists, *metas], names=["page_id", "url", *_TEXTS, "links", "image_links", *_META_FIELDS])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, SCHEMA)
+    from pyspark.sql import functions as F
+
+    raw = F.when(F.col("content_type") == "application/pdf", F.col("raw")) if with_raw else F.lit(None).cast("binary")
+    return pages.select("page_id", "url", "html", raw.alias("raw")).mapInArrow(run, SCHEMA)
 
 
 def _per_page(pages: DataFrame, schema: str, one) -> DataFrame:
