@@ -33,7 +33,8 @@ def propagate(links: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> Data
     k = len(quotas)
     quota = max(1, min(quotas, default=1))
     largest = max(1, quota // 2, int(quota - 3 * quota**0.5))  # parts are cut by hash: leave room for their spread
-    sizes = links.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Written first: a join of two plain shuffles can be split where one hub has very many rows.
+    sizes = written(links.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "op2-hubs")
     part = F.when(F.col("n") > quota, F.pmod(F.xxhash64("rid"), F.ceil(F.col("n") / largest))).otherwise(0)
     # Parts of an oversize hub start together in neighbouring shards; all others start by hash.
     start = F.when(F.col("n") > quota, F.pmod(F.xxhash64("hub") + F.floor(part * largest / quota), F.lit(k)).cast("int"))
