@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from webloom.sources.shared import importable
+
 #: ASCII white space of the word rule ``[^\x20\x09-\x0D]+``; ``bytes.split()`` splits at the same six characters.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -66,6 +68,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str,
 
     ``whole``: to whole batches, for functions that return a few rows a batch.
     """
+    importable(df.sparkSession)
     target = pa.schema(_arrow_fields(df.sparkSession.createDataFrame([], schema)))
     names = target.names
 
