@@ -106,10 +106,11 @@ def n_buckets(rows: int, per_bucket: int = 50_000, least: int = 64) -> int:
 def ranked(df: DataFrame, group: list[str], order: list[str], out: str, buckets: int) -> DataFrame:
     """Add ``out``: a gapless rank from 0 within ``group``, without ever gathering a group in one task.
 
-    Rows are dealt into hash buckets of the ``order`` columns; each bucket is numbered by itself and shifted by the
+    Rows are dealt into hash buckets of the ``order`` columns (``out`` seeds the hash, so that ranks built on ranks stay
+    even); each bucket is numbered by itself and shifted by the
     rows of the buckets before it. The order is therefore by (bucket, order columns): fixed, though not sorted.
     """
-    d = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    d = df.withColumn("_bucket", F.pmod(F.xxhash64(*order, F.lit(out)), F.lit(buckets)).cast("int"))
     keys = [*group, "_bucket"]
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
