@@ -229,8 +229,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> Da
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated; of rows with one ``doc_id`` all go if one is."""
-    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("__webloom_bad")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__webloom_bad")), "left_anti")
 
 
 __all__ = ["contamination", "drop_contaminated"]

@@ -75,15 +75,16 @@ def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     Columns are those of ``docs``; ``n_chars``, where there is one, follows the text.
     """
     columns = docs.columns
-    keyed = docs.withColumn("_rid", F.monotonically_increasing_id())
+    keyed = docs.withColumn("__webloom_rid", F.monotonically_increasing_id())
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = written(keyed.select("_rid", "doc_id", "source", word_count(F.col("text")).alias("size"), order.alias("place")), "op9-rows")
-    taken = _taken(rows, WEIGHTS, MAX_EPOCHS).filter("taken > 0").select("_rid", "size", "taken")
-    copies = keyed.join(taken, "_rid").withColumn("_k", F.explode(F.expr("sequence(1, CAST(ceil(taken / size) AS INT))")))
-    words = F.least(F.col("size"), F.col("taken") - (F.col("_k") - 1) * F.col("size"))
+    rows = written(keyed.select("__webloom_rid", "doc_id", "source", word_count(F.col("text")).alias("size"), order.alias("place")), "op9-rows")
+    taken = _taken(rows, WEIGHTS, MAX_EPOCHS).filter("taken > 0").select("__webloom_rid", F.col("size").alias("__webloom_size"), F.col("taken").alias("__webloom_taken"))
+    copies = keyed.join(taken, "__webloom_rid").withColumn("__webloom_k", F.explode(F.expr("sequence(1, CAST(ceil(__webloom_taken / __webloom_size) AS INT))")))
+    size = F.col("__webloom_size")
+    words = F.least(size, F.col("__webloom_taken") - (F.col("__webloom_k") - 1) * size)
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), words.cast("int")), "")
-    return copies.withColumn("text", F.when(words < F.col("size"), F.rtrim(cut)).otherwise(F.col("text"))).select(
-        *((F.when(words < F.col("size"), F.char_length("text").cast("long")).otherwise(F.col("n_chars")).alias(c) if c == "n_chars" else F.col(f"`{c}`")) for c in columns)
+    return copies.withColumn("text", F.when(words < size, F.rtrim(cut)).otherwise(F.col("text"))).select(
+        *((F.when(words < size, F.char_length("text").cast("long")).otherwise(F.col("n_chars")).alias(c) if c == "n_chars" else F.col(f"`{c}`")) for c in columns)
     )
 
 
