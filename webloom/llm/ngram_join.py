@@ -125,7 +125,7 @@ def _sets(chosen: DataFrame) -> DataFrame:
         picked = batch.take(pa.array(keep))
         return {n: picked.column(n) for n in ("node", "comp", "blocks", "copies")} | {"hashes": hashes, "sig": sigs}
 
-    return arrow_map(chosen, run, "node binary, comp binary, blocks int, copies long, hashes binary, sig binary").dropDuplicates(["node"])
+    return arrow_map(chosen, run, "node binary, comp long, blocks int, copies long, hashes binary, sig binary").dropDuplicates(["node"])
 
 
 def verified_links(sigs: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float, least: dict[int, int]):
@@ -196,13 +196,15 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     rows = written(signatures(docs), "op8-rows")
     worded = rows.filter("node IS NOT NULL")
     classes = written(worded.groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "op8-nodes")
-    keyed = classes.select("node", F.explode("bands").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    edges = keyed.join(hubs, "key").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    # Candidates are tied by 64 bits of their digests: where two meet by chance, only one more pair is compared.
+    short = F.xxhash64("node").alias("short")
+    keyed = classes.select(short, F.explode("bands").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min("short").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    edges = keyed.join(hubs, "key").filter("short <> hub").select(F.col("short").alias("a"), F.col("hub").alias("b")).distinct()
     roots = written(components(edges), "op8-roots")
     sizes = roots.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    members = roots.join(sizes, "root").withColumnRenamed("root", "comp")
-    chosen = members.join(classes.select("node", "copy_id", "copies"), "node")
+    members = roots.join(sizes, "root").select(F.col("node").alias("short"), F.col("root").alias("comp"), "blocks")
+    chosen = members.join(classes.select("node", "copy_id", "copies", short), "short").drop("short")
     texts = core(docs, "doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("copy_id"))).select("text", "node", "comp", "blocks", "copies")
     sets = written(_sets(texts), "op8-sets")
     n_small = sets.filter("blocks = 1").count()
@@ -235,8 +237,8 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
 def keep_one_of_each(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with one document of each class: that of the least doc_id. Rows repeated with one doc_id stay once."""
     judged = written(jaccard_classes(docs, **settings), "op8-judged")
-    gone = judged.filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    out = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = judged.filter("doc_id <> class_id").select(F.col("doc_id").alias("__webloom_gone")).distinct()
+    out = docs.join(gone, F.col("doc_id") == F.col("__webloom_gone"), "left_anti")
     if judged.groupBy("doc_id").count().filter("count > 1").limit(1).count():
         out = out.dropDuplicates(["doc_id"])
     return out
