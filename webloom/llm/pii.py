@@ -201,14 +201,12 @@ def _digit_edits(text: str) -> list[tuple[int, int, str]]:
 def disguised_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans that only the rewritten text shows, in source offsets."""
     odd = not text.isascii() and _ODD.search(text)
-    words = text.lower().split() if not odd else ()
-    spelled = odd or sum(w.strip(".,;:!?-") in DIGIT_WORDS or "-" in w and w.split("-", 1)[0] in DIGIT_WORDS for w in words) >= 3
+    spelled = odd or _RUN.search(text)
     mail = odd or _TRIGGER.search(text) or _BARE.search(text)
-    hyphened = not spelled and any(w.count("-") >= 2 and w.lstrip("+").split("-", 1)[0] in DIGIT_WORDS for w in words)
-    if not (spelled or mail or hyphened):
+    if not (spelled or mail):
         return []
     tape = Tape(text)
-    for edits, wanted in ((_glyph_edits, odd), (_mail_edits, mail), (_digit_edits, spelled or hyphened)):
+    for edits, wanted in ((_glyph_edits, odd), (_mail_edits, mail), (_digit_edits, spelled)):
         if wanted:
             tape = tape.rewrite(edits(tape.text))
     if len(tape.starts) == 1 and tape.text == text:
