@@ -323,7 +323,7 @@ def term_frequencies(spark, sf_dir):
 
 
 def _ranked_docs(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("title"), F.substring("text", 61, 100000).alias("snippet"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("title"), F.expr("substring(text, 61)").alias("snippet"))
 
 
 QUERY_TEXT = "the and of, que The"
