@@ -196,7 +196,7 @@ def top_anchor_targets(spark, sf_dir):
 
 @query
 def bare_urls(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring("text", 1, 40), F.lit(" see http://www.example.com/a?b=1, and WWW.example.org)"), F.col("doc_id").cast("string")).alias("text"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" see http://www.example.com/a?b=1, and WWW.example.org)"), F.col("doc_id").cast("string")).alias("text"))
     return d.select("doc_id", F.array_join(links.bare_urls("text"), " ").alias("urls"))
 
 
