@@ -75,19 +75,18 @@ def evaluate(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 PHRASE_BLOCK = 500
 
 
-def phrase_hits(docs: DataFrame, items: DataFrame, n_chars: int = 60) -> DataFrame:
-    """(item_id, n_docs): documents that hold the first ``n_chars`` characters of an item.
+def phrase_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, n_docs): documents that hold the whole text of an item, for each row of ``items``.
 
     The items are a query set: they are held against all documents in blocks of PHRASE_BLOCK, one pass a block, and
     only the hits are counted.
     """
-    phrase = items.select("item_id", F.substring("text", 1, n_chars).alias("phrase")).filter("phrase <> ''").orderBy("item_id")
-    rows = phrase.collect()
+    rows = items.select(F.col("text").alias("phrase")).filter("phrase <> ''").distinct().orderBy("phrase").collect()
     found = None
     for at in range(0, len(rows), PHRASE_BLOCK):
-        block = F.array(*(F.struct(F.lit(r["item_id"]).alias("item_id"), F.lit(r["phrase"]).alias("phrase")) for r in rows[at : at + PHRASE_BLOCK]))
-        hits = docs.select("text", F.explode(F.filter(block, lambda p: F.contains(F.col("text"), p["phrase"]))).alias("p")).groupBy("p.item_id").agg(F.count(F.lit(1)).alias("n"))
+        block = F.array(*(F.lit(r["phrase"]) for r in rows[at : at + PHRASE_BLOCK]))
+        hits = docs.select("text", F.explode(F.filter(block, lambda p: F.contains(F.col("text"), p))).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return items.select("item_id", F.lit(0).cast("long").alias("n_docs"))
-    return items.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_docs"))
+    return items.join(found, F.col("text") == F.col("phrase"), "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_docs"))
