@@ -49,6 +49,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return back
 
 
+#: Column of the ids that :func:`with_row_ids` gives.
+ROW_ID = "__webloom_row"
+
+
+def with_row_ids(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` with an id of each row, written so that every later read gives a row the same id."""
+    return written(df.withColumn(ROW_ID, F.monotonically_increasing_id()), tag)
+
+
 def released(*frames: DataFrame) -> None:
     """Delete intermediates made by :func:`written` that no later plan reads."""
     for df in frames:

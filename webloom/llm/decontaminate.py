@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import arrow_map, core, written
+from webloom.llm.common import ROW_ID, arrow_map, core, with_row_ids, written
 
 SIZE = 13
 #: Words up to which a vocabulary is sent to the tasks as it is.
@@ -228,9 +228,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> Da
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated; of rows with one ``doc_id`` all go if one is."""
-    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("__webloom_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__webloom_bad")), "left_anti")
+    """The rows of ``docs`` that aren't contaminated, each judged by its own text whatever its ``doc_id``."""
+    rows = with_row_ids(docs, "op4-docs")
+    bad = contamination(core(rows, ROW_ID, "text").toDF("doc_id", "text"), benchmark).filter("contaminated").select(F.col("doc_id").alias("__webloom_bad"))
+    return rows.join(bad, F.col(ROW_ID) == F.col("__webloom_bad"), "left_anti").drop(ROW_ID)
 
 
 __all__ = ["contamination", "drop_contaminated"]

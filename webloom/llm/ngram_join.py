@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import arrow_map, core, released, written
+from webloom.llm.common import ROW_ID, arrow_map, core, released, with_row_ids, written
 from webloom.llm.components import components
 
 WORDS = 5
@@ -235,13 +235,16 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
 
 
 def keep_one_of_each(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with one document of each class: that of the least doc_id. Rows repeated with one doc_id stay once."""
-    judged = written(jaccard_classes(docs, **settings), "op8-judged")
-    gone = judged.filter("doc_id <> class_id").select(F.col("doc_id").alias("__webloom_gone")).distinct()
-    out = docs.join(gone, F.col("doc_id") == F.col("__webloom_gone"), "left_anti")
-    if judged.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    return out
+    """``docs`` with one row of each class: that of the least doc_id (null ones last), then the first row.
+
+    Rows are told apart by an id that is written beside them: doc_id may be null or name several rows.
+    """
+    rows = with_row_ids(docs, "op8-docs")
+    judged = written(jaccard_classes(core(rows, ROW_ID, "text").toDF("doc_id", "text"), **settings), "op8-judged")
+    named = judged.select(F.col("doc_id").alias("row"), F.col("class_id").alias("class")).join(core(rows, ROW_ID, "doc_id").toDF("row", "id"), "row")
+    best = written(named.groupBy("class").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best")).select("best.row"), "op8-best")
+    gone = judged.select(F.col("doc_id").alias("row")).join(best, "row", "left_anti").select(F.col("row").alias("__webloom_gone"))
+    return rows.join(gone, F.col(ROW_ID) == F.col("__webloom_gone"), "left_anti").drop(ROW_ID)
 
 
 __all__ = ["fewest_matches", "jaccard_classes", "keep_one_of_each", "minhash", "shingles"]
