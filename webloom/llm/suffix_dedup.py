@@ -13,7 +13,7 @@
 4. Repeated windows go back to every place where their context occurs, and the bytes they cover are removed.
 
 No group is gathered whole: an anchor with very many contexts is cut further, by place in the window and by the bytes
-that a block of eight windows shares. Texts over PIECE windows are worked on in overlapping pieces.
+that a block of eight windows shares; equal blocks meet in a join, and one copy of them is sorted. Texts over PIECE windows are worked on in overlapping pieces.
 
 Edge cases: null texts are empty; texts under 200 bytes keep every byte; repeated rows repeat each other; an empty
 table gives an empty result; extra columns are ignored. Matches never cross documents.
@@ -310,6 +310,25 @@ def _contexts(wanted: DataFrame) -> DataFrame:
     return arrow_map(wanted, run, "key long, h long, c long, w0 int, data binary")
 
 
+def _met_twice(pieces: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
+    """pieces (key, h, c, w0, data, mark), written -> (runs, pieces): the runs of all windows of pieces whose bytes occur
+    several times under one key, and the pieces with one copy of each such piece. Bytes are told apart by 64 bits beside the key."""
+    place = F.struct("h", "c", "w0")
+    twice = pieces.groupBy("key", "mark").agg(F.count(F.lit(1)).alias("k"), F.min(place).alias("one")).filter("k > 1").drop("k")
+    twice = written(twice, tag)
+    runs = pieces.select("key", "mark", "h", "c", "w0", F.octet_length("data").alias("size")).join(twice, ["key", "mark"])
+    runs = runs.select("h", "c", F.col("w0").alias("first"), (F.col("w0") + F.col("size") - LENGTH).cast("int").alias("last"))
+    once = pieces.join(twice, ["key", "mark"], "left").filter(F.col("one").isNull() | (F.col("one") == place)).drop("one")
+    return runs, once
+
+
+def _windows(pieces: DataFrame) -> DataFrame:
+    """The single windows of pieces, as pieces keyed by their own bytes."""
+    own = F.explode(F.sequence(F.lit(0), F.octet_length("data") - LENGTH)).alias("i")
+    each = pieces.select("h", "c", "w0", "data", own).select("h", "c", (F.col("w0") + F.col("i")).cast("int").alias("w0"), F.col("data").substr(F.col("i") + 1, F.lit(LENGTH)).alias("data"))
+    return each.select(F.xxhash64(F.lit("window"), "data").alias("key"), "h", "c", "w0", "data", F.xxhash64("data").alias("mark"))
+
+
 def _cut(rows: DataFrame) -> DataFrame:
     """rows: text, digest, rid, n_bytes, spans -> rid and the result of removing the spans."""
 
@@ -357,11 +376,17 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     by_row = reps.groupBy("rid").agg(F.collect_list(F.struct("h", "c", "lo", "n", "d", "many")).alias("reps"))
     wanted = by_row.join(rows.select("rid", F.col("doc_id").alias("_id"), "digest"), "rid")
     texts = core(docs, "doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "digest", "reps")
-    pieces = written(_contexts(texts).dropDuplicates(["h", "c", "w0"]), "op6-pieces")
-    size = pieces.agg(F.sum(F.octet_length("data")).alias("s")).first()["s"] or 0
+    pieces = written(_contexts(texts).dropDuplicates(["h", "c", "w0"]).withColumn("mark", F.xxhash64("data")), "op6-pieces")
+    alike, distinct = _met_twice(pieces, "op6-alike")
+    # Blocks that differ only beyond the bytes they share, as at the ends of a passage, meet window by window if very many.
+    crowded = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > MANY).select("key", F.lit(True).alias("crowded"))
+    dealt = written(distinct.join(written(crowded, "op6-crowded"), "key", "left"), "op6-distinct")
+    single, _ = _met_twice(written(_windows(dealt.filter("crowded").drop("crowded")), "op6-windows"), "op6-single")
+    sorted_here = dealt.filter("crowded IS NULL").drop("crowded")
+    size = sorted_here.agg(F.sum(F.octet_length("data")).alias("s")).first()["s"] or 0
     tasks = max(1, -(-size // TASK_BYTES))
-    partial = pieces.withColumn("task", F.pmod(F.xxhash64("key"), F.lit(tasks))).groupBy("task").applyInPandas(_sort_task, "h long, c long, first int, last int")
-    runs = written(whole.unionByName(partial), "op6-runs")
+    partial = sorted_here.withColumn("task", F.pmod(F.xxhash64("key"), F.lit(tasks))).groupBy("task").applyInPandas(_sort_task, "h long, c long, first int, last int")
+    runs = written(whole.unionByName(alike).unionByName(single).unionByName(partial), "op6-runs")
     found = shared.join(runs, ["h", "c"])
     return rows.drop("anchors"), found.select("rid", (F.col("lo") + F.col("first")).alias("a"), (F.col("lo") + F.col("last") + LENGTH).alias("b"))
 
