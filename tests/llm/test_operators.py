@@ -232,6 +232,84 @@ def test_boilerplate_goes_and_prose_stays():
     assert html_cut.main_text(PAGE) == want
 
 
+ARTICLE = "<html><body><article><h1>A title of an article</h1><p>The first paragraph is long enough to be prose, with commas, and it ends properly.</p>{}<p>And the last paragraph is prose as well, at some length, and it ends here.</p></article>{}</body></html>"
+LONG = "This is quite a long text, of several clauses, which reads like prose, goes on for a while, and ends as prose does, with a full stop."
+
+
+@pytest.mark.parametrize(
+    "inside, after",
+    [
+        ("", f'<section id="comments"><article class="comment"><p>{LONG}</p><p>{LONG}</p></article></section>'),
+        (f"<aside><p>{LONG}</p></aside>", ""),
+        (f'<div class="advert"><p>{LONG}</p></div>', ""),
+        (f"<form><p>{LONG}</p><label>{LONG}</label></form>", ""),
+        (f"<footer><p>{LONG}</p></footer>", ""),
+        (f'<div class="comments"><div class="content"><p>{LONG}</p></div></div>', f"<main><footer><p>{LONG}</p></footer></main>"),
+    ],
+)
+def test_boilerplate_inside_an_article_goes(inside, after):
+    want = "A title of an article The first paragraph is long enough to be prose, with commas, and it ends properly. And the last paragraph is prose as well, at some length, and it ends here."
+    assert html_cut.main_text(ARTICLE.format(inside, after)) == want
+
+
+def test_an_article_in_a_wrapper_named_after_its_sidebar_stays():
+    page = f'<body><div class="has-sidebar"><main><p>{LONG}</p><p>Short one.</p></main><div class="sidebar"><a href="/">Home</a></div></div></body>'
+    assert html_cut.main_text(page) == f"{LONG} Short one."
+
+
+def plain_pages(spark, sf):
+    """Stored articles in plain markup without telling elements or names: (html, content paragraphs, boilerplate blocks)."""
+    rng = random.Random(4)
+    for r in table(spark, sf, "pages").collect():
+        inner = re.search(r"<article>(.*?)(?:</article>|\Z)", r["html"], re.S)[1]
+        own = [" ".join(re.sub("<[^>]*>", " ", x).split()) for x in re.split(r"<p>|<br>", inner)]
+        own = [x for x in own if x and "&" not in x]
+        words = " ".join(own).split()
+        if len(own) < 3:
+            continue
+        menu = [rng.choice(words) for _ in range(8)]
+        low = [" ".join(rng.choices(words, k=4)) for _ in range(4)] + [" ".join(rng.choices(words, k=9)) + "."]
+        parts = [f"<div>{x}</div>" + ('<div><a href="/x">more</a></div>' if rng.random() < 0.2 else "") for x in own]
+        html = "<div><div>" + "".join(f'<div><a href="/{w}">{w}</a></div>' for w in menu) + "</div><div>" + "".join(parts) + "</div><div><div>" + "</div><div>".join(low) + "</div></div></div>"
+        yield html, own, [*menu, *low]
+
+
+def test_the_cut_betters_the_classifier(spark):
+    sf = "/root/testdata/sf0.01"
+    costs = html_cut.fit_costs(table(spark, sf, "pages"))
+    scores, flipped, total = {}, 0, 0
+    for smooth in (True, False):
+        hit = false = missed = 0
+        for html, own, _ in plain_pages(spark, sf):
+            labelled = html_cut.label_blocks(html, costs, smooth)
+            content = Counter(own)
+            for b, kept in labelled:
+                wanted = content[b.text] > 0
+                content[b.text] -= wanted
+                hit, false, missed = hit + (kept and wanted), false + (kept and not wanted), missed + (wanted and not kept)
+                if smooth:
+                    total += 1
+                    flipped += kept != (html_cut.log_odds(b, costs) > 0)
+        scores[smooth] = 2 * hit / (2 * hit + false + missed)
+    assert flipped > 0.01 * total
+    assert scores[True] > scores[False] > 0.5, scores
+
+
+def test_costs_are_fitted_and_fall_with_distance(spark, sf):
+    costs = html_cut.fit_costs(table(spark, sf, "pages"))
+    assert costs != html_cut.Costs() and list(costs.edges) == sorted(costs.edges, reverse=True) and costs.text[1] > 0 > costs.text[2]
+    nothing = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_cut.fit_costs(nothing).text == html_cut.Costs().text
+
+
+def test_flow_of_a_large_page_ends(spark):
+    rng = random.Random(6)
+    n = 20_000
+    scores = [rng.uniform(-1, 1) for _ in range(n)]
+    edges = [(i, i + 1, 0.7) for i in range(n - 1)] + [(i, i + 3, 0.4) for i in range(0, n - 3, 2)]
+    assert len(html_cut.min_cut(scores, edges)) == n
+
+
 # 4: decontamination.
 
 

@@ -1,23 +1,37 @@
 """Main-text extraction by minimum cut.
 
-A page is split into text blocks. A linear classifier over a block's ancestors, hints, link density and length gives
-a log-odds for content; its two sides become the capacities to the source (content) and the sink (boilerplate).
-Neighbouring blocks are tied by smoothness edges: one for adjacency on the page, one that grows with their DOM
-proximity. The minimum cut is the labelling of least cost. Blocks whose own cost outweighs all their edges can be
-fixed beforehand without losing the optimum (persistency), which leaves max-flow a small core.
-
-Edge cases: a null or empty page gives an empty text; truncated pages and unclosed tags are read as far as they go;
-repeated rows are extracted row by row; extra columns are ignored. Nothing of a page is capped.
+A page is split into text blocks. A linear classifier over a block's text (length, link density, element, end mark) and
+its ancestors gives a log-odds for content; its two sides become the capacities to the source (content) and the sink
+(boilerplate). Smoothness edges tie blocks that follow one another on the page, and blocks under one parent that are
+parted by others; their weight falls with the DOM distance. The minimum cut is the labelling of least cost: the text's
+evidence, the markup's evidence and the neighbours' decide together, so that a short paragraph among long ones stays and
+a long notice among menu items goes. Blocks whose own cost outweighs all their edges can be fixed beforehand without
+losing the optimum (persistency); max-flow (Dinic) separates the rest.
+
+Weights are fitted on a bounded sample of the pages (``sample_pages``, ``PAGE_BLOCKS``: documented parameters). Blocks
+that lie in an article, or in a menu, footer, sidebar or form, label themselves; from these a logistic regression learns
+the weights of the text, and the shares of neighbours with unlike labels give the edges' weights. Both are drawn towards
+built-in values, which hold where the sample shows too little.
+
+Inside an article or ``main``, comments, asides, forms, adverts, menus, notices and footers are boilerplate whatever
+their text; outside, they are held for it less firmly.
+
+Edge cases: a null or empty page gives an empty text; truncated pages and unclosed tags are read as far as they go; very
+long pages are read whole, one at a time; ties of the cut go to boilerplate; repeated rows are extracted row by row; an
+empty table gives an empty result; extra columns are ignored. Nothing of a page is capped.
 """
 
 from __future__ import annotations
 
 import re
 from collections import deque
-from math import log2
+from math import log, log2
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from webloom.functions.tokens import CLOSE, OPEN, TEXT, VOID, attributes, tokens
 from webloom.llm.common import arrow_map, core
@@ -37,11 +51,14 @@ _BAD_WORD = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|sponsor(?:ed)?|promo(?:tion)?s?|banner|nav(?:bar|igation)?|menu|sidebar|side|rail|foot(?:er)?|masthead|topbar|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri(?:be|ption)|signup|sign-up|shar(?:e|ing)|social|related|recommend(?:ed|ations?)?|more-stories|read-more|comments?|disqus|respond|reply|replies|breadcrumbs?|login|search|widget|copyright|legal|pagination|pager|tags?|skip-link|toolbar|outbrain|taboola|author-box|trending|popular)(?:$|[\s_-])",
     re.I,
 )
+_REPLY_WORD = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|respond|reply|replies)(?:$|[\s_-])", re.I)
 _HEAD_WORD = re.compile(r"(?:^|[\s_-])(?:header|site-header|page-header)(?:$|[\s_-])", re.I)
 _GOOD_WORD = re.compile(r"(?:^|[\s_-])(?:article|post|entry|content|main|story|body|text|article-body|post-content|entry-content)(?:$|[\s_-])", re.I)
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar alertdialog form".split())
 _BAD_TAGS = frozenset("nav footer aside form menu dialog search".split())
 _SPACE = re.compile(r"\s+")
+#: How firmly the markup says boilerplate.
+NO, MAYBE, SURE = 0, 1, 2
 
 
 class _Open:
@@ -50,24 +67,33 @@ class _Open:
     def __init__(self, tag: str, attrs: str, parent: _Open | None, number: int):
         self.tag, self.number = tag, number
         self.hidden = (parent.hidden if parent else False) or tag in HIDDEN
-        self.bad = parent.bad if parent else False
+        self.bad = parent.bad if parent else NO
         self.good = parent.good if parent else 0
+        inside = self.good == 2  # of an article or main
+        bad, good = NO, 0
         if tag in ("article", "main"):
-            self.good = 2
-        elif tag in _BAD_TAGS or tag == "header" and self.good < 2:
-            self.bad = True
+            good = 2
+        elif tag in _BAD_TAGS or tag == "header" and not inside:
+            bad = SURE
         if attrs and not attrs.isspace():
             a = attributes(attrs)
             names = f"{a.get('class', '')} {a.get('id', '')}"
             role = a.get("role", "").lower()
             if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
                 self.hidden = True
-            if role in _BAD_ROLES or names != " " and tag not in ("html", "body") and (_BAD_WORD.search(names) or self.good < 2 and _HEAD_WORD.search(names)):
-                self.bad = True
+            named = names != " " and tag not in ("html", "body")
+            if role in _BAD_ROLES or named and _REPLY_WORD.search(names):
+                bad = SURE
+            elif named and (_BAD_WORD.search(names) or not inside and _HEAD_WORD.search(names)):
+                bad = max(bad, SURE if inside else MAYBE)
             elif role in ("main", "article"):
-                self.good = 2
+                good = 2
             elif names != " " and _GOOD_WORD.search(names):
-                self.good = max(self.good, 1)
+                good = max(good, 1)
+        if good == 2 and tag == "main" and self.bad == MAYBE:
+            self.bad = NO  # a wrapper named after its sidebar
+        self.bad = max(self.bad, bad)
+        self.good = 0 if self.bad == SURE else max(self.good, good)
 
 
 class Block:
@@ -76,7 +102,7 @@ class Block:
     def __init__(self, text: str, linked: int, stack: list[_Open]):
         self.text, self.linked = text, linked
         top = stack[-1] if stack else None
-        self.bad, self.good = (top.bad, top.good) if top else (False, 0)
+        self.bad, self.good = (top.bad, top.good) if top else (NO, 0)
         self.path = tuple(x.number for x in stack if x.tag in BLOCKS)
         self.tag = next((x.tag for x in reversed(stack) if x.tag in BLOCKS), "")
 
@@ -150,34 +176,117 @@ def pop_inline(stack: list[_Open], tag: str) -> None:
             return
 
 
-def log_odds(b: Block) -> float:
-    """The classifier: positive for content."""
+class Costs(NamedTuple):
+    """Weights of the text's features, and of edges by DOM distance: 0, 1, 2, 3 and more."""
+
+    text: tuple[float, ...] = (-1.2, 0.9, -3.0, 0.5)
+    edges: tuple[float, ...] = (1.25, 1.25, 0.75, 0.5)
+
+
+#: Log-odds that the block's element gives: fixed, as sites agree on far fewer elements than articles differ in length.
+ELEMENT_ODDS = dict.fromkeys(("p", "blockquote", "pre"), 0.8) | dict.fromkeys(("h1", "h2", "h3"), 1.0) | dict.fromkeys(("li", "td", "th", "dd"), -0.4)
+#: Log-odds that the markup gives: by SURE or MAYBE boilerplate, and by kind of content ancestor.
+BAD_ODDS, GOOD_ODDS = (0.0, -6.0, -9.0), (0.0, 1.8, 5.0)
+#: Bounds of the text's log-odds: no text outweighs what the markup says for sure.
+MOST_TEXT = 4.0
+#: Blocks of a page that the costs are fitted on: the first ones.
+PAGE_BLOCKS = 400
+
+
+def features(b: Block) -> tuple[float, ...]:
+    """Of the text: constant, length, link density, end mark."""
     n = len(b.text)
-    density = min(1.0, b.linked / n)
-    s = -1.2 + 0.9 * max(-1.5, min(3.0, log2(n / 40)))
-    s += -6.0 if b.bad else 0.0
-    s += (0.0, 1.8, 5.0)[b.good]
-    s -= 3.0 * density if n > 25 or not b.good == 2 else 0.5 * density
-    if b.tag in ("p", "blockquote", "pre"):
-        s += 0.8
-    elif b.tag in ("h1", "h2", "h3"):
-        s += 1.0
-    elif b.tag in ("li", "td", "th", "dd"):
-        s -= 0.4
-    if b.text[-1] in ".!?…\"'”»:;":
-        s += 0.5
-    return s
-
-
-def smoothness(a: Block, b: Block, adjacent: float = 0.25, proximity: float = 1.0) -> float:
-    """Weight of the edge between neighbouring blocks: adjacency, and DOM proximity by the distance over the common ancestor."""
+    return (
+        1.0,
+        max(-1.5, min(3.0, log2(n / 40))),
+        min(1.0, b.linked / n),
+        float(b.text[-1] in ".!?…\"'”»:;"),
+    )
+
+
+def log_odds(b: Block, costs: Costs = Costs()) -> float:  # noqa: B008  a constant
+    """The classifier: positive for content."""
+    text = sum(w * x for w, x in zip(costs.text, features(b), strict=True))
+    return max(-MOST_TEXT, min(MOST_TEXT, text + ELEMENT_ODDS.get(b.tag, 0.0))) + BAD_ODDS[b.bad] + GOOD_ODDS[b.good]
+
+
+def distance(a: Block, b: Block) -> int:
+    """DOM steps between the two blocks' elements beyond the one that parts siblings; 3 for more."""
     same = 0
     for x, y in zip(a.path, b.path, strict=False):
         if x != y:
             break
         same += 1
-    distance = len(a.path) + len(b.path) - 2 * same
-    return adjacent + proximity / (1 + max(0, distance - 1))
+    return min(3, max(0, len(a.path) + len(b.path) - 2 * same - 1))
+
+
+def neighbours(found: list[Block]) -> list[tuple[int, int]]:
+    """Pairs of blocks that follow one another on the page, or, parted by others, under one parent: at most two a block."""
+    pairs, last = [], {}
+    for i, b in enumerate(found):
+        if i:
+            pairs.append((i - 1, i))
+        parent = b.path[-2] if len(b.path) > 1 else 0
+        if (j := last.get(parent)) is not None and j < i - 1:
+            pairs.append((j, i))
+        last[parent] = i
+    return pairs
+
+
+def told(b: Block) -> int | None:
+    """What the markup says for sure: 1 content, 0 boilerplate, None nothing."""
+    return 0 if b.bad == SURE else 1 if b.good == 2 and b.bad == NO else None
+
+
+def fit_costs(pages: DataFrame, sample_pages: int = 1500, prior: float = 20.0) -> Costs:
+    """Costs from at most ``sample_pages`` pages (the smallest hashes); ``prior``: how many blocks the built-in weights count for."""
+    chosen = core(pages, "page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages)
+    sample = core(pages, "page_id", "html").join(F.broadcast(chosen), "page_id").dropDuplicates(["page_id"])
+
+    def run(batch: pa.RecordBatch) -> dict:
+        rows, near = [], []
+        for html in batch.column("html").to_pylist():
+            found = blocks(html or "")[:PAGE_BLOCKS]
+            sides = [told(b) for b in found]
+            rows += [list(features(b)) + [float(y)] for b, y in zip(found, sides, strict=True) if y is not None]
+            for i, j in neighbours(found):
+                if sides[i] is not None and sides[j] is not None:
+                    near.append([float(distance(found[i], found[j])), float(sides[i] != sides[j])])
+        kinds = [0] * len(rows) + [1] * len(near)
+        return {"kind": kinds, "x": rows + near}
+
+    found = arrow_map(sample, run, "kind int, x array<double>").groupBy("kind", "x").agg(F.count(F.lit(1)).alias("n")).collect()
+    found.sort(key=lambda r: (r["kind"], r["x"]))
+    blocks_, n_blocks = ([r["x"] for r in found if r["kind"] == 0], [r["n"] for r in found if r["kind"] == 0])
+    unlike, total = [0.0] * 4, [0.0] * 4
+    for r in found:
+        if r["kind"] == 1:
+            total[int(r["x"][0])] += r["n"]
+            unlike[int(r["x"][0])] += r["n"] * r["x"][1]
+    start = Costs()
+    edges = []
+    for d, w in enumerate(start.edges):
+        share = (unlike[d] + prior / (1 + np.exp(w))) / (total[d] + prior)
+        edges.append(float(min(2.0, max(0.1, log((1 - share) / share)))))
+    edges = [float(min(edges[: d + 1])) for d in range(4)]  # farther blocks are never tied closer
+    return Costs(_logistic(np.array(blocks_), np.array(n_blocks, float), np.array(start.text), prior), tuple(edges))
+
+
+def _logistic(rows: np.ndarray, n: np.ndarray, start: np.ndarray, prior: float, rounds: int = 25) -> tuple[float, ...]:
+    """Weights of most likelihood (Newton's method) under a normal prior around ``start``; both classes weigh the same."""
+    if not len(rows) or rows[:, -1].min() == rows[:, -1].max():
+        return tuple(map(float, start))
+    x, y = rows[:, :-1], rows[:, -1]
+    given, x, start = x[:, 0] * start[0], x[:, 1:], start[1:]  # the constant stays: pages' menus say nothing about linkless short texts
+    n = n * np.where(y > 0, 0.5 / (n * y).sum(), 0.5 / (n * (1 - y)).sum()) * n.sum()
+    w = start.copy()
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(given + x @ w, -30, 30)))
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + prior * np.eye(len(w)), x.T @ (n * (y - p)) - prior * (w - start))
+        w = w + step
+        if np.abs(step).max() < 1e-9:
+            break
+    return (Costs().text[0], *(round(float(v), 6) for v in w))
 
 
 def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -208,56 +317,71 @@ def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bo
 
 
 def _max_flow(nodes: list[int], unary: list[float], near: list[dict[int, float]]) -> list[bool]:
-    """Shortest augmenting paths; True for nodes on the source side of the cut."""
+    """Dinic's algorithm: blocking flows over the levels of shortest paths. True for nodes on the source side of the cut."""
     supply = {v: max(0.0, unary[v]) for v in nodes}
     demand = {v: max(0.0, -unary[v]) for v in nodes}
     left = {v: dict(near[v]) for v in nodes}
     tiny = 1e-9
     while True:
-        came: dict[int, int | None] = {v: None for v in nodes if supply[v] > tiny}
-        queue, end = deque(came), None
-        while queue and end is None:
+        level = {v: 0 for v in nodes if supply[v] > tiny}
+        queue, reached = deque(level), False
+        while queue:
             v = queue.popleft()
-            if demand[v] > tiny:
-                end = v
-                break
+            reached = reached or demand[v] > tiny
             for u, c in left[v].items():
-                if c > tiny and u not in came:
-                    came[u] = v
+                if c > tiny and u not in level:
+                    level[u] = level[v] + 1
                     queue.append(u)
-        if end is None:
-            return [v in came for v in nodes]
-        path, v = [], end
-        while came[v] is not None:
-            path.append((came[v], v))
-            v = came[v]
-        push = min([supply[v], demand[end], *(left[a][b] for a, b in path)])
-        supply[v] -= push
-        demand[end] -= push
-        for a, b in path:
-            left[a][b] -= push
-            left[b][a] += push
-
-
-def label_blocks(html: str) -> list[tuple[Block, bool]]:
+        if not reached:
+            return [v in level for v in nodes]
+        ways = {v: [u for u in left[v] if level.get(u) == level[v] + 1] for v in level}
+        for source in [v for v in level if not level[v]]:
+            path = [source]
+            while path and supply[source] > tiny:
+                v = path[-1]
+                if demand[v] > tiny:
+                    push = min([supply[source], demand[v], *(left[a][b] for a, b in zip(path, path[1:], strict=False))])
+                    supply[source] -= push
+                    demand[v] -= push
+                    cut = len(path)
+                    for k, (a, b) in enumerate(zip(path, path[1:], strict=False)):
+                        left[a][b] -= push
+                        left[b][a] += push
+                        if left[a][b] <= tiny:
+                            cut = min(cut, k + 1)
+                    del path[cut:]
+                    continue
+                while ways[v] and left[v][ways[v][-1]] <= tiny:
+                    ways[v].pop()
+                if ways[v]:
+                    path.append(ways[v][-1])
+                else:
+                    path.pop()
+                    if path:
+                        ways[path[-1]].pop()
+
+
+def label_blocks(html: str, costs: Costs = Costs(), smooth: bool = True) -> list[tuple[Block, bool]]:  # noqa: B008
+    """Blocks and labels (True: content); without ``smooth`` by the classifier alone."""
     found = blocks(html)
-    edges = [(i, i + 1, smoothness(found[i], found[i + 1])) for i in range(len(found) - 1)]
-    return list(zip(found, min_cut([log_odds(b) for b in found], edges), strict=True))
+    edges = [(i, j, costs.edges[distance(found[i], found[j])]) for i, j in neighbours(found)] if smooth else []
+    return list(zip(found, min_cut([log_odds(b, costs) for b in found], edges), strict=True))
 
 
-def main_text(html: str | None) -> str:
+def main_text(html: str | None, costs: Costs = Costs()) -> str:  # noqa: B008
     """Content blocks in page order, joined by one space."""
-    return " ".join(b.text for b, content in label_blocks(html or "") if content)
+    return " ".join(b.text for b, content in label_blocks(html or "", costs) if content)
 
 
-def extract_main_text(pages: DataFrame) -> DataFrame:
+def extract_main_text(pages: DataFrame, costs: Costs | None = None) -> DataFrame:
     """Per page row: page_id, url, text, n_chars."""
+    costs = costs or fit_costs(pages)
 
     def run(batch: pa.RecordBatch) -> dict:
-        texts = [main_text(h) for h in batch.column("html").to_pylist()]
+        texts = [main_text(h, costs) for h in batch.column("html").to_pylist()]
         return {"page_id": batch.column("page_id"), "url": batch.column("url"), "text": texts, "n_chars": list(map(len, texts))}
 
     return arrow_map(core(pages, "page_id", "url", "html"), run, "page_id long, url string, text string, n_chars long")
 
 
-__all__ = ["blocks", "extract_main_text", "label_blocks", "main_text", "min_cut"]
+__all__ = ["Costs", "blocks", "extract_main_text", "fit_costs", "label_blocks", "main_text", "min_cut"]
