@@ -485,17 +485,30 @@ def test_links_match_brute_force(spark, monkeypatch):
             links[b] += 1
             x, y = sorted((root(a), root(b)))
             parent[y] = x
-    for block in (256, 4):  # the second cuts clusters into blocks
-        got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.jaccard_classes(make(spark, rows), block=block).collect()}
+    for block in (256, 4):  # the second cuts clusters and buckets into blocks
+        got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.jaccard_classes(make(spark, rows), block=block, bucket_block=block).collect()}
         assert got == {i: (root(i), links[i]) for i in sets}
 
 
+def test_a_shared_footer_ties_nothing(spark):
+    from webloom.llm.common import written
+
+    footer = " ".join(f"foot{i}" for i in range(120))
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(100 + i % 30)) + " " + footer, "en", "s") for i in range(3000)]
+    rows += [(5000 + i, rows[i][1] + " tail", "en", "s") for i in range(20)]
+    signed = ngram_join.signatures(make(spark, rows))
+    classes = written(signed.select(F.xxhash64("node").alias("short"), "size", "bands", "sig"), "t")
+    buckets = classes.select("short", F.explode("bands").alias("key")).groupBy("key").count().filter("count > 2").count()
+    ties = ngram_join.candidate_ties(classes, 0.8, ngram_join.fewest_matches()).distinct().collect()
+    assert buckets > 10 and len(ties) == 20  # buckets hold false candidates, and none of them survives
+
+
 def test_pruning_rarely_loses_a_link():
     least = ngram_join.fewest_matches()
     rng = np.random.default_rng(0)
     lost = 0
     for _ in range(20_000):
-        equal = rng.random(96) < 0.8
+        equal = rng.random(ngram_join.BANDS * ngram_join.ROWS) < 0.8
         lost += any(equal[:n].sum() < m for n, m in least.items())
     assert lost <= 4
 

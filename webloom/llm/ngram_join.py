@@ -1,17 +1,20 @@
 """N-gram Jaccard self-join with Bayesian candidate pruning.
 
 Texts become sets of hashed five-word shingles. Equal sets are one class, represented once. MinHash bands propose
-links; connected candidates meet in tasks of bounded size (large clusters are cut into blocks, and every pair of
-blocks is one task, so no group is ever gathered whole). Inside, pairs are compared on MinHash values, 16 at a time:
+candidates: sets that share a band's bucket. Inside a bucket, pairs are compared on their MinHash values, 16 at a time:
 under a uniform prior on the similarity, a pair is dropped as soon as the posterior probability of reaching the
-threshold falls below ``tolerance``. All others are verified exactly on their sets.
+threshold falls below ``tolerance``. Only eight bits of each value travel so far, no sets; two that are equal by chance
+only let a pair live on. Pairs that survive tie their members into clusters, and a bucket whose members are tied already
+has nothing left to compare. The sets of clusters alone are then sent together, and all their pairs verified: by
+the same pruning first, exactly on the sets then.
 
-A task emits, per member, the number of its links and the few links that connect its members, never all its pairs.
-With 24 bands of 4 values a pair at the threshold is missed with probability (1 - 0.8 ** 4) ** 24 < 4e-6.
+Buckets and clusters of any size are cut into blocks, and every pair of blocks is one task, so no group is ever gathered
+whole. A task emits, per member, the number of its links and the few links that connect its members, never all its pairs.
+With 32 bands of 5 values a pair at the threshold is missed with probability (1 - 0.8 ** 5) ** 32 < 4e-6.
 
 Edge cases: a text of one to four words is one shingle; null texts and texts without words are classes of their own
-without links; repeated rows are copies of each other; an empty table gives an empty result; extra columns are
-ignored.
+without links; very long texts keep all their shingles; repeated rows are copies of each other; ties go to the least
+doc_id; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,11 +33,13 @@ from webloom.llm.components import components
 
 WORDS = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 32, 5
 STEP = 16
 TOLERANCE = 1e-6
 #: Documents of a block: a task holds two blocks at most.
 BLOCK = 256
+#: Members of a bucket that are compared in one task, and rows that a task of many small buckets should hold.
+BUCKET_BLOCK, BUCKET_ROWS = 2048, 20_000
 
 _rng = np.random.default_rng(20240607)
 _A = (_rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -95,18 +100,88 @@ def _band_keys(sig: np.ndarray) -> list[int]:
     return [xxhash.xxh3_64_intdigest(sig[b * ROWS : (b + 1) * ROWS].tobytes(), seed=b) - (1 << 63) for b in range(BANDS)]
 
 
+def _bytes_of(sig: np.ndarray) -> np.ndarray:
+    """Eight bits of each MinHash value."""
+    return ((sig * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """Per document row: doc_id, node (128-bit digest of its shingle set; null without words), bands."""
+    """Per document row: doc_id, node (128-bit digest of its shingle set; null without words), its size, bands and sig (BANDS * ROWS bytes)."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        nodes, bands = [], []
+        nodes, sizes, bands, sigs = [], [], [], []
         for text in batch.column("text").to_pylist():
             own = shingles(text)
+            sig = minhash(own) if len(own) else None
             nodes.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
-            bands.append(_band_keys(minhash(own)) if len(own) else None)
-        return {"doc_id": batch.column("doc_id"), "node": nodes, "bands": bands}
+            sizes.append(len(own))
+            bands.append(_band_keys(sig) if len(own) else None)
+            sigs.append(_bytes_of(sig).tobytes() if len(own) else None)
+        return {"doc_id": batch.column("doc_id"), "node": nodes, "size": sizes, "bands": bands, "sig": sigs}
+
+    return arrow_map(core(docs, "doc_id", "text"), run, "doc_id long, node binary, size long, bands array<long>, sig binary")
 
-    return arrow_map(core(docs, "doc_id", "text"), run, "doc_id long, node binary, bands array<long>")
+
+def _alive(sigs: np.ndarray, sizes: np.ndarray, i: int, js: np.ndarray, threshold: float, least: dict[int, int]) -> np.ndarray:
+    """Those of ``js`` that may reach the threshold with i: by length, then by MinHash values, a step at a time."""
+    js = js[np.minimum(sizes[js], sizes[i]) >= threshold * np.maximum(sizes[js], sizes[i]) - 1e-9]
+    matches, done = np.zeros(len(js), np.int64), 0
+    for n, fewest in least.items():
+        if not len(js):
+            break
+        matches = matches + (sigs[js, done:n] == sigs[i, done:n]).sum(axis=1)
+        alive = matches >= fewest
+        js, matches, done = js[alive], matches[alive], n
+    return js
+
+
+def _ties_of(pdf: pd.DataFrame, threshold: float, least: dict[int, int]) -> pd.DataFrame:
+    """One task of buckets: the few pairs (a, b) that tie the members of each bucket which survive the pruning."""
+    out_a, out_b = [], []
+    pdf = pdf.sort_values(["key", "i", "j", "short"])
+    short, sizes, side = pdf["short"].to_numpy(), pdf["size"].to_numpy(), pdf["block"].to_numpy()
+    sigs = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
+    keys = pdf[["key", "i", "j"]].to_numpy()
+    edges = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1), [True]]))
+    last = max(least)
+    for at, end in zip(edges[:-1], edges[1:], strict=True):
+        if end - at == 2:  # most buckets
+            few, many = sorted((sizes[at], sizes[at + 1]))
+            if few >= threshold * many - 1e-9 and (sigs[at] == sigs[at + 1]).sum() >= least[last]:
+                out_a.append(short[at])
+                out_b.append(short[at + 1])
+            continue
+        i, j = keys[at, 1], keys[at, 2]
+        left = at + np.flatnonzero(side[at:end] == i)
+        right = left if i == j else at + np.flatnonzero(side[at:end] == j)
+        label = np.arange(at, end)
+        for k, a in enumerate(left):
+            js = right[k + 1 :] if i == j else right
+            js = js[label[js - at] != label[a - at]]
+            for b in _alive(sigs, sizes, a, js, threshold, least):
+                if label[b - at] != label[a - at]:
+                    label[label == label[b - at]] = label[a - at]
+                    out_a.append(short[a])
+                    out_b.append(short[b])
+    return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
+
+
+def candidate_ties(classes: DataFrame, threshold: float, least: dict[int, int], block: int = BUCKET_BLOCK) -> DataFrame:
+    """classes (short, size, bands, sig), written -> (a, b): ties between sets that share a bucket and survive the pruning."""
+    keyed = classes.select("short", F.explode("bands").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("short").cast("decimal(38,0)")).alias("who")).filter("n > 1")
+    # Bands that hold the same members are one bucket.
+    buckets = buckets.groupBy("n", "who").agg(F.min("key").alias("key"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    buckets = written(buckets.select("key", "n", "blocks"), "op8-buckets")
+    rows = buckets.agg(F.sum("n")).first()[0] or 0
+    tasks = max(1, -(-rows // BUCKET_ROWS))
+    members = written(keyed.join(buckets, "key").drop("n"), "op8-members").join(classes.select("short", "size", "sig"), "short")
+    own = F.pmod(F.xxhash64("short"), F.col("blocks")).cast("int")
+    spread = members.withColumn("block", own).withColumn("k", F.explode(F.expr("sequence(0, blocks - 1)")))
+    spread = spread.withColumn("i", F.least("block", "k")).withColumn("j", F.greatest("block", "k")).drop("k")
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(tasks))).otherwise(F.xxhash64("key", "i", "j"))
+    found = spread.withColumn("task", task).groupBy("task").applyInPandas(lambda pdf: _ties_of(pdf, threshold, least), "a long, b long")
+    return written(found, "op8-ties")
 
 
 def _sets(chosen: DataFrame) -> DataFrame:
@@ -119,7 +194,7 @@ def _sets(chosen: DataFrame) -> DataFrame:
             if len(own) and xxhash.xxh3_128_digest(own.tobytes()) == node:
                 keep.append(i)
                 hashes.append(own.tobytes())
-                sigs.append(minhash(own).tobytes())
+                sigs.append(_bytes_of(minhash(own)).tobytes())
         if not keep:
             return None
         picked = batch.take(pa.array(keep))
@@ -138,15 +213,7 @@ def verified_links(sigs: np.ndarray, sets: list[np.ndarray], left: np.ndarray, r
     mark = np.zeros(len(ids), np.int64)
     same = left is right
     for at, i in enumerate(left):
-        js = right[at + 1 :] if same else right
-        js = js[np.minimum(sizes[js], sizes[i]) >= threshold * np.maximum(sizes[js], sizes[i]) - 1e-9]
-        matches, done = np.zeros(len(js), np.int64), 0
-        for n, fewest in least.items():
-            if not len(js):
-                break
-            matches = matches + (sigs[js, done:n] == sigs[i, done:n]).sum(axis=1)
-            alive = matches >= fewest
-            js, matches, done = js[alive], matches[alive], n
+        js = _alive(sigs, sizes, i, right[at + 1 :] if same else right, threshold, least)
         if not len(js):
             continue
         own = inverse[starts[i] : starts[i + 1]]
@@ -166,7 +233,7 @@ def _links_of(pdf: pd.DataFrame, threshold: float, least: dict[int, int]) -> pd.
     nodes, mates, links = [], [], []
     for _, part in pdf.groupby(["comp", "i", "j"], sort=False):
         part = part.sort_values("node").reset_index(drop=True)
-        sigs = np.stack([np.frombuffer(x, np.uint32) for x in part["sig"]])
+        sigs = np.stack([np.frombuffer(x, np.uint8) for x in part["sig"]])
         sets = [np.frombuffer(x, np.uint64) for x in part["hashes"]]
         copies = part["copies"].to_numpy()
         i, j = int(part["i"].iloc[0]), int(part["j"].iloc[0])
@@ -190,21 +257,21 @@ def _links_of(pdf: pd.DataFrame, threshold: float, least: dict[int, int]) -> pd.
     return pd.DataFrame({"node": pd.Series(nodes, dtype=object), "mate": pd.Series(mates, dtype=object), "links": pd.Series(links, dtype="int64")})
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
+def jaccard_classes(
+    docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK, bucket_block: int = BUCKET_BLOCK
+) -> DataFrame:
     """Per document row: doc_id, class_id (least doc_id linked to it over any chain), copy_id (least doc_id with an equal
     shingle set), n_links (other documents at the threshold or above, equal ones included)."""
+    least = fewest_matches(threshold, tolerance)
     rows = written(signatures(docs), "op8-rows")
     worded = rows.filter("node IS NOT NULL")
-    classes = written(worded.groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "op8-nodes")
+    classes = worded.groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("size", "bands", "sig")).alias("one"))
     # Candidates are tied by 64 bits of their digests: where two meet by chance, only one more pair is compared.
-    short = F.xxhash64("node").alias("short")
-    keyed = classes.select(short, F.explode("bands").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("short").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    edges = keyed.join(hubs, "key").filter("short <> hub").select(F.col("short").alias("a"), F.col("hub").alias("b")).distinct()
-    roots = written(components(edges), "op8-roots")
-    sizes = roots.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    classes = written(classes.select("node", F.xxhash64("node").alias("short"), "copy_id", "copies", "one.*"), "op8-nodes")
+    roots = written(components(candidate_ties(classes, threshold, least, bucket_block)), "op8-roots")
+    sizes = written(roots.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "op8-sizes")
     members = roots.join(sizes, "root").select(F.col("node").alias("short"), F.col("root").alias("comp"), "blocks")
-    chosen = members.join(classes.select("node", "copy_id", "copies", short), "short").drop("short")
+    chosen = members.join(classes.select("node", "copy_id", "copies", "short"), "short").drop("short")
     texts = core(docs, "doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("copy_id"))).select("text", "node", "comp", "blocks", "copies")
     sets = written(_sets(texts), "op8-sets")
     n_small = sets.filter("blocks = 1").count()
@@ -213,7 +280,6 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     spread = sets.withColumn("block", own).withColumn("k", F.explode(F.expr("sequence(0, blocks - 1)")))
     spread = spread.withColumn("i", F.least("block", "k")).withColumn("j", F.greatest("block", "k")).drop("k")
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(bins))).otherwise(F.xxhash64("comp", "i", "j"))
-    least = fewest_matches(threshold, tolerance)
     found = written(
         spread.withColumn("task", task).groupBy("task").applyInPandas(lambda pdf: _links_of(pdf, threshold, least), "node binary, mate binary, links long"), "op8-links"
     )
@@ -221,7 +287,8 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     joined = components(found.filter("mate IS NOT NULL").select(F.col("node").alias("a"), F.col("mate").alias("b")))
     # A class takes the least doc_id of its members.
     placed = classes.select("node", "copy_id", "copies").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    names = placed.groupBy("root").agg(F.min("copy_id").alias("class_id"))
+    placed = written(placed, "op8-placed")
+    names = written(placed.groupBy("root").agg(F.min("copy_id").alias("class_id")), "op8-classes")
     named = placed.join(names, "root").join(linked, "node", "left").select("node", "copy_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = rows.select("doc_id", "node").join(written(named, "op8-named"), "node", "left")
     released(sets, roots)
