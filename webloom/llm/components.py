@@ -18,7 +18,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges (a, b), undirected -> (node, root): the least node of each node's component. Nodes without edges are absent.
 
     Each round joins edges with per-node minima: rows never exceed the edges, hubs are summed before they are
-    shuffled, and the number of rounds grows with the logarithm of the longest path.
+    shuffled, and the number of rounds grows with the logarithm of the longest path. Null ends are ignored, as are edges
+    of a node to itself; repeated edges count once; an empty table gives an empty result; extra columns are ignored.
     """
     current = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     state = None

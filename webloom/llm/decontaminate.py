@@ -10,8 +10,10 @@ Words reach the join only if the benchmark's prefix words hold them, and its pre
 Up to MOST_WORDS words are sent to the tasks as they are; a larger vocabulary as a bit map of hashed words, sized by it
 and capped (``max_bits``), which at worst lets more words through to the join, which decides. The windows themselves are joined, not broadcast, so the benchmark can grow as well.
 
-Edge cases: null or empty texts and items have no words; an item of 1 to 12 words is one window; repeated items with
-one id count once; repeated document rows are judged row by row; extra columns are ignored.
+Edge cases: null or empty texts and items have no words, are never hit and hit nothing; very long texts are read whole;
+an item of 1 to 12 words is one window; ties between equally rare words go to the least word, then its first place;
+repeated items with one id count once; repeated document rows are judged row by row; empty tables give no hits; extra
+columns are ignored by :func:`contamination` and kept by :func:`drop_contaminated`.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -30,6 +33,8 @@ from webloom.llm.common import ROW_ID, arrow_map, core, with_row_ids, written
 SIZE = 13
 #: Words up to which a vocabulary is sent to the tasks as it is.
 MOST_WORDS = 200_000
+#: Bytes of the bit map that travel to the driver as one row.
+BITMAP_BLOCK = 1 << 16
 #: Bytes that are no part of a word become spaces, A-Z become a-z.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -71,11 +76,17 @@ def bitmap(words: DataFrame, max_bits: int = 1 << 28) -> np.ndarray:
         slots = np.unique(np.fromiter((_slot(w.encode("utf-8", "surrogatepass"), bits) for w in batch.column("word").to_pylist()), np.int64, batch.num_rows))
         return {"byte": slots >> 3, "bit": (1 << (slots & 7)).astype(np.int64)}
 
-    packed = arrow_map(words, run, "byte long, bit long").groupBy("byte").agg(F.bit_or("bit").alias("bit"))
-    out = np.zeros(bits >> 3, np.uint8)
-    found = packed.toPandas()  # at most bits / 8 rows
-    out[found["byte"].to_numpy()] = found["bit"].to_numpy().astype(np.uint8)
-    return out
+    def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(BITMAP_BLOCK, np.uint8)
+        np.bitwise_or.at(own, pdf["byte"].to_numpy() % BITMAP_BLOCK, pdf["bit"].to_numpy().astype(np.uint8))
+        return pd.DataFrame({"block": [key[0]], "data": [own.tobytes()]})
+
+    bytes_ = arrow_map(words, run, "byte long, bit long").groupBy("byte").agg(F.bit_or("bit").alias("bit"))
+    packed = bytes_.groupBy(F.expr(f"byte DIV {BITMAP_BLOCK}").alias("block")).applyInPandas(block, "block long, data binary")
+    out = np.zeros(-(-(bits >> 3) // BITMAP_BLOCK) * BITMAP_BLOCK, np.uint8)
+    for r in packed.toLocalIterator():  # max_bits / 8 bytes at most, in blocks
+        out[r["block"] * BITMAP_BLOCK : (r["block"] + 1) * BITMAP_BLOCK] = np.frombuffer(r["data"], np.uint8)
+    return out[: bits >> 3]
 
 
 def _has(table: np.ndarray, word: bytes) -> bool:

@@ -10,8 +10,10 @@ of its own; all work on them is numpy over whole Arrow batches. The filter is fi
 ``per_language`` training documents of each language, drawn by hash (documented bound of the classifier). It is
 fitted on text and lang of training documents alone, and predictions read nothing but the text.
 
-Edge cases: a null text or one without a letter gives ``und`` with score 0; without training documents every text is
-``und``; ties go to the first language in code-point order; more than 64 languages take more mask words a slot.
+Edge cases: a null or empty text or one without a letter gives ``und`` with score 0; without training documents every text
+is ``und``; very long texts are read whole, in chunks; ties go to the first language in code-point order; more than 64
+languages take more mask words a slot; repeated rows are judged row by row; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,22 +9,28 @@ Taking: with r = target / source size, every document is taken floor(r) times wh
 filled with one more repetition of documents in a seeded order, of which the last one is taken in part (its first
 words). So each source gives its target to the word, and the same seed gives the same mix.
 
-Edge cases: null texts have size 0 and are never taken; a null source is a source of its own; a source of size 0 has
-target 0; an empty table gives an empty result; rows repeated with one doc_id are separate, interchangeable rows;
-extra columns are ignored by :func:`mix` and kept by :func:`mixed_documents`.
+The order is that of a hash of seed, doc_id and text. Running sums go in two levels, by leading digits of the hash and
+inside one such bucket, so that neither a source nor an id that names many texts lands in one task.
+
+Edge cases: null and empty texts have size 0 and are never taken; very long texts count whole; a null source is a source
+of its own; a source of size 0 has target 0; ties between sources go by code point, null last; an empty table gives an
+empty result; rows repeated with one doc_id and text are separate, interchangeable rows; extra columns are ignored by
+:func:`mix` and kept by :func:`mixed_documents`.
 """
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import core, word_count, written
+from webloom.llm.common import ROW_ID, core, with_row_ids, word_count, written
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-#: Hex digits of the order key that make a bucket of the two-level running sum: 16 ** 3 buckets a source.
-PREFIX = 3
+#: Rows that a bucket of the two-level running sum may hold; a bucket is a source's rows with the same leading hex digits.
+BUCKET_ROWS = 50_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -43,16 +49,22 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     return s.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("water") * F.col("weight")).alias("target"))
 
 
+def _place(seed: int):
+    """The seeded order key: lowercase hex."""
+    text = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text).cast("binary"))
+
+
 def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """Per document row: doc_id, size, source_size, target, taken (words the mix takes, repetitions counted)."""
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = written(core(docs, "doc_id", "source", "text").select("doc_id", "source", word_count(F.col("text")).alias("size"), order.alias("place")), "op9")
+    rows = core(docs, "doc_id", "source", "text").select("doc_id", "source", word_count(F.col("text")).alias("size"), _place(seed).alias("place"))
+    rows = written(rows, "op9")
     return _taken(rows, weights, max_epochs).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def _taken(rows: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
-    """rows: doc_id, source, size, place (seeded order key, lowercase hex), and more; adds source_size, target, taken."""
-    bucket = F.substring("place", 1, PREFIX)
+    """rows, written: doc_id, source, size, place (seeded order key, lowercase hex), and more; adds source_size, target, taken."""
+    bucket = F.substring("place", 1, max(3, ceil(log(max(1, rows.count() / BUCKET_ROWS), 16))))
     sums = rows.withColumn("bucket", bucket).groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     wanted = targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights, max_epochs)
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -75,11 +87,10 @@ def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     Columns are those of ``docs``; ``n_chars``, where there is one, follows the text.
     """
     columns = docs.columns
-    keyed = docs.withColumn("__webloom_rid", F.monotonically_increasing_id())
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = written(keyed.select("__webloom_rid", "doc_id", "source", word_count(F.col("text")).alias("size"), order.alias("place")), "op9-rows")
-    taken = _taken(rows, WEIGHTS, MAX_EPOCHS).filter("taken > 0").select("__webloom_rid", F.col("size").alias("__webloom_size"), F.col("taken").alias("__webloom_taken"))
-    copies = keyed.join(taken, "__webloom_rid").withColumn("__webloom_k", F.explode(F.expr("sequence(1, CAST(ceil(__webloom_taken / __webloom_size) AS INT))")))
+    keyed = with_row_ids(docs, "op9-docs")
+    rows = written(keyed.select(ROW_ID, "doc_id", "source", word_count(F.col("text")).alias("size"), _place(seed).alias("place")), "op9-rows")
+    taken = _taken(rows, WEIGHTS, MAX_EPOCHS).filter("taken > 0").select(ROW_ID, F.col("size").alias("__webloom_size"), F.col("taken").alias("__webloom_taken"))
+    copies = keyed.join(taken, ROW_ID).withColumn("__webloom_k", F.explode(F.expr("sequence(1, CAST(ceil(__webloom_taken / __webloom_size) AS INT))")))
     size = F.col("__webloom_size")
     words = F.least(size, F.col("__webloom_taken") - (F.col("__webloom_k") - 1) * size)
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), words.cast("int")), "")
