@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from colorsys import rgb_to_hls
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +72,27 @@ def nearest_name(df: DataFrame, hex_: str, names: dict[str, str] | None = None)
     return df.withColumn("_hex", six_digits(hex_)).join(best, "_hex", "left").drop("_hex")
 
 
+def named_points(names: dict[str, str] | None = None) -> list[tuple]:
+    """(name, r, g, b, h, s, l) of a table of names, in the order that breaks ties."""
+    return sorted((name, *point(hex_)) for hex_, name in (names or fixed.COLOR_NAMES).items())
+
+
+@lru_cache(4096)
+def point(hex_: str) -> tuple[int, ...]:
+    """r, g, b, h, s, l of a hex colour, as :func:`rgb` and :func:`hsl` give them; zeros where there are too few digits."""
+    x = hex_.upper().removeprefix("#")
+    x = "".join(c + c for c in x[:3]) if len(x) in (3, 4) else x[:6]
+    r, g, b = (int(x[k : k + 2] or "0", 16) for k in (0, 2, 4))
+    h, l, s = rgb_to_hls(r / 255, g / 255, b / 255)  # noqa: E741
+    return r, g, b, int(h * 360), int(s * 100), int(l * 100)
+
+
+def nearest(hex_: str, points: list[tuple]) -> str:
+    """The name of the nearest colour, where a page is in a worker's hands already; see :func:`nearest_name`."""
+    own = point(hex_)
+    return min(points, key=lambda p: (sum((a - b) ** 2 * (1 if k < 3 else 2) for k, (a, b) in enumerate(zip(own, p[1:], strict=True))), p[0]))[0]
+
+
 def css_colors(css: Column | str) -> Column:
     return F.regexp_extract_all(col(css), F.lit(CSS_HEX), F.lit(0))
 

@@ -210,3 +210,17 @@ POSITIVE = r"(?i)article|body|content|entry|hentry|h-entry|main|page|pagination|
 NEGATIVE = r"(?i)hidden|^hid$| hid$| hid |^hid |banner|combx|comment|com-|contact|foot|footer|footnote|gdpr|masthead|media|meta|outbrain|promo|related|scroll|share|shoutbox|sidebar|skyscraper|sponsor|shopping|tags|tool|widget"
 BYLINE = r"(?i)byline|author|dateline|writtenby|p-author"
 EMBEDDED_VIDEO = r"(?i)//(www\.)?((dailymotion|youtube|youtube-nocookie|player\.vimeo|v\.qq)\.com|(archive|upload\.wikimedia)\.org|player\.twitch\.tv)"
+
+
+# Line breaks inside lists of a markdown text, and what they become.
+REFLOWED = ((r'":\s*\n+\s*\[', '": ['), (r'"\),\s*\n+\s*\[', '"), ['), (r'",\s*\n+\s*([A-Z])', r'", \1'))
+# Metadata names of an article's fields, the first that a page has wins.
+ARTICLE_TITLES = ("dc:title", "dcterm:title", "og:title", "weibo:article:title", "weibo:webpage:title", "title", "twitter:title")
+ARTICLE_BYLINES = ("dc:creator", "dcterm:creator", "author")
+ARTICLE_EXCERPTS = ("dc:description", "dcterm:description", "og:description", "weibo:article:description", "weibo:webpage:description", "description", "twitter:description")
+# The forms of those names in a meta element's property and name.
+META_PROPERTY = r"(?i)\s*(?:dc|dcterm|og|twitter)\s*:\s*(?:author|creator|description|title|site_name|image\S*)\s*"
+META_NAME = r"(?i)^\s*(?:(?:dc|dcterm|og|twitter|weibo:(?:article|webpage))\s*[.:]\s*)?(?:author|creator|description|title|site_name|image)\s*$"
+# Parts of class or id, and attributes, of containers of an article's text.
+STORY_NAMES = ("story-content", "text-story", "article-body", "story-body", "article-content", "story-page-card", "story-element-card")
+STORY_ATTRIBUTES = (("data-test-id", "text"), ("itemprop", "articleBody"))

@@ -136,9 +136,11 @@ def append_description(markdown: Column | str, description: Column | str, og_des
 
 
 def reflow_lists(x: Column | str) -> Column:
-    """List items that ran together on a line go to lines of their own."""
-    out = replaced(col(x), r"([^\n])[ \t]+([*•-]) (?=\*\*)", "$1\n$2 ")
-    return replaced(replaced(out, r"([.;:])[ \t]+([•]) ", "$1\n$2 "), r"\n{3,}", "\n\n")
+    """Line breaks inside quoted, bracketed lists are taken out."""
+    out = col(x)
+    for pattern, by in fixed.REFLOWED:
+        out = replaced(out, pattern, by.replace("\\1", "$1"))
+    return out
 
 
 def drop_first_headings(x: Column | str) -> Column:

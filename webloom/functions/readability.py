@@ -20,10 +20,13 @@ _PHRASING = frozenset(
 )
 _DROPPED_ROLES = frozenset("menu menubar complementary navigation alert alertdialog dialog".split())
 _START = {"div": 5, "pre": 3, "td": 3, "blockquote": 3, "address": -3, "ol": -3, "ul": -3, "dl": -3, "dd": -3, "dt": -3, "li": -3, "form": -3, "h1": -5, "h2": -5, "h3": -5, "h4": -5, "h5": -5, "h6": -5, "th": -5}
-#: Characters that an attempt must give before the flags are relaxed.
+#: Bytes that an attempt must give before the flags are relaxed.
 ENOUGH = 500
 
 
+_size = lambda s: len(s.encode("utf-8", "surrogatepass"))
+
+
 def inner_text(n: Node) -> str:
     return _SPACES.sub(" ", n.content().strip())
 
@@ -33,8 +36,8 @@ def visible(n: Node) -> bool:
 
 
 def link_density(n: Node) -> float:
-    total = len(inner_text(n))
-    return sum(len(inner_text(a)) * (0.3 if a.attrs.get("href", "").startswith("#") else 1.0) for a in n.elements("a")) / total if total else 0.0
+    total = _size(inner_text(n))
+    return sum(_size(inner_text(a)) * (0.3 if a.attrs.get("href", "").startswith("#") else 1.0) for a in n.elements("a")) / total if total else 0.0
 
 
 def class_weight(n: Node) -> int:
@@ -42,7 +45,7 @@ def class_weight(n: Node) -> int:
 
 
 def is_readable(html: str) -> bool:
-    """Whether visible paragraphs of over 140 characters add up: sum of sqrt(length - 140) above 20."""
+    """Whether visible paragraphs of over 140 bytes add up: sum of sqrt(length - 140) above 20."""
     score = 0.0
     doc = parse(html)
     nodes = doc.elements("p", "pre") + [br.parent for br in doc.elements("br") if br.parent is not None and br.parent.tag == "div"]
@@ -51,7 +54,7 @@ def is_readable(html: str) -> bool:
             continue
         if any(a.tag == "li" for a in n.ancestors()) and n.tag == "p":
             continue
-        size = len(n.content().strip())
+        size = _size(n.content().strip())
         if size >= 140:
             score += sqrt(size - 140)
             if score > 20:
@@ -148,7 +151,7 @@ def _grab(doc: Node, title: str, flags: frozenset[str]) -> tuple[Node | None, st
         if not visible(n) or n.attrs.get("role") in _DROPPED_ROLES:
             n.remove()
             continue
-        if byline is None and (n.attrs.get("rel") == "author" or "author" in n.attrs.get("itemprop", "") or _BYLINE.search(n.names)) and 0 < len(n.content().strip()) < 100:
+        if byline is None and (n.attrs.get("rel") == "author" or "author" in n.attrs.get("itemprop", "") or _BYLINE.search(n.names)) and 0 < _size(n.content().strip()) < 100:
             byline = n.content().strip()
             n.remove()
             continue
@@ -185,9 +188,9 @@ def _grab(doc: Node, title: str, flags: frozenset[str]) -> tuple[Node | None, st
     scores: dict[Node, float] = {}
     for n in dict.fromkeys(scored):
         text = inner_text(n)
-        if n.parent is None or len(text) < 25:
+        if n.parent is None or _size(text) < 25:
             continue
-        score = 1 + text.count(",") + 1 + min(len(text) // 100, 3) - 1
+        score = 1 + text.count(",") + min(_size(text) // 100, 3)
         for level, up in enumerate(list(n.ancestors())[:3]):
             if up.parent is None or up.tag in ("html", "#document"):
                 break
@@ -229,6 +232,7 @@ def _grab(doc: Node, title: str, flags: frozenset[str]) -> tuple[Node | None, st
             top = top.parent
         scores.setdefault(top, 0.0)
     content = Node("div")
+    home = top.parent
     threshold = max(10.0, scores[top] * 0.2)
     bonus_class = top.attrs.get("class", "")
     for s in list(top.parent.children) if top.parent is not None else [top]:
@@ -239,13 +243,71 @@ def _grab(doc: Node, title: str, flags: frozenset[str]) -> tuple[Node | None, st
                 keep = True
             elif s.tag == "p":
                 text, density = inner_text(s), link_density(s)
-                keep = len(text) > 80 and density < 0.25 or 0 < len(text) <= 80 and density == 0 and bool(re.search(r"\.( |$)", text))
+                keep = _size(text) > 80 and density < 0.25 or 0 < _size(text) <= 80 and density == 0 and bool(re.search(r"\.( |$)", text))
         if keep:
             content.append(s)
+    _add_story_parts(content, home)
     _clean(content, title, flags)
     return content, byline
 
 
+def is_story_part(n: Node) -> bool:
+    """Whether names or attributes say that a node holds article text."""
+    return any(x in n.names for x in fixed.STORY_NAMES) or any(n.attrs.get(k) == v for k, v in fixed.STORY_ATTRIBUTES)
+
+
+def _story_parts(home: Node) -> list[Node]:
+    """Story containers of over 100 bytes under ``home``, then around it, level by level, until a level shows none."""
+    seen, found = set(), []
+
+    def look(root: Node) -> bool:
+        before = len(found)
+        for n in root.walk():
+            if n.tag != "#text" and id(n) not in seen:
+                seen.add(id(n))
+                if is_story_part(n) and _size(inner_text(n)) > 100:
+                    found.append(n)
+        return len(found) > before
+
+    look(home)
+    for up in home.ancestors():
+        if up.tag == "body" or not any([look(c) for c in list(up.children) if c.tag != "#text"]):
+            break
+    return found
+
+
+def _add_story_parts(content: Node, home: Node | None) -> None:
+    """Story containers that were left out join the article, unless it holds their first 100 bytes."""
+    parts = _story_parts(home) if home is not None else []
+    if len(parts) < 2:
+        return
+    have = inner_text(content)
+    for n in parts:
+        text = inner_text(n)
+        first = text.encode("utf-8", "surrogatepass")[:100].decode("utf-8", "ignore")
+        if _size(text) > 100 and first not in have and not any(a is n for a in content.ancestors()):
+            if n.tag not in ("div", "article", "section", "p"):
+                n.tag = "div"
+            content.append(n)
+            have += " " + text
+
+
+def article_metadata(doc: Node) -> tuple[str | None, str | None, str | None]:
+    """(title, byline, excerpt) that the page's meta elements state, by their chains of names."""
+    values: dict[str, str] = {}
+    for m in doc.elements("meta"):
+        content = m.attrs.get("content", "")
+        if not content:
+            continue
+        names = re.findall(fixed.META_PROPERTY, m.attrs.get("property", ""))
+        if not names and re.search(fixed.META_NAME, m.attrs.get("name", "")):
+            names = [m.attrs["name"].replace(".", ":")]
+        for name in reversed(names):
+            values["".join(name.lower().split())] = content.strip()
+    first = lambda chain: next((values[x] for x in chain if x in values), None)
+    return first(fixed.ARTICLE_TITLES), first(fixed.ARTICLE_BYLINES), first(fixed.ARTICLE_EXCERPTS)
+
+
 def _table_size(t: Node) -> tuple[int, int]:
     rows = columns = 0
     num = lambda v: int(v) if v.isdigit() else 1
@@ -341,12 +403,15 @@ def readability(html: str, url: str = "") -> Article:
 
     flags = ["unlikely", "weights", "conditional"]
     best: tuple[int, Node, str | None] | None = None
-    title = article_title(parse(html))
+    title: str | None = None
     while True:
         doc = parse(html)
+        if title is None:
+            meta_title, meta_byline, meta_excerpt = article_metadata(doc)
+            title = article_title(doc)
         _prepare(doc)
         content, byline = _grab(doc, title, frozenset(flags))
-        size = len(inner_text(content))
+        size = _size(inner_text(content))
         if best is None or size > best[0]:
             best = (size, content, byline)
         if size >= ENOUGH or not flags:
@@ -359,7 +424,8 @@ def readability(html: str, url: str = "") -> Article:
             if n.attrs.get(name):
                 n.attrs[name] = resolve(url, n.attrs[name]) or n.attrs[name]
     first = content.first("p")
-    return Article(title, byline, content.inner(), inner_text(first) if first else None, len(inner_text(content)))
+    excerpt = meta_excerpt or (inner_text(first) if first else None)
+    return Article(meta_title or title, meta_byline or byline, content.inner(), excerpt, len(inner_text(content)))
 
 
 # The selector-tier extractor.
@@ -386,7 +452,6 @@ def content_score(text_len: int, html_len: int, link_len: int, factor: float) ->
     return text_len * (text_len / html_len) ** 2 * (1 - min(link_len / text_len, 0.85)) * factor * (1.25 if text_len > 500 else 1.0)
 
 
-_size = lambda s: len(s.encode("utf-8", "surrogatepass"))
 _PRIORITY, _TIERS, _INNER = ([compile_selector(s) for s in group] for group in (fixed.PRIORITY_SELECTORS, fixed.SCORED_SELECTORS, fixed.INNER_SELECTORS))
 
 
@@ -394,17 +459,22 @@ def _enough(html: str) -> bool:
     return _size(html) > 200 and _size(parse(html).content().strip()) / _size(html) > 0.1
 
 
+def candidate_score(n: Node) -> float:
+    """The score of an element as the main content; 0 for very short ones."""
+    inner = n.inner()
+    if _size(inner) < 80:
+        return 0.0
+    text, links = n.content().strip(), "".join(a.content() for a in n.elements("a")).strip()
+    return content_score(_size(text), _size(inner), _size(links), boost(n.names, n.attrs.get("role", "")))
+
+
 def _best(doc: Node, selectors) -> str:
     top, found = 0.0, ""
     for chain in selectors:
         for n in select(doc, chain):
-            inner = n.inner()
-            if _size(inner) < 80:
-                continue
-            text, links = n.content().strip(), "".join(a.content() for a in n.elements("a")).strip()
-            score = content_score(_size(text), _size(inner), _size(links), boost(n.names, n.attrs.get("role", "")))
+            score = candidate_score(n)
             if score > top:
-                top, found = score, inner
+                top, found = score, n.inner()
     return found
 
 

@@ -8,9 +8,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from webloom.functions import fixed
+from webloom.functions.color import named_points, nearest
 from webloom.functions.dom import Node, parse, select, serialize
 from webloom.functions.links import page_images, page_links
-from webloom.functions.readability import Article, is_readable, main_content, preprocess, readability, structural
+from webloom.functions.tokens import OPEN, RAWTEXT, attributes, tokens
+from webloom.functions.readability import Article, boost, candidate_score, is_noise_wrapper, is_readable, main_content, preprocess, readability, structural
 from webloom.functions.render import markdown, plain_text
 from webloom.functions.url import resolve
 
@@ -43,9 +45,34 @@ def parse_formats(names: list[str] | None) -> list[str]:
     return out or ["markdown"]
 
 
-def metadata(doc: Node) -> dict[str, str | None]:
+_HEAD_END = re.compile(r"</head\s*>|<body\b", re.I)
+_LATER = re.compile(r"<(?:meta|link|title)\b", re.I)
+
+
+def _head(html: str) -> tuple[list[dict[str, str]], list[dict[str, str]], str | None, dict[str, str]]:
+    """(metas, links, title, attributes of html) from the tags alone, without a tree; only the head is read where no more can follow."""
+    end = _HEAD_END.search(html)
+    if end and not _LATER.search(html, end.end()):
+        html = html[: end.start()]
+    metas, links, title, root = [], [], None, None
+    for kind, value, attrs in tokens(html):
+        if kind == OPEN:
+            if value == "meta":
+                metas.append(attributes(attrs))
+            elif value == "link":
+                links.append(attributes(attrs))
+            elif value == "html" and root is None:
+                root = attributes(attrs)
+            elif value == "title" and title is None:
+                title = ""
+        elif kind == RAWTEXT and attrs == "title" and title == "":
+            title = value
+    return metas, links, title, root or {}
+
+
+def metadata(html: str) -> dict[str, str | None]:
     """Ten fields of a page; a field is null without a source, empty where its source is blank."""
-    metas = doc.elements("meta")
+    metas, links, title, root = _head(html)
     out: dict[str, str | None] = dict.fromkeys(_META_FIELDS)
 
     def put(name: str, value: str | None) -> bool:
@@ -53,17 +80,14 @@ def metadata(doc: Node) -> dict[str, str | None]:
             out[name] = value.strip()
         return bool(value)
 
-    node = doc.first("title")
-    put("title", node.content() if node else None)
+    put("title", title)
     for field, sources in _META_SOURCES.items():
         for attr, value in sources:
-            hit = next((m for m in metas if m.attrs.get(attr) == value), None)
-            if hit is not None and put(field, hit.attrs.get("content")):
+            hit = next((m for m in metas if m.get(attr) == value), None)
+            if hit is not None and put(field, hit.get("content")):
                 break
-    link = next((n for n in doc.elements("link") if n.attrs.get("rel") == "canonical"), None)
-    put("canonical_url", link.attrs.get("href") if link else None)
-    root = doc.first("html")
-    put("language", root.attrs.get("lang") if root else None)
+    put("canonical_url", next((x.get("href") for x in links if x.get("rel") == "canonical"), None))
+    put("language", root.get("lang"))
     return out
 
 
@@ -130,13 +154,15 @@ def to_document_markdown(html: str, url: str, body: str, meta: dict[str, str | N
             if len(md.encode("utf-8", "surrogatepass")) < 1500 and d[:120] not in md and d != title:
                 md += "\n\n" + d
             break
+    for pattern, by in fixed.REFLOWED:
+        md = re.sub(pattern, by, md)
     return md.strip()
 
 
 def rendering(html: str, url: str, formats: list[str], extractor: str = "auto", include: list[str] | None = None, exclude: list[str] | None = None, css: str | None = None, compat: bool = False) -> dict:
     """The renderings of one page that were asked for; the others are null."""
     out: dict = dict.fromkeys(("markdown", "html", "raw_html", "plain_text", "links", "image_links"))
-    meta = metadata(parse(html))
+    meta = metadata(html)
     if {"markdown", "html", "plainText"} & set(formats):
         body = content_html(html, url, extractor, include, exclude, css, compat)
         if "markdown" in formats:
@@ -160,7 +186,7 @@ SCHEMA = ", ".join(["page_id long", "url string", *(f"{t} string" for t in _TEXT
 
 
 def scrape(pages: DataFrame, formats: list[str] | None = None, extractor: str = "auto", include: list[str] | None = None, exclude: list[str] | None = None, css: str | None = None, compat: bool = False) -> DataFrame:
-    """pages (page_id, url, html) -> one row a page: the renderings asked for and ten fields of metadata.
+    """pages (page_id, url, html) -> one row a page: the renderings asked for and ten fields of metadata, which need no tree.
 
     Formats that aren't asked for are null and cost nothing. Null html counts as empty. Where pages have ``raw`` and
     ``content_type``, a PDF's text is its markdown and plain text.
@@ -190,7 +216,13 @@ def scrape(pages: DataFrame, formats: list[str] | None = None, extractor: str =
     from pyspark.sql import functions as F
 
     raw = F.when(F.col("content_type") == "application/pdf", F.col("raw")) if with_raw else F.lit(None).cast("binary")
-    return pages.select("page_id", "url", "html", raw.alias("raw")).mapInArrow(run, SCHEMA)
+    return spread(pages.select("page_id", "url", "html", raw.alias("raw"))).mapInArrow(run, SCHEMA)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of fewer splits than there are cores are dealt out before Python works on them; a table of many splits stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def _per_page(pages: DataFrame, schema: str, one) -> DataFrame:
@@ -204,11 +236,11 @@ def _per_page(pages: DataFrame, schema: str, one) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     _fields = list(to_arrow_schema(pages.sparkSession.createDataFrame([], schema).schema))
-    return pages.select("page_id", "url", "html").mapInArrow(run, schema)
+    return spread(pages.select("page_id", "url", "html")).mapInArrow(run, schema)
 
 
 def page_metadata(pages: DataFrame) -> DataFrame:
-    return _per_page(pages, ", ".join(["page_id long", *(f"{f} string" for f in _META_FIELDS)]), lambda h, u: tuple(metadata(parse(h))[f] for f in _META_FIELDS))
+    return _per_page(pages, ", ".join(["page_id long", *(f"{f} string" for f in _META_FIELDS)]), lambda h, u: tuple(metadata(h).values()))
 
 
 def page_text(pages: DataFrame) -> DataFrame:
@@ -237,6 +269,49 @@ def selected(pages: DataFrame, selector: str) -> DataFrame:
     return _per_page(pages, "page_id long, n long, first_html string", one)
 
 
+def best_renderings(rows: DataFrame, key: str, options: list[str]) -> DataFrame:
+    """(key, pick): the number of the option that :func:`best_candidate` takes, from 0."""
+    kind = dict(rows.dtypes)[key]
+
+    def run(batches):
+        for batch in batches:
+            texts = zip(*(batch.column(c).to_pylist() for c in options), strict=True)
+            found = [[x or "" for x in t] for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([t.index(best_candidate(t)) for t in found], pa.int64())], names=[key, "pick"])
+
+    return rows.select(key, *options).mapInArrow(run, f"{key} {kind}, pick long")
+
+
+def noise_flags(rows: DataFrame, key: str, names: str, role: str) -> DataFrame:
+    """(key, noise): whether class and id, or the role, mark a wrapper of noise."""
+    kind = dict(rows.dtypes)[key]
+
+    def run(batches):
+        for batch in batches:
+            flags = [is_noise_wrapper(n or "", r or "") for n, r in zip(batch.column(names).to_pylist(), batch.column(role).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(flags, pa.bool_())], names=[key, "noise"])
+
+    return rows.select(key, names, role).mapInArrow(run, f"{key} {kind}, noise boolean")
+
+
+def candidate_scores(pages: DataFrame, selector: str) -> DataFrame:
+    """(page_id, boost, score) of the first element that a selector matches, as a candidate for the main content."""
+
+    def one(h: str, u: str):
+        found = select(parse(h), selector)
+        if not found:
+            return None, None
+        n = found[0]
+        return boost(n.names, n.attrs.get("role", "")), candidate_score(n)
+
+    return _per_page(pages, "page_id long, boost double, score double", one)
+
+
+def page_brand_links(pages: DataFrame) -> DataFrame:
+    """(page_id, links): for each keyword the first anchor that has it."""
+    return _per_page(pages, "page_id long, links map<string,string>", lambda h, u: (list(brand_links(parse(h), _domain(u)).items()),))
+
+
 # Brand.
 
 
@@ -312,7 +387,7 @@ def brand_links(doc: Node, domain: str) -> dict[str, str]:
     return out
 
 
-def brand_of(html: str, url: str) -> tuple:
+def brand_of(html: str, url: str, names: list | None = None) -> tuple:
     doc = parse(html)
     metas = doc.elements("meta")
     first = lambda test: next((m.attrs.get("content", "") for m in metas if test(m) and m.attrs.get("content")), "")
@@ -333,28 +408,30 @@ def brand_of(html: str, url: str) -> tuple:
         found = {n: (m[1].strip() if (m := re.search(p, text)) else "") for n, p in fixed.ADDRESS_FIELDS}
         address = found if found["city"] or found["country"] else None
     return (
-        domain, title.strip(), description.strip(), (language.split("-")[0] or "english"), colors, logos(doc, url),
+        domain, title.strip(), description.strip(), (language.split("-")[0] or "english"), colors, [nearest(c, names or named_points()) for c in colors], logos(doc, url),
         [resolve(url, image) or image] if image else [], socials(doc), brand_links(doc, domain), address,
     )
 
 
 BRAND_SCHEMA = (
-    "page_id long, domain string, title string, description string, language string, colors array<string>, "
+    "page_id long, domain string, title string, description string, language string, colors array<string>, color_names array<string>, "
     "logos array<struct<url:string,format:string,sizes:array<int>>>, backdrops array<string>, socials array<struct<type:string,url:string>>, "
     "links map<string,string>, address struct<city:string,country:string,postal_code:string,state_province:string>"
 )
 
 
-def brand(pages: DataFrame, names: dict[str, str] | None = None, tokens: DataFrame | None = None) -> DataFrame:
+def brand(pages: DataFrame, names: dict[str, str] | None = None, tokens: DataFrame | None = None) -> DataFrame:  # noqa: F811
     """One row a page of brand facts. ``tokens`` (page_id, colors) adds colours read elsewhere, after the page's own.
 
-    ``names`` is the table of colour names for :func:`webloom.functions.color.nearest_name`.
+    ``names`` (hex -> name) is the table of colour names that ``color_names`` come from, as
+    :func:`webloom.sources.readers.color_names` reads it; the built-in one is short.
     """
     from pyspark.sql import functions as F
 
     from webloom.functions.color import merged_colors
 
-    out = _per_page(pages, BRAND_SCHEMA, lambda h, u: tuple(list(v.items()) if isinstance(v, dict) and k == 8 else v for k, v in enumerate(brand_of(h, u))))
+    points = named_points(names)
+    out = _per_page(pages, BRAND_SCHEMA, lambda h, u: tuple(list(v.items()) if isinstance(v, dict) and k == 9 else v for k, v in enumerate(brand_of(h, u, points))))
     if tokens is not None:
         more = tokens.select(F.col("page_id"), F.col("colors").alias("_more"))
         out = out.join(more, "page_id", "left").withColumn("colors", merged_colors("colors", "_more")).drop("_more")

@@ -10,13 +10,22 @@ from pyspark.sql import functions as F
 def cache_lookup(requests: DataFrame, cache: DataFrame, key: str = "key", at: str = "at_s", ttl: str = "ttl_s") -> DataFrame:
     """requests (key, at_s, ttl_s, ...) plus ``hit`` and ``cached_at`` of the newest entry (key, cached_at) that isn't too old.
 
-    A ttl of 0 never hits. The newest usable entry comes from one aggregate after an equi-join on the key.
+    A ttl of 0 never hits, nor does a null key. Requests and entries of a key lie in one order by time, entries first: the newest
+    entry before a request is a running maximum, so the work grows with their sum and not with their product.
     """
-    r = requests.withColumn("_r", F.monotonically_increasing_id())
-    age = F.col(at) - F.col("cached_at")
-    hits = r.select("_r", key, at, ttl).join(cache.select(key, "cached_at"), key).filter((F.col(ttl) > 0) & (age >= 0) & (age <= F.col(ttl)))
-    best = hits.groupBy("_r").agg(F.max("cached_at").alias("cached_at"))
-    return r.join(best, "_r", "left").drop("_r").withColumn("hit", F.col("cached_at").isNotNull())
+    r = requests.withColumn("_entry", F.lit(None).cast("long")).withColumn("_at", F.col(at).cast("long"))
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != key else F.col(key) for f in requests.schema]
+    entries = cache.select(*blank, F.col("cached_at").cast("long").alias("_entry"), F.col("cached_at").cast("long").alias("_at"))
+    before = Window.partitionBy(key).orderBy(F.col("_at").asc_nulls_first(), F.col("_entry").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = r.withColumn("_asked", F.lit(True)).unionByName(entries.withColumn("_asked", F.lit(False)))
+    seen = both.withColumn("_last", F.max("_entry").over(before)).filter("_asked")
+    fresh = (F.col(ttl) > 0) & F.col(key).isNotNull() & (F.col(at) - F.col("_last") <= F.col(ttl))
+    return seen.withColumn("cached_at", F.when(fresh, F.col("_last"))).withColumn("hit", F.col("cached_at").isNotNull()).drop("_entry", "_at", "_asked", "_last")
+
+
+def cache_stats(cache: DataFrame, key: str = "key") -> DataFrame:
+    """One row: n_keys and n_writes of the entries of a cache."""
+    return cache.agg(F.countDistinct(key).alias("n_keys"), F.count(F.lit(1)).alias("n_writes"))
 
 
 def cache_write(entries: DataFrame, path: str, default_ttl_s: int = 86_400) -> None:
@@ -72,15 +81,18 @@ def accept(times: list[float], window: float, most: int, kept: list[float] | Non
 def limited(events: DataFrame, key: str, at_s: str, order: str, window_s: float, most: int) -> DataFrame:
     """(key, order, at_s, allowed): whether one passed decides over later ones, so each key is walked in order.
 
-    A key's events arrive in order and in Arrow batches; only the passes of the last window are kept in memory.
+    A key's events arrive in order and in Arrow batches; only the passes of the current key's last window are kept in
+    memory. Null keys are one key.
     """
     kinds = dict(events.dtypes)
 
     def run(batches):
-        state: dict = {}
+        last, live = None, []
         for pdf in batches:
-            for k, part in pdf.groupby(key, sort=False):
-                ok, state[k] = accept(part[at_s].tolist(), window_s, most, state.get(k))
+            for k, part in pdf.groupby(key, sort=False, dropna=False):
+                k = None if pd.isna(k) else k
+                ok, live = accept(part[at_s].tolist(), window_s, most, live if last is not None and last[0] == k else [])
+                last = (k,)
                 yield pd.DataFrame({key: part[key], order: part[order], at_s: part[at_s], "allowed": ok})
 
     rows = events.select(key, order, at_s).repartition(F.col(key)).sortWithinPartitions(key, at_s, order)

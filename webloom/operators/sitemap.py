@@ -19,7 +19,8 @@ _CDATA = re.compile(r"<!\[CDATA\[(.*?)\]\]>", re.S)
 
 def locations(xml: str | None) -> list[str]:
     """``loc`` values of a urlset or a sitemapindex, with or without a namespace; none for anything else."""
-    text = _COMMENT.sub("", (xml or "")[:MOST_BYTES])
+    raw = (xml or "").encode("utf-8", "surrogatepass")[:MOST_BYTES]
+    text = _COMMENT.sub("", raw.decode("utf-8", "ignore"))
     if not re.search(r"<(?:[A-Za-z0-9_]+:)?(?:urlset|sitemapindex)\b", text):
         return []
     out = []
@@ -43,12 +44,15 @@ def sitemap_urls(files: DataFrame) -> DataFrame:
     return files.select("url", "xml").mapInArrow(run, "source string, ord int, loc string")
 
 
-def expand(files: DataFrame, start: DataFrame, rounds: int = 5) -> DataFrame:
-    """(loc): page locations reachable from ``start`` (url) through stored sitemaps; a ``.xml`` location is one more sitemap."""
+def expand(files: DataFrame, start: DataFrame) -> DataFrame:
+    """(loc): page locations reachable from ``start`` (url) through stored sitemaps; a ``.xml`` location is one more sitemap.
+
+    Each sitemap is visited once, and the search ends where no new one turns up, however deep the indexes nest.
+    """
     listed = saved(sitemap_urls(files), "sitemap")
     seen = saved(start.select("url").distinct(), "sitemap-seen")
     frontier, out = seen, None
-    for _ in range(rounds):
+    while True:
         found = listed.join(frontier, listed["source"] == frontier["url"]).select("loc").distinct()
         pages = found.filter(~F.endswith(F.lower("loc"), F.lit(".xml")))
         out = pages if out is None else out.unionByName(pages)

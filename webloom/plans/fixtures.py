@@ -73,6 +73,15 @@ WRAPPERS = [
     (8, "story related", ""), (9, "unrelated", ""), (10, "", "main"),
 ]
 MODES = [(1, "auto", "thin HTML content"), (2, "", ""), (3, "HTTP", "thin HTML content"), (4, " browser ", ""), (5, None, "x")]
+BRAND_ANCHORS = '<a href="/blog-posts">Notes</a><a href="https://x.example.com/p">Our PRICING</a><a href="//y.example.com/contact">Reach us</a><a>Careers</a><a href="">terms</a>'
+BRAND_ANCHOR_EVEN = '<a href="/careers/">Jobs</a><a href="/blog">Blog</a>'
+CANDIDATE_NAMES = ("article body", "sidebar", "plain", "post content sidebar promo")
+METAS = [
+    "", '<meta name="description" content=" d ID "><meta property="og:title" content="T ID">', '<meta property="article:author" content="A ID"><link rel="canonical" href="/c/ID"><meta name="author" content="">',
+    '<meta name="pubdate" content="P ID"><meta name="date" content="Q"><meta itemprop="dateModified" content="M &amp; ID"><meta property="og:image" content="i.png"><meta property="og:description" content="od ID">',
+    '<meta name="author" content="B ID"><meta property="article:published_time" content="2024-01-ID"><meta name="lastmod" content="L"><meta property="article:modified_time" content="N ID">',
+]
+OPTIONS = [(1, "markdown", "off"), (2, "links,html", "strict"), (3, "", "moderate"), (4, None, None), (5, "markdown,markdown", "2"), (6, "x", "")]
 HITS = [(1, "2024-01-01", "x"), (2, "", "2023"), (3, None, None), (4, None, "")]
 IMG_PAGES = [(1, '<p><img src="/a.png"><img alt=x src=\'b.jpg\'><img src="data:x"></p>'), (2, "none"), (3, '<img data-x="1" src="https://example.com/c.gif?x=1&amp;y=2">')]
 

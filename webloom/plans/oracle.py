@@ -163,7 +163,7 @@ ORACLES["links_rooted"] = (
 ORACLES["top_anchor_targets"] = f"SELECT raw, count(*) AS n FROM {_anchors} GROUP BY 1 ORDER BY n DESC, raw LIMIT 20"
 _bare = lambda t: f"list_concat(regexp_extract_all({t}, {_s(fixed.HTTP_URL)}), list_transform(regexp_extract_all({t}, {_s(fixed.WWW_URL)}), lambda w: 'https://' || w))"
 ORACLES["bare_urls"] = (
-    f"SELECT doc_id, array_to_string({_bare('t')}, ' ') AS urls FROM (SELECT doc_id, left(text, 40) || ' see http://www.example.com/a?b=1, and WWW.example.org)' || doc_id AS t FROM documents)"
+    f"SELECT doc_id, array_to_string({_bare('t')}, ' ') AS urls FROM (SELECT doc_id, text || ' see http://www.example.com/a?b=1, and WWW.example.org)' || doc_id AS t FROM documents)"
 )
 ORACLES["images_raw"] = (
     f"SELECT id, array_to_string(list_filter(list_transform(regexp_extract_all(html, {_s(fixed.IMAGE_SRC)}, 1), lambda h: {unescape('trim(h)')}), "
@@ -219,10 +219,6 @@ ORACLES["documents_formatted"] = (
     f"SELECT doc_id, md5('<!DOCTYPE html>{_NL}<html>{_NL}<head>{_NL}  <meta charset=\"utf-8\">{_NL}  <title>' || {escape('source')} || '</title>{_NL}  <meta name=\"description\" content=\"' || "
     f"replace({escape('lang')}, '\"', '&quot;') || '\">{_NL}</head>{_NL}<body>{_NL}' || regexp_replace(text, '(?m)^([^\\n])', '  \\1', 'g') || '{_NL}</body>{_NL}</html>{_NL}') AS digest FROM documents"
 )
-ORACLES["best_candidate"] = (
-    f"SELECT doc_id, CAST(CASE WHEN strlen(text) >= strlen({rep('text', fixed.MARKDOWN_LINK, chr(92) + '1')}) AND strlen(text) >= strlen(text) // 2 THEN 0 "
-    f"WHEN strlen({rep('text', fixed.MARKDOWN_LINK, chr(92) + '1')}) >= strlen(text) // 2 THEN 1 ELSE 2 END AS BIGINT) AS pick FROM documents"
-)
 
 # Tokens and ranking.
 toks = lambda x: f"list_filter(regexp_split_to_array(lower({x}), {_s(fixed.TOKEN_BREAK)}), lambda t: t <> '')"
@@ -249,16 +245,12 @@ def bm25(source: str, keys: str, terms: list[str], by_documents: bool) -> str:
     )
 
 
-_RANKED = "(SELECT doc_id, left(text, 60) AS title, substr(text, 61, 100000) AS snippet FROM documents)"
+_RANKED = "(SELECT doc_id, left(text, 60) AS title, substr(text, 61) AS snippet FROM documents)"
 _TERMS = ["the", "and", "of", "que", "the"]
 ORACLES["bm25f_field_df"] = bm25(_RANKED, "doc_id", _TERMS, False)
 ORACLES["bm25f_doc_df"] = bm25(_RANKED, "doc_id", _TERMS, True)
 ORACLES["bm25f_topk"] = f"SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS position, doc_id, score FROM ({bm25(_RANKED, 'doc_id', _TERMS, True)}) ORDER BY score DESC, doc_id LIMIT 10"
 ORACLES["conversation_search"] = bm25("(SELECT conv_id, turn, role AS title, text AS snippet FROM conversations)", "conv_id, turn", ["user", "the"], True)
-ORACLES["search_with_content"] = (
-    "SELECT h.page_id, h.url, p.n_bytes FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url || '?gone' ELSE url END AS url FROM pages) h "
-    "LEFT JOIN (SELECT url, max(strlen(html)) AS n_bytes FROM pages GROUP BY 1) p ON h.url = p.url"
-)
 ORACLES["published_dates"] = f"SELECT id, coalesce(nullif(a, ''), nullif(b, '')) AS published FROM {fx.values(fx.HITS, 'id, a, b')}"
 
 # Evaluation.
@@ -285,8 +277,7 @@ ORACLES["failure_top10"] = f"SELECT coalesce(nullif(left(coalesce(reason, ''), 4
 ORACLES["latency_percentiles"] = (
     "SELECT round(avg(value), 1) AS avg_ms, " + ", ".join(f"round(quantile_cont(value, {v}), 1) AS {n}" for n, v in (("p50_ms", 0.5), ("p90_ms", 0.9), ("p95_ms", 0.95), ("p99_ms", 0.99))) + ", count(value) AS n FROM events"
 )
-ORACLES["phrase_hits"] = "SELECT b.item_id, (SELECT count(*) FROM documents d WHERE contains(d.text, left(b.text, 60))) AS n_docs FROM benchmark b"
-ORACLES["usage_share"] = "SELECT event_type, n, round(100.0::DOUBLE * n / sum(n) OVER (), 2) AS share FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)"
+ORACLES["phrase_hits"] = "SELECT b.item_id, (SELECT count(*) FROM documents d WHERE contains(d.text, b.text)) AS n_docs FROM benchmark b"
 ORACLES["spacing_medians"] = (
     "SELECT bucket, round(list_sort(list(value))[CAST(count(*) // 2 + 1 AS INT)], 6) AS median, count(*) AS n FROM "
     "(SELECT CASE WHEN value <= 8 THEN 8 WHEN value <= 16 THEN 16 WHEN value <= 32 THEN 32 WHEN value <= 64 THEN 64 ELSE 999 END AS bucket, value FROM events) GROUP BY 1"
@@ -354,15 +345,10 @@ ORACLES["icon_sizes"] = (
 _addr = {n: f"trim(regexp_extract(text, {_s(p)}, 1))" for n, p in fixed.ADDRESS_FIELDS}
 _addr_ok = f"({has('lower(text)', fixed.ADDRESS_WORDS)} AND ({_addr['city']} <> '' OR {_addr['country']} <> ''))"
 ORACLES["addresses"] = "SELECT id, " + ", ".join(f"CASE WHEN {_addr_ok} THEN {v} END AS {n}" for n, v in _addr.items()) + f" FROM {fx.values(fx.ADDRESSES, 'id, text')}"
-ORACLES["brand_keywords"] = f"SELECT page_id, word, arg_min(raw, ord) AS raw FROM (SELECT a.*, w.word FROM {_anchors} a, (VALUES ('the'), ('de'), ('and'), ('la')) AS w(word) WHERE contains(lower(raw), word)) GROUP BY 1, 2"
 ORACLES["noise_wrappers"] = (
     f"SELECT id, ({has('names', fixed.NOISE_PHRASES)} OR len(list_filter(string_split(names, ' '), lambda w: w IN {fixed.NOISE_TOKENS} OR starts_with(w, 'ad-') OR starts_with(w, 'ads-'))) > 0 "
     f"OR lower(role) IN {fixed.NOISE_ROLES}) AS noise FROM {fx.values(fx.WRAPPERS, 'id, names, role')}"
 )
-ORACLES["content_scores"] = (
-    "SELECT page_id, round(CASE WHEN t < 50 THEN 0.0::DOUBLE ELSE t * pow(t / h, 2) * (1 - least(0.85::DOUBLE, a * 10 / greatest(t, 1.0::DOUBLE))) * CASE WHEN t > 500 THEN 1.25::DOUBLE ELSE 1.0::DOUBLE END END, 6) AS score "
-    f"FROM (SELECT page_id, CAST({body_bytes('lower(html)')} AS DOUBLE) AS t, CAST(strlen(html) AS DOUBLE) AS h, CAST(len({_hrefs('html')}) AS DOUBLE) AS a FROM pages)"
-)
 
 # Requests.
 _REQ = "(SELECT event_id, user_id || ':' || event_type AS key, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS at_s, event_id % 4 * 86400 AS ttl_s, event_type, user_id FROM events)"
@@ -370,7 +356,6 @@ ORACLES["cache_hit_join"] = (
     f"SELECT r.event_id, max(c.at_s) IS NOT NULL AS hit, max(c.at_s) AS cached_at FROM {_REQ} r LEFT JOIN (SELECT key, at_s FROM {_REQ} WHERE event_type = 'view' AND event_id % 2 = 0) c "
     "ON r.key = c.key AND r.ttl_s > 0 AND r.at_s - c.at_s BETWEEN 0 AND r.ttl_s GROUP BY r.event_id"
 )
-ORACLES["cache_totals"] = f"SELECT count(DISTINCT {_key('key')}) AS n_keys, count(*) AS n_writes FROM {_REQ}"
 ORACLES["job_latest_state"] = "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id, count(*) AS n_events FROM events GROUP BY 1"
 ORACLES["jobs_evicted"] = (
     f"SELECT event_id, status FROM (SELECT event_id, at_s, CASE event_type WHEN 'view' THEN 'running' WHEN 'error' THEN 'failed' ELSE 'completed' END AS status FROM {_REQ}) WHERE status <> 'running' AND 1706000000 - at_s > 86400"
@@ -401,8 +386,64 @@ def bfs(depth: int) -> str:
 
 ORACLES["crawl_bfs"] = bfs(4) + "SELECT norm, depth FROM f"
 ORACLES["map_urls"] = bfs(3) + f"SELECT norm AS url FROM f WHERE norm <> {_s(q.SEED)}"
-ORACLES["crawl_counters"] = bfs(5) + "SELECT depth, count(*) AS n FROM f GROUP BY 1"
 ORACLES["robots_gate"] = f"SELECT page_id, NOT starts_with({path('url')}, '/fr/') AS robots_allowed FROM pages"
 ORACLES["sitemap_locations"] = "SELECT * FROM (VALUES ('https://example.com/sitemap.xml', 0, 'https://example.com/a?x=1&y=2'), ('https://example.com/sitemap.xml', 1, 'https://example.com/b')) AS t(source, ord, loc)"
-ORACLES["extract_metadata"] = ORACLES["title_lang"].replace(" AS lang ", " AS language ")
 ORACLES["selector_counts"] = f"SELECT page_id, count(*) AS n FROM {_anchors} WHERE starts_with(raw, '/') GROUP BY 1"
+
+# Operators that run in Python workers, over inputs that SQL can read as well.
+_unlinked = rep("text", fixed.MARKDOWN_LINK, chr(92) + "1")
+ORACLES["best_candidate"] = (
+    "SELECT doc_id, CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END AS pick FROM "
+    f"(SELECT doc_id, strlen({rep(_unlinked, '^' + chr(92) + 's+|' + chr(92) + 's+$')}) AS a, strlen({rep('text', '^' + chr(92) + 's+|' + chr(92) + 's+$')}) AS b, "
+    "strlen(trim(substr(text, 2, 50) || ' and a little more', ' ' || chr(10))) AS c FROM documents)"
+)
+ORACLES["search_with_content"] = (
+    "SELECT row_number() OVER (ORDER BY page_id) AS position, h.url, CAST(p.n AS VARCHAR) AS markdown FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url || '?gone' ELSE url END AS url FROM pages ORDER BY page_id LIMIT 50) h "
+    "LEFT JOIN (SELECT url, max(strlen(html)) AS n FROM pages GROUP BY 1) p ON h.url = p.url"
+)
+ORACLES["search_reranked"] = f"SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS position, doc_id FROM ({bm25(_RANKED, 'doc_id', _TERMS, True)})"
+ORACLES["usage_share"] = (
+    "SELECT user_id AS page_id, event_type AS family, CAST(round(100.0::DOUBLE * n / sum(n) OVER (PARTITION BY user_id)) AS BIGINT) AS share FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)"
+)
+_DOMAIN = f"regexp_replace({host('url')}, '^www\\.', '')"
+ORACLES["brand_keywords"] = (
+    f"WITH p AS (SELECT page_id, {_DOMAIN} AS d FROM pages) SELECT page_id, 'blog' AS word, 'https://' || d || '/blog-posts' AS target FROM p UNION ALL SELECT page_id, 'pricing', 'https://x.example.com/p' FROM p "
+    "UNION ALL SELECT page_id, 'contact', 'https://y.example.com/contact' FROM p UNION ALL SELECT page_id, 'careers', 'https://' || d || '/careers/' FROM p WHERE page_id % 2 = 0"
+)
+_count = lambda x, words: " + ".join(f"CAST(contains({x}, {_s(w)}) AS INT)" for w in words)
+ORACLES["content_scores"] = (
+    "WITH p AS (SELECT page_id, substr(regexp_replace(html, '[^A-Za-z ]', '', 'g'), 40, 40 + page_id % 900) AS w, "
+    f"{[*fx.CANDIDATE_NAMES]}[page_id % {len(fx.CANDIDATE_NAMES)} + 1] || ' ' AS names FROM pages), "
+    f"b AS (SELECT *, greatest(0.25::DOUBLE, 1.0::DOUBLE + 0.25::DOUBLE * ({_count('names', fixed.CONTENT_HINTS)}) - 0.35::DOUBLE * ({_count('names', fixed.NOISE_PHRASES)})) AS f, "
+    "CAST(strlen(ltrim(w || 'linked words', ' ')) AS DOUBLE) AS t, CAST(strlen(w) + 26 AS DOUBLE) AS h FROM p) "
+    "SELECT page_id, round(f, 6) AS boost, round(CASE WHEN t < 50 OR h < 80 THEN 0.0::DOUBLE ELSE t * pow(t / h, 2) * (1 - least(12 / t, 0.85::DOUBLE)) * f * CASE WHEN t > 500 THEN 1.25::DOUBLE ELSE 1.0::DOUBLE END END, 6) AS score FROM b"
+)
+ORACLES["cache_totals"] = f"SELECT count(DISTINCT {_key('key')}) AS n_keys, count(*) AS n_writes FROM {_REQ} WHERE event_type <> 'error'"
+ORACLES["crawl_counters"] = bfs(5) + "SELECT count(*) AS total, least(50, count(*)) AS completed, 'completed' AS status FROM f"
+ORACLES["stored_crawl"] = (
+    f"WITH p AS (SELECT url, html FROM pages ORDER BY page_id LIMIT 1), l AS (SELECT DISTINCT lower(regexp_replace(split_part(h, '#', 1), '/$', '')) AS n FROM (SELECT unnest({_hrefs('html')}) AS h FROM p)) "
+    "SELECT 0 AS depth, 1 AS n UNION ALL SELECT 1, count(*) FROM l"
+)
+ORACLES["lists_reflowed"] = "SELECT doc_id, " + digest(chain("""'["a":' || chr(10) || chr(10) || ' [1], ("b"),' || chr(10) || '["c",' || chr(10) || ' D' || replace(text, '.', '",')""", *fixed.REFLOWED)) + " AS digest FROM documents"
+ORACLES["request_options"] = (
+    "SELECT id, CASE WHEN coalesce(f, '') = '' THEN 'markdown' ELSE array_to_string(list_sort(string_split(f, ',')), ',') END AS formats, "
+    f"CASE lower(s) WHEN 'strict' THEN 2 WHEN 'moderate' THEN 1 ELSE 0 END AS level FROM {fx.values(fx.OPTIONS, 'id, f, s')}"
+)
+_meta = lambda *cases: "CASE page_id % 5 " + " ".join(f"WHEN {k} THEN {v}" for k, v in cases) + " END"
+_ID = lambda text: f"replace({_s(text)}, 'ID', CAST(page_id AS VARCHAR))"
+ORACLES["extract_metadata"] = (
+    "SELECT t.page_id, t.title, t.lang AS language, "
+    + ", ".join(
+        f"{_meta(*((k, _ID(v)) for k, v in cases))} AS {name}"
+        for name, cases in {
+            "description": [(1, "d ID")], "og_title": [(1, "T ID")], "og_description": [(3, "od ID")], "og_image": [(3, "i.png")], "canonical_url": [(2, "/c/ID")],
+            "author": [(2, "A ID"), (4, "B ID")], "published_time": [(3, "P ID"), (4, "2024-01-ID")], "modified_time": [(3, "M & ID"), (4, "N ID")],
+        }.items()
+    )
+    + f" FROM ({ORACLES['title_lang']}) t"
+)
+ORACLES["rate_limited"] = (
+    "WITH RECURSIVE e AS (SELECT event_id, user_id, at_s, row_number() OVER (PARTITION BY user_id ORDER BY at_s, event_id) AS i FROM " + _REQ + "), "
+    "s AS (SELECT user_id, event_id, i, true AS allowed, [at_s] AS live FROM e WHERE i = 1 UNION ALL SELECT user_id, event_id, i, len(kept) < 3, CASE WHEN len(kept) < 3 THEN list_append(kept, at_s) ELSE kept END FROM "
+    "(SELECT e.*, list_filter(s.live, lambda x: e.at_s - x < 86400) AS kept FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)) SELECT event_id, allowed FROM s"
+)

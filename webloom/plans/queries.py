@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webloom.functions import brand, classify, color, html_text, links, pattern, url
-from webloom.functions import fixed
+from webloom.functions import brand, classify, color, design, html_text, links, pattern, url
 from webloom.operators import crawl, evaluate, extract, requests, robots, search, sitemap
 from webloom.plans import fixtures as fx
 
@@ -131,6 +130,11 @@ def url_safety(spark, sf_dir):
     return u.select("id", url.host("url").alias("host"), url.is_safe_url("url").alias("safe"), url.is_binary_path("url").alias("binary"), url.is_excluded_scheme("url").alias("excluded"))
 
 
+@query
+def request_options(spark, sf_dir):
+    return fx.frame(spark, fx.OPTIONS, "id int, format string, safe string").select("id", F.array_join(url.normalize_formats(F.when(F.col("format") != "", F.split("format", ","))), ",").alias("formats"), url.safesearch_level("safe").cast("long").alias("level"))
+
+
 @query
 def content_types(spark, sf_dir):
     c = fx.frame(spark, fx.CONTENT_TYPES, "id int, ct string")
@@ -257,6 +261,12 @@ def markdown_links(spark, sf_dir):
     )
 
 
+@query
+def lists_reflowed(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit('["a":\n\n [1], ("b"),\n["c",\n D'), F.regexp_replace("text", r"\.", '",')).alias("md"))
+    return d.select("doc_id", F.md5(html_text.reflow_lists("md").cast("binary")).alias("digest"))
+
+
 @query
 def phrase_split(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
@@ -302,9 +312,8 @@ def documents_formatted(spark, sf_dir):
 @query
 def best_candidate(spark, sf_dir):
     """The longest of several renderings in bytes, the earliest of equals."""
-    d = table(spark, sf_dir, "documents")
-    options = F.array(F.struct(F.octet_length("text").alias("n"), F.lit(0).alias("o")), F.struct(F.octet_length(html_text.remove_link_syntax("text")).alias("n"), F.lit(-1).alias("o")), F.struct((F.octet_length("text") / 2).cast("int").alias("n"), F.lit(-2).alias("o")))
-    return d.select("doc_id", (-F.array_max(options)["o"]).cast("long").alias("pick"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", html_text.remove_link_syntax("text").alias("unlinked"), F.concat(F.substring("text", 2, 50), F.lit(" and a little more")).alias("head"))
+    return extract.best_renderings(d, "doc_id", ["unlinked", "text", "head"])
 
 
 # Tokens and ranking.
@@ -354,11 +363,18 @@ def conversation_search(spark, sf_dir):
 
 @query
 def search_with_content(spark, sf_dir):
-    """Hits keep their place where no stored page answers to them."""
+    """A search's fifty best hits; they keep their place where no stored page answers to them."""
     p = table(spark, sf_dir, "pages")
-    hits = p.select("page_id", F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit("?gone"))).otherwise(F.col("url")).alias("url"))
-    pages = p.groupBy("url").agg(F.max(F.octet_length("html")).alias("n_bytes"))
-    return hits.join(pages, "url", "left").select("page_id", "url", F.col("n_bytes").cast("long").alias("n_bytes"))
+    hits = p.select(F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit("?gone"))).otherwise(F.col("url")).alias("url"), F.col("page_id").alias("position_in"), F.lit("t").alias("title"), F.lit("c").alias("content"))
+    pages = p.groupBy("url").agg(F.max(F.octet_length("html")).cast("string").alias("markdown"))
+    return search.search(hits, "", use_bm25=False, k=50, renderings=pages).select("position", "url", "markdown")
+
+
+@query
+def search_reranked(spark, sf_dir):
+    """Every document's place by score."""
+    s = search.bm25f(_ranked_docs(spark, sf_dir), QUERY_TEXT, by_documents=True).withColumn("bm25_score", F.round("bm25_score", 6))
+    return search.reranked(s, "doc_id").select("position", "doc_id")
 
 
 @query
@@ -408,17 +424,14 @@ def phrase_hits(spark, sf_dir):
 
 @query
 def usage_share(spark, sf_dir):
-    e = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    return e.withColumn("share", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 2))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("page_id"), F.col("event_type").alias("family"), F.lit(1).alias("n_words"))
+    return design.font_usage(e)
 
 
 @query
 def spacing_medians(spark, sf_dir):
     """Upper median of the values of each size bucket."""
-    b = F.when(F.col("value") <= 8, 8).when(F.col("value") <= 16, 16).when(F.col("value") <= 32, 32).when(F.col("value") <= 64, 64).otherwise(999)
-    e = table(spark, sf_dir, "events").select(b.alias("bucket"), "value")
-    ranks = e.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("value"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket")))
-    return ranks.filter(F.col("r") == F.floor(F.col("n") / 2) + 1).select("bucket", F.round("value", 6).alias("median"), "n")
+    return design.spacing_medians(table(spark, sf_dir, "events")).select("bucket", F.round("median", 6).alias("median"), "n")
 
 
 # Colours and brand facts.
@@ -468,31 +481,24 @@ def addresses(spark, sf_dir):
 
 @query
 def brand_keywords(spark, sf_dir):
-    """The first anchor of each page whose target holds a keyword, for each keyword."""
-    a = links.anchors(table(spark, sf_dir, "pages")).withColumn("low", F.lower("raw"))
-    words = F.array(*(F.lit(w) for w in ("the", "de", "and", "la")))
-    hit = a.select("page_id", "ord", "raw", F.explode(F.filter(words, lambda w: F.contains(F.col("low"), w))).alias("word"))
-    return hit.groupBy("page_id", "word").agg(F.min_by("raw", "ord").alias("raw"))
+    """The first anchor of each brand keyword, in text or target, on stored pages with a few anchors in front."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.concat(F.lit(fx.BRAND_ANCHORS), F.when(F.col("page_id") % 2 == 0, fx.BRAND_ANCHOR_EVEN).otherwise(""), "html").alias("html"))
+    return extract.page_brand_links(p).select("page_id", F.explode("links").alias("word", "target"))
 
 
 @query
 def noise_wrappers(spark, sf_dir):
-    rows = fx.frame(spark, fx.WRAPPERS, "id int, names string, role string")
-    words = F.split("names", " ")
-    test = F.lit(False)
-    for p in fixed.NOISE_PHRASES:
-        test = test | F.contains("names", F.lit(p))
-    exact = F.exists(words, lambda w: w.isin(*fixed.NOISE_TOKENS) | F.startswith(w, F.lit("ad-")) | F.startswith(w, F.lit("ads-")))
-    return rows.select("id", (test | exact | F.lower("role").isin(*fixed.NOISE_ROLES)).alias("noise"))
+    return extract.noise_flags(fx.frame(spark, fx.WRAPPERS, "id int, names string, role string"), "id", "names", "role")
 
 
 @query
 def content_scores(spark, sf_dir):
-    """Candidate score of the body as one candidate, from lengths alone."""
-    p = table(spark, sf_dir, "pages").select("page_id", html_text.body_text_bytes(F.lower("html")).cast("double").alias("t"), F.octet_length("html").cast("double").alias("h"), F.size(links.raw_hrefs("html")).cast("double").alias("a"))
-    link = F.least(F.lit(0.85), F.col("a") * 10 / F.greatest(F.col("t"), F.lit(1.0)))
-    score = F.when(F.col("t") < 50, 0.0).otherwise(F.col("t") * F.pow(F.col("t") / F.col("h"), 2) * (1 - link) * F.when(F.col("t") > 500, 1.25).otherwise(1.0))
-    return p.select("page_id", F.round(score, 6).alias("score"))
+    """Boost and score of a wrapper around each page's first words, as a candidate for the main content."""
+    words = F.substring(F.regexp_replace("html", "[^A-Za-z ]", ""), 40, F.lit(40) + F.col("page_id").cast("int") % 900)
+    name = F.element_at(F.array(*(F.lit(x) for x in fx.CANDIDATE_NAMES)), (F.col("page_id") % len(fx.CANDIDATE_NAMES) + 1).cast("int"))
+    html = F.concat(F.lit("<body><section class='"), name, F.lit("'><p>"), words, F.lit("</p><a>linked words</a></section></body>"))
+    scores = extract.candidate_scores(table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html")), "section")
+    return scores.select("page_id", F.round("boost", 6).alias("boost"), F.round("score", 6).alias("score"))
 
 
 # Requests, caching, pacing.
@@ -512,8 +518,8 @@ def cache_hit_join(spark, sf_dir):
 
 @query
 def cache_totals(spark, sf_dir):
-    r = _requests(spark, sf_dir).select(url.cache_key("key", F.lit("markdown"), F.lit("auto")).alias("key"))
-    return r.agg(F.countDistinct("key").alias("n_keys"), F.count(F.lit(1)).alias("n_writes"))
+    r = _requests(spark, sf_dir).select(url.cache_key("key", F.lit("markdown"), F.lit("auto")).alias("key"), F.col("event_type").alias("url"))
+    return requests.cache_stats(requests.cache_without(r, fx.frame(spark, [("error",), ("error",)], "url string")))
 
 
 @query
@@ -566,6 +572,14 @@ def crawl_bfs(spark, sf_dir):
     return crawl.traverse(_edges(spark), SEED, max_depth=4).select("norm", "depth")
 
 
+@query
+def stored_crawl(spark, sf_dir):
+    """Pages that the first stored page's links lead to, one step on."""
+    p = table(spark, sf_dir, "pages")
+    first = p.agg(F.min_by("url", "page_id").alias("url")).first()["url"]
+    return crawl.traverse(crawl.page_edges(p), first, max_depth=1).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def map_urls(spark, sf_dir):
     return crawl.map_urls(_edges(spark), SEED, 3)
@@ -573,7 +587,10 @@ def map_urls(spark, sf_dir):
 
 @query
 def crawl_counters(spark, sf_dir):
-    return crawl.traverse(_edges(spark), SEED, max_depth=5).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
+    """The counters of a crawl whose stored pages are those that link to others."""
+    edges = _edges(spark)
+    pages = edges.select(F.col("src").alias("url")).distinct().withColumn("html", F.lit(""))
+    return crawl.crawl(pages, edges, SEED, max_depth=5, max_pages=50)[1]
 
 
 @query
@@ -617,7 +634,12 @@ def extract_links(spark, sf_dir):
 
 @query
 def extract_metadata(spark, sf_dir):
-    return extract.page_metadata(table(spark, sf_dir, "pages")).select("page_id", "title", "language")
+    """Ten fields of stored pages, with meta elements put in front by id."""
+    metas = F.lit("")
+    for i, text in enumerate(fx.METAS):
+        metas = F.when(F.col("page_id") % len(fx.METAS) == i, F.replace(F.lit(text), F.lit("ID"), F.col("page_id").cast("string"))).otherwise(metas)
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.replace("html", F.lit("<head>"), F.concat(F.lit("<head>"), metas)).alias("html"))
+    return extract.page_metadata(p)
 
 
 @query

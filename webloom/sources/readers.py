@@ -57,3 +57,9 @@ def evaluation_set(spark: SparkSession, path: str, most: int | None = None) -> D
     """Labelled URLs; ``most`` is the number asked for."""
     d = spark.read.parquet(path)
     return d if most is None else d.orderBy("url").limit(most)
+
+
+def color_names(spark: SparkSession, path: str) -> dict[str, str]:
+    """A table of colour names from CSV (hex, name), as :func:`webloom.functions.color.nearest_name` takes it; a few thousand rows."""
+    rows = spark.read.csv(path, schema="hex string, name string").limit(100_000).collect()
+    return {r["hex"].upper().removeprefix("#"): r["name"] for r in rows if r["hex"] and r["name"]}
