@@ -1,13 +1,21 @@
 """Personal data: base patterns plus offset-preserving deobfuscation.
 
-The base patterns run on the text itself. Then transducers rewrite what disguises an identifier - homoglyphs and
-full-width forms, invisible characters, digits spelled out in words, ``[at]`` / ``(dot)`` and `` at `` / `` dot `` -
-and note for every rewritten stretch where it came from. The same patterns run on the rewritten text, and what they
-find is mapped back to the source characters. A found span that meets a base span of its kind adds nothing.
-
-Every pattern is linear in the text (possessive runs, anchored starts), so very long texts without white space cost
-no more than others. Edge cases: a null text is empty and has no spans; repeated rows are judged row by row; extra
-columns are ignored. Offsets are code points, ends exclusive.
+The base patterns run on the text itself. Then transducers rewrite, one after another, what disguises an identifier, and
+note for every rewritten stretch where it came from:
+
+1. homoglyphs, full-width forms and invisible characters; character references and percent escapes of signs;
+2. mail addresses: ``[at]`` / ``(dot)``, `` at `` / `` dot ``, letters spaced out one by one. A spaced `` at `` counts only
+   between a name that isn't a plain word before "at" and a domain with a known ending;
+3. numbers: digits in words (compounds and "double" as well), mixed with figures, brackets and dashes; single digits
+   spaced out; dots of addresses in brackets or words.
+
+The same patterns run on the rewritten text, and what they find is mapped back to the source characters. A found span
+that meets a base span of its kind adds nothing.
+
+The work is linear in the text (possessive runs, anchored starts), so very long texts without white space cost no more
+than others. Edge cases: a null or empty text has no spans; ties between readings go to the leftmost, longest one; repeated
+rows are judged row by row; an empty table gives an empty result; extra columns are ignored. Offsets are code points, ends
+exclusive.
 """
 
 from __future__ import annotations
@@ -15,6 +23,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_right
+from html import unescape
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,27 +62,56 @@ AT_WORDS = ("at", "arroba", "ät", "arobase", "@")
 DOT_WORDS = ("dot", "punkt", "point", "punto", ".")
 PLUS_WORDS = ("plus", "más", "mas")
 
+# Words that say a digit again.
+TIMES_WORDS = {"double": 2, "triple": 3, "doble": 2, "doppel": 2}
+# Numbers from ten on in words, in English, German, French and Spanish.
+TEENS = {
+    **dict(zip("ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split(), range(10, 20), strict=True)),
+    **dict(zip("zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn".split(), range(10, 20), strict=True)),
+    **dict(zip("dix onze douze treize quatorze quinze seize".split(), range(10, 17), strict=True)),
+    **dict(zip("diez once doce trece catorce quince".split(), range(10, 16), strict=True)),
+}
+TENS = {
+    **dict(zip("twenty thirty forty fifty sixty seventy eighty ninety".split(), range(20, 100, 10), strict=True)),
+    **dict(zip("zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig".split(), range(20, 100, 10), strict=True)),
+    **dict(zip("vingt trente quarante cinquante soixante".split(), range(20, 70, 10), strict=True)),
+    **dict(zip("veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa".split(), range(20, 100, 10), strict=True)),
+}
+# Endings of domains that a disguise without brackets may have.
+ENDINGS = frozenset(
+    "com org net edu gov mil int info biz io co ai app dev me tv eu uk us ca au nz ie de at ch fr be nl lu es pt it se no dk fi is pl cz sk hu ro bg gr tr ru ua by "
+    "jp cn kr in br mx ar cl pe za ng ke eg il ae sa ir pk bd lk sg hk tw th vn id ph my example test invalid localhost local".split()
+)
+# Plain words that stand before "at" in prose.
+BEFORE_AT = frozenset(
+    "look looks looked good bad great better best available are is was were be been am meet met see seen work works working live lives stay arrive arrived stop start not only all it me us him her them you they we he she and or "
+    "this that there here stuff found find visit read more us directly sold held based hosted open opens online buy order located listed".split()
+)
+
 _alt = lambda words: "|".join(sorted(map(re.escape, words), key=len, reverse=True))
-_SPELLED = rf"(?:{_alt(DIGIT_WORDS)})"
+_UNIT = _alt(DIGIT_WORDS)
+_GERMAN = rf"(?:ein|{_alt(w for w in DIGIT_WORDS)})und(?:{_alt(w for w in TENS)})"
+_SPELLED = rf"(?:{_GERMAN}|(?:{_alt(TENS)})(?:(?:[\s-]|\sy\s|-et-|\set\s)(?:{_UNIT}|un))?|{_alt(TEENS)}|{_UNIT})"
 _SPOKEN_DOT = _alt(w for w in DOT_WORDS if w != ".")
-_ITEM = rf"(?:{_SPELLED}|[0-9]++|(?:{_SPOKEN_DOT}))(?!\w)"
-_RUN = re.compile(rf"(?<!\w)(?:(?:{_alt(PLUS_WORDS)})[\s-]+|\+\s*)?{_SPELLED}(?!\w)(?:[\s,\-]{{1,3}}{_ITEM}){{2,}}", re.I)
-_PIECE = re.compile(rf"{_alt(DIGIT_WORDS)}|[0-9]+|{_SPOKEN_DOT}|{_alt(PLUS_WORDS)}|\+", re.I)
-_BRACKET_AT = rf"\s*[\[({{<]\s*(?:{_alt(AT_WORDS)})\s*[\])}}>]\s*"
-_BRACKET_DOT = rf"\s*[\[({{<]\s*(?:{_alt(DOT_WORDS)})\s*[\])}}>]\s*"
-_SPACED_AT = rf"\s+(?:{_alt(AT_WORDS)})\s+"
-_SPACED_DOT = rf"\s+(?:{_SPOKEN_DOT})\s+"
-_TRIGGER = re.compile(rf"[\[({{<]\s*(?:{_alt(AT_WORDS)}|{_alt(DOT_WORDS)})\s*[\])}}>]", re.I)
-_NAME = r"[A-Za-z0-9_%+-]{1,64}"
-_ANY_DOT = rf"(?:{_BRACKET_DOT}|{_SPACED_DOT}|\.)"
-_MAIL = re.compile(
-    rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:{_ANY_DOT}{_NAME}){{0,4}}?"
-    rf"(?:{_BRACKET_AT}[A-Za-z0-9-]{{1,63}}(?:{_ANY_DOT}[A-Za-z0-9-]{{1,63}}){{1,6}}|{_SPACED_AT}[A-Za-z0-9-]{{1,63}}(?:(?:{_BRACKET_DOT}|{_SPACED_DOT})[A-Za-z0-9-]{{1,63}}){{1,6}}"
-    rf"|@[A-Za-z0-9-]{{1,63}}(?:(?:{_BRACKET_DOT}|{_SPACED_DOT})[A-Za-z0-9-]{{1,63}}){{1,6}})",
-    re.I,
-)
-_MAIL_SIGNS = re.compile(rf"(?P<at>{_BRACKET_AT}|{_SPACED_AT})|(?P<dot>{_BRACKET_DOT}|{_SPACED_DOT})", re.I)
-_BARE = re.compile(rf"\s(?:{_SPOKEN_DOT})\s", re.I)
+_TIMES = rf"(?:(?:{_alt(TIMES_WORDS)})[\s-]+)?"
+_ITEM = rf"(?:{_TIMES}{_SPELLED}|[0-9]++|(?:{_SPOKEN_DOT}))(?!\w)"
+_RUN = re.compile(rf"(?<!\w)(?:(?:{_alt(PLUS_WORDS)})[\s-]+|\+\s*)?\(?{_ITEM}(?:(?:[\s,\-()]{{1,4}}|\.){_ITEM}){{2,}}", re.I)
+_ANY_SPELLED = re.compile(rf"(?<!\w)(?:{_SPELLED}|{_SPOKEN_DOT})(?!\w)", re.I)
+_PIECE = re.compile(rf"{_GERMAN}|{_alt(TENS)}|{_alt(TEENS)}|{_UNIT}|{_alt(TIMES_WORDS)}|[0-9]+|{_SPOKEN_DOT}|{_alt(PLUS_WORDS)}|[+.]|\sy\s|-?\bet\b-?", re.I)
+_GERMAN_PARTS = re.compile(rf"({_alt([*DIGIT_WORDS, 'ein'])})und({_alt(TENS)})", re.I)
+_AT_SIGN = re.compile(rf"(?P<hard>\s{{0,20}}[\[({{<]\s{{0,20}}(?:{_alt(AT_WORDS)})\s{{0,20}}[\])}}>]\s{{0,20}})|(?P<soft>(?<=\w)\s{{1,20}}(?:{_alt(AT_WORDS)})\s{{1,20}}(?=\w))|(?P<plain>@)", re.I)
+_HARD_DOT = rf"\s{{0,20}}[\[({{<]\s{{0,20}}(?:{_alt(DOT_WORDS)})\s{{0,20}}[\])}}>]\s{{0,20}}"
+_SOFT_DOT = rf"\s{{1,20}}(?:{_SPOKEN_DOT})\s{{1,20}}"
+_DOT_SIGN = re.compile(rf"(?P<hard>{_HARD_DOT})|(?P<soft>{_SOFT_DOT})|(?P<plain>\.)|(?P<blank>\x20\.\x20)", re.I)
+_DOT_BEFORE = re.compile(rf"(?:(?P<hard>{_HARD_DOT})|(?P<soft>{_SOFT_DOT})|(?P<plain>\.)|(?P<blank>\x20\.\x20))\Z", re.I)
+_SPACED = re.compile(r"[A-Za-z0-9](?:\x20[A-Za-z0-9](?![A-Za-z0-9]))++(?![A-Za-z0-9])")
+_SPACED_BEFORE = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9](?:\x20[A-Za-z0-9]){2,}\Z")
+_LABEL = re.compile(r"[A-Za-z0-9-]++")
+_DOTTED = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:{_HARD_DOT}|{_SOFT_DOT}|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
+_BLANK_DOTTED = re.compile(r"(?<![0-9.])[0-9](?:\x20?[0-9]){0,2}(?:\x20?\.\x20?[0-9](?:\x20?[0-9]){0,2}){3}(?![0-9])")
+_ESCAPED = re.compile(r"&#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});|&(?:commat|period|plus|lpar|rpar|lowbar|hyphen|dash);|%(?:40|2[bBeE])")
+_MAY_ESCAPE = re.compile(r"&[#a-z]|%[24]")
+_NAME_SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-")
 #: Beyond Latin letters and ordinary punctuation: may hold homoglyphs, full-width forms or invisible characters.
 _ODD = re.compile(r"[­ɐ-᷿​-‏․⁠-₟℀-⅏①-⓿　﹒﹫﻿-￯\U0001D400-\U0001D7FF]")
 _INVISIBLE = frozenset("­​‌‍‎‏⁠﻿")
@@ -178,37 +217,156 @@ def _glyph_edits(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), new) for m in _ODD.finditer(text) if (new := plain_char(m[0])) is not None]
 
 
+def _escape_edits(text: str) -> list[tuple[int, int, str]]:
+    """Character references and percent escapes that stand for ASCII signs, letters or digits."""
+    out = []
+    for m in _ESCAPED.finditer(text):
+        new = unquote(m[0]) if m[0][0] == "%" else unescape(m[0])
+        if len(new) == 1 and new.isascii() and new.isprintable():
+            out.append((m.start(), m.end(), new))
+    return out
+
+
+def _blanks(text: str, a: int, b: int) -> list[tuple[int, int, str]]:
+    return [(i, i + 1, "") for i in range(a, b) if text[i] == " "]
+
+
+def _name_before(text: str, end: int, least: int) -> tuple[int, list, bool, bool]:
+    """(start, edits, spaced out, has disguised dots) of the name that ends at ``end``; it starts at ``least`` or later."""
+    spaced = _SPACED_BEFORE.search(text, max(least, end - 200), end)
+    if spaced and all(len(w) == 1 for w in spaced[0].split(" ")):
+        return spaced.start(), _blanks(text, spaced.start(), end), True, False
+    edits, at, disguised = [], end, False
+    while True:
+        i = at
+        while i > least and text[i - 1] in _NAME_SIGNS:
+            i -= 1
+        if i == at:
+            break
+        start = i
+        dot = _DOT_BEFORE.search(text, max(least, i - 60), i)
+        if not dot or dot["blank"] or dot.start() <= least or text[dot.start() - 1] not in _NAME_SIGNS:
+            break
+        if not dot["plain"]:
+            edits.append((dot.start(), dot.end(), "."))
+            disguised = True
+        at = dot.start()
+    if at == end and i == end:
+        return end, [], False, False
+    edits = [e for e in edits if e[0] > start]
+    return start, edits, False, disguised
+
+
 def _mail_edits(text: str) -> list[tuple[int, int, str]]:
-    edits = []
-    for m in _MAIL.finditer(text):
-        for s in _MAIL_SIGNS.finditer(text, m.start(), m.end()):
-            edits.append((s.start(), s.end(), "@" if s["at"] else "."))
+    """From each at sign, plain or disguised, to the left for the name and to the right for the domain."""
+    edits: list[tuple[int, int, str]] = []
+    last = 0
+    for m in _AT_SIGN.finditer(text):
+        if m.start() < last:
+            continue
+        start, left, spaced, _ = _name_before(text, m.start(), last)
+        if start >= m.start():
+            continue
+        right, labels, hard, disguised, at, end = [], [], bool(m["hard"]), False, m.end(), None
+        while True:
+            part = _SPACED.match(text, at) if spaced or len(labels) else None
+            part = part or _LABEL.match(text, at)
+            if not part or part[0].lower() in DOT_WORDS:
+                break
+            labels.append(part[0].replace(" ", "").lower())
+            right += _blanks(text, part.start(), part.end())
+            at = part.end()
+            if len(labels) > 1 and (hard or spaced or labels[-1] in ENDINGS):
+                end = (at, len(right), disguised)
+            dot = _DOT_SIGN.match(text, at)
+            if not dot or dot["blank"] and not spaced or dot["plain"] and m["soft"] and not spaced:
+                break
+            hard = hard or bool(dot["hard"])
+            disguised = disguised or not dot["plain"]
+            if not dot["plain"]:
+                right.append((dot.start(), dot.end(), "."))
+            at = dot.end()
+        if end is None:
+            continue
+        at, n, disguised = end
+        if m["plain"] and not left and not disguised:
+            continue  # the base pattern has it
+        if m["soft"] and not spaced and not hard and text[start : m.start()].lower() in BEFORE_AT:
+            continue
+        edits += sorted(left) + ([] if m["plain"] else [(m.start(), m.end(), "@")]) + right[:n]
+        last = at
     return edits
 
 
+def _spoken(run: str) -> str:
+    """The figures, signs and dots that a run of number words says."""
+    out, times, tens = "", 1, 0
+    for p in _PIECE.findall(run):
+        w = p.lower()
+        if w.strip(" \t\n-") in ("y", "et"):
+            continue
+        if tens and (w not in DIGIT_WORDS or DIGIT_WORDS[w] == "0"):
+            out, tens = out + str(tens), 0
+        german = _GERMAN_PARTS.fullmatch(w)
+        if german:
+            out += str(TENS[german[2]] + int(DIGIT_WORDS.get(german[1], "1")))
+        elif w in TENS:
+            tens = TENS[w]
+        elif tens:
+            out, tens = out + str(tens + int(DIGIT_WORDS[w])), 0
+        elif w in TIMES_WORDS:
+            times = TIMES_WORDS[w]
+        elif w in TEENS:
+            out += str(TEENS[w])
+        elif w in DIGIT_WORDS or w.isdigit():
+            out, times = out + DIGIT_WORDS.get(w, w) * times, 1
+        elif w in PLUS_WORDS or w == "+":
+            out += "+"
+        elif w in DOT_WORDS:
+            out += "."
+    return out + (str(tens) if tens else "")
+
+
 def _digit_edits(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in _RUN.finditer(text):
-        new = ""
-        for p in _PIECE.findall(m[0]):
-            w = p.lower()
-            new += DIGIT_WORDS.get(w) or ("+" if w in PLUS_WORDS or w == "+" else "." if w in DOT_WORDS else w)
+        if not _ANY_SPELLED.search(m[0]):
+            continue
+        new = _spoken(m[0])
         if len(_NOT_DIGITS.sub("", new)) >= 7 or new.count(".") == 3:
             edits.append((m.start(), m.end(), new))
     return edits
 
 
+def _dotted_edits(text: str) -> list[tuple[int, int, str]]:
+    """Addresses whose dots are disguised, or whose digits are spaced out."""
+    found = [(m.start(), m.end(), re.sub(r"[^0-9.]+", ".", re.sub(rf"{_HARD_DOT}|{_SOFT_DOT}", ".", m[0], flags=re.I))) for m in _DOTTED.finditer(text)]
+    for m in _BLANK_DOTTED.finditer(text):
+        if re.search(r"[0-9]\x20[0-9]", m[0]):
+            found.append((m.start(), m.end(), m[0].replace(" ", "")))
+    out, end = [], 0
+    for a, b, new in sorted(found):
+        if a >= end and new != text[a:b]:
+            out.append((a, b, new))
+            end = b
+    return out
+
+
+_WORD_TRIGGER = re.compile(rf"[\[({{<]\s{{0,20}}(?:{_alt(AT_WORDS)}|{_alt(DOT_WORDS)})\s{{0,20}}[\])}}>]|\s(?:{_SPOKEN_DOT})\s|[A-Za-z0-9]\x20[.@]\x20[A-Za-z0-9]|\x20[A-Za-z0-9]\x20[@]", re.I)
+
+
 def disguised_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans that only the rewritten text shows, in source offsets."""
-    odd = not text.isascii() and _ODD.search(text)
-    spelled = odd or _RUN.search(text)
-    mail = odd or _TRIGGER.search(text) or _BARE.search(text)
-    if not (spelled or mail):
-        return []
     tape = Tape(text)
-    for edits, wanted in ((_glyph_edits, odd), (_mail_edits, mail), (_digit_edits, spelled)):
-        if wanted:
-            tape = tape.rewrite(edits(tape.text))
+    if not text.isascii() and _ODD.search(text):
+        tape = tape.rewrite(_glyph_edits(tape.text))
+    if _MAY_ESCAPE.search(text):
+        tape = tape.rewrite(_escape_edits(tape.text))
+    if _WORD_TRIGGER.search(tape.text):
+        tape = tape.rewrite(_mail_edits(tape.text))
+        tape = tape.rewrite(_dotted_edits(tape.text))
+    if _ANY_SPELLED.search(tape.text):
+        tape = tape.rewrite(_digit_edits(tape.text))
     if len(tape.starts) == 1 and tape.text == text:
         return []
     out, taken = [], {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}
