@@ -1,22 +1,25 @@
 """Removal of repeated 200-byte strings with a distributed difference-cover suffix sort.
 
-1. Anchors. In every 200-byte window the least 50-byte gram (by hash; the rightmost of equals) is the window's
+1. Texts. Equal texts repeat each other whole; what follows works on one copy of each.
+2. Anchors. In every 200-byte window the least 50-byte gram (by hash; the rightmost of equals) is the window's
    anchor. It depends on the window's bytes alone, so equal windows have equal anchors at equal places: windows whose
    anchor gram occurs once in the corpus can't repeat, and all others meet their equals under one anchor. Consecutive
    windows share anchors, about one in 76 bytes.
-2. Contexts. An anchor's windows lie in one stretch of bytes, its context. A context that occurs twice repeats with
+3. Contexts. An anchor's windows lie in one stretch of bytes, its context. A context that occurs twice repeats with
    all its windows. Only anchors with several different contexts need a closer look, at one copy of each context.
-3. Difference-cover suffix sort. These contexts are dealt into tasks by anchor; each task sorts all its suffixes:
+4. Difference-cover suffix sort. These contexts are dealt into tasks by anchor; each task sorts all its suffixes:
    triples of 8-byte symbols at the positions 1 and 2 modulo 3 are sorted and named, the string of names is sorted by
    recursion (three levels decide 27 symbols, 216 bytes), the remaining suffixes are merged in by symbol and rank,
    and neighbours in the suffix order are compared over exactly 200 bytes.
-4. Repeated windows go back to every place where their context occurs, and the bytes they cover are removed.
+5. Repeated windows go back to every place where their context occurs, and the bytes they cover are removed.
 
 No group is gathered whole: an anchor with very many contexts is cut further, by place in the window and by the bytes
-that a block of eight windows shares; equal blocks meet in a join, and one copy of them is sorted. Texts over PIECE windows are worked on in overlapping pieces.
+that a block of eight windows shares; equal blocks meet in a join, and one copy of them is sorted. Texts over PIECE
+windows are worked on in overlapping pieces. Texts are told apart by md5, contexts by 128 bits of two hashes.
 
-Edge cases: null texts are empty; texts under 200 bytes keep every byte; repeated rows repeat each other; an empty
-table gives an empty result; extra columns are ignored. Matches never cross documents.
+Edge cases: null texts are empty; texts under 200 bytes keep every byte; very long texts are worked on in pieces that
+overlap by a window; repeated rows repeat each other, whatever their ids; ties between equal grams go to the right one;
+an empty table gives an empty result; extra columns are ignored. Matches never cross documents.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import arrow_map, core, written
+from webloom.llm.common import arrow_map, core, released, written
 
 LENGTH, GRAM = 200, 50
 SPAN = LENGTH - GRAM + 1
@@ -242,7 +245,7 @@ _ANCHOR = "array<struct<lo:int,n:int,d:int,h:long,c:long>>"
 
 
 def _anchored(docs: DataFrame) -> DataFrame:
-    """Per document row: doc_id, digest of its text, bytes, sha256 of all bytes, anchors."""
+    """Per document row: doc_id, digest (md5) of its text, bytes, sha256 of all bytes, anchors."""
 
     def run(batch: pa.RecordBatch) -> dict:
         raw = [_utf8(t) for t in batch.column("text").to_pylist()]
@@ -271,17 +274,17 @@ def _anchored(docs: DataFrame) -> DataFrame:
         structs = pa.StructArray.from_arrays([pa.array(c.astype(k)) for c, k in zip(merged, kinds, strict=True)], names=["lo", "n", "d", "h", "c"])
         return {
             "doc_id": batch.column("doc_id"),
-            "digest": [xxhash.xxh3_128_digest(b) for b in raw],
+            "digest": [hashlib.md5(b, usedforsecurity=False).hexdigest() for b in raw],
             "n_bytes": list(map(len, raw)),
             "sha": [hashlib.sha256(b).hexdigest() for b in raw],
             "anchors": pa.ListArray.from_arrays(pa.array(offsets), structs),
         }
 
-    return arrow_map(core(docs, "doc_id", "text"), run, f"doc_id long, digest binary, n_bytes long, sha string, anchors {_ANCHOR}")
+    return arrow_map(core(docs, "doc_id", "text"), run, f"doc_id long, digest string, n_bytes long, sha string, anchors {_ANCHOR}")
 
 
 def _contexts(wanted: DataFrame) -> DataFrame:
-    """wanted: text, digest, reps (h, c, lo, n, d, many) -> (key, h, c, w0, data) rows for the suffix sort."""
+    """wanted: text, reps (h, c, lo, n, d, many) -> (key, h, c, w0, data) rows for the suffix sort."""
 
     def run(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"key": [], "h": [], "c": [], "w0": [], "data": []}
@@ -290,10 +293,8 @@ def _contexts(wanted: DataFrame) -> DataFrame:
             for name, value in zip(out, (key, r["h"], r["c"], w0, data), strict=True):
                 out[name].append(value)
 
-        for text, digest, reps in zip(*(batch.column(c).to_pylist() for c in ("text", "digest", "reps")), strict=True):
+        for text, reps in zip(*(batch.column(c).to_pylist() for c in ("text", "reps")), strict=True):
             raw = _utf8(text)
-            if xxhash.xxh3_128_digest(raw) != digest:
-                continue  # another row with this doc_id
             for r in reps:
                 lo, n = r["lo"], r["n"]
                 if not r["many"]:
@@ -330,14 +331,12 @@ def _windows(pieces: DataFrame) -> DataFrame:
 
 
 def _cut(rows: DataFrame) -> DataFrame:
-    """rows: text, digest, rid, n_bytes, spans -> rid and the result of removing the spans."""
+    """rows: text, digest, spans -> digest and the result of removing the spans."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"rid": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
-        for text, digest, rid, spans in zip(*(batch.column(c).to_pylist() for c in ("text", "digest", "rid", "spans")), strict=True):
+        out: dict[str, list] = {"digest": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
+        for text, digest, spans in zip(*(batch.column(c).to_pylist() for c in ("text", "digest", "spans")), strict=True):
             raw = _utf8(text)
-            if xxhash.xxh3_128_digest(raw) != digest:
-                continue
             removed = n = at = 0
             kept = hashlib.sha256()
             end = -1
@@ -352,31 +351,43 @@ def _cut(rows: DataFrame) -> DataFrame:
                     end = s[1]
                 at = end
             kept.update(raw[at:])
-            for name, value in zip(out, (rid, removed, n, kept.hexdigest()), strict=True):
+            for name, value in zip(out, (digest, removed, n, kept.hexdigest()), strict=True):
                 out[name].append(value)
         return out
 
-    return arrow_map(rows, run, "rid long, n_removed long, n_spans long, kept_sha256 string")
+    return arrow_map(rows, run, "digest string, n_removed long, n_spans long, kept_sha256 string")
 
 
-def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): rows (rid, doc_id, digest, n_bytes, sha) for every document row, spans (rid, a, b) to remove; spans may meet."""
+def _with_digest(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the md5 of the text's bytes."""
+    return core(docs, "doc_id", "text").withColumn("digest", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+
+
+def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, texts, spans): rows (doc_id, digest, n_bytes, sha) for every document row, texts (digest, rid, _id, k) for every
+    distinct text with the number of its rows, spans (rid, a, b) to remove from texts that occur once; spans may meet."""
     rows = written(_anchored(docs).withColumn("rid", F.monotonically_increasing_id()), "op6-rows")
-    each = rows.select("rid", F.explode("anchors").alias("x")).select("rid", "x.*")
+    texts = rows.groupBy("digest").agg(F.min(F.struct("rid", F.col("doc_id").alias("_id"))).alias("rep"), F.count(F.lit(1)).alias("k"))
+    texts = written(texts.select("digest", "rep.rid", "rep._id", "k"), "op6-texts")
+    copies = written(rows.select("digest", "rid").join(texts.filter("k > 1").select("digest", F.col("rid").alias("first")), "digest").filter("rid <> first").select("rid"), "op6-copies")
+    each = rows.select("rid", "anchors").join(copies, "rid", "left_anti").select("rid", F.explode("anchors").alias("x")).select("rid", "x.*")
+    each = written(each, "op6-anchors")
     twice = each.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("k > 1")
     # Written first: a join of two plain shuffles can be split where one gram has very many places.
     twice = written(twice.select("h", (F.col("c0") != F.col("c1")).alias("several")), "op6-twice")
     shared = written(each.join(twice, "h"), "op6-shared")
+    released(each, twice)
     contexts = shared.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k"), F.max("several").alias("several"), F.max("n").alias("n"), F.min(F.struct("rid", "lo", "n", "d")).alias("rep"))
     contexts = written(contexts, "op6-contexts")
     whole = contexts.filter("k > 1").select("h", "c", F.lit(0).alias("first"), F.col("n").alias("last"))
     several = contexts.filter("several")
     many = several.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > MANY).select("h", F.lit(True).alias("many"))
-    reps = several.join(many, "h", "left").select("h", "c", "rep.*", F.coalesce("many", F.lit(False)).alias("many"))
+    reps = several.join(written(many, "op6-many"), "h", "left").select("h", "c", "rep.*", F.coalesce("many", F.lit(False)).alias("many"))
     by_row = reps.groupBy("rid").agg(F.collect_list(F.struct("h", "c", "lo", "n", "d", "many")).alias("reps"))
-    wanted = by_row.join(rows.select("rid", F.col("doc_id").alias("_id"), "digest"), "rid")
-    texts = core(docs, "doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "digest", "reps")
-    pieces = written(_contexts(texts).dropDuplicates(["h", "c", "w0"]).withColumn("mark", F.xxhash64("data")), "op6-pieces")
+    wanted = by_row.join(texts.select("rid", F.col("digest").alias("_digest"), "_id"), "rid")
+    # One row of each text is enough: that of the first id, and of rows that share it any.
+    found = _with_digest(docs).join(wanted, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "reps")
+    pieces = written(_contexts(found).dropDuplicates(["h", "c", "w0"]).withColumn("mark", F.xxhash64("data")), "op6-pieces")
     alike, distinct = _met_twice(pieces, "op6-alike")
     # Blocks that differ only beyond the bytes they share, as at the ends of a passage, meet window by window if very many.
     crowded = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > MANY).select("key", F.lit(True).alias("crowded"))
@@ -387,23 +398,30 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tasks = max(1, -(-size // TASK_BYTES))
     partial = sorted_here.withColumn("task", F.pmod(F.xxhash64("key"), F.lit(tasks))).groupBy("task").applyInPandas(_sort_task, "h long, c long, first int, last int")
     runs = written(whole.unionByName(alike).unionByName(single).unionByName(partial), "op6-runs")
+    released(pieces, dealt)
     found = shared.join(runs, ["h", "c"])
-    return rows.drop("anchors"), found.select("rid", (F.col("lo") + F.col("first")).alias("a"), (F.col("lo") + F.col("last") + LENGTH).alias("b"))
+    return rows.drop("anchors", "rid"), texts, found.select("rid", (F.col("lo") + F.col("first")).alias("a"), (F.col("lo") + F.col("last") + LENGTH).alias("b"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per document row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    rows, spans = repeated_spans(docs)
-    by_row = written(spans.groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "op6-spans")
-    wanted = rows.select("rid", F.col("doc_id").alias("_id"), "digest").join(by_row, "rid")
-    texts = core(docs, "doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "digest", "rid", "spans")
-    cut = _cut(texts).dropDuplicates(["rid"])
-    return rows.join(cut, "rid", "left").select(
-        "doc_id",
-        "n_bytes",
-        F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
-        F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
+    rows, texts, spans = repeated_spans(docs)
+    once = texts.filter("k = 1").select("rid", F.col("digest").alias("_digest"))
+    wanted = written(spans.groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("spans")).join(once, "rid").drop("rid"), "op6-spans")
+    cut = _cut(_with_digest(docs).join(wanted, F.col("digest") == F.col("_digest")).select("text", "digest", "spans"))
+    copied = texts.filter("k > 1").select("digest", F.lit(True).alias("copied"))
+    # Copies of a text that holds a window go whole.
+    gone = F.coalesce(F.col("copied"), F.lit(False)) & (F.col("n_bytes") >= LENGTH)
+    return (
+        rows.join(written(copied, "op6-copied"), "digest", "left")
+        .join(written(cut, "op6-cut"), "digest", "left")
+        .select(
+            "doc_id",
+            "n_bytes",
+            F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+            F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+            F.when(gone, hashlib.sha256(b"").hexdigest()).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        )
     )
 
 
