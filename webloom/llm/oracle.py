@@ -1,7 +1,6 @@
 """DuckDB twins of the operators that SQL can express, by plain brute force over all rows.
 
-The others learn (op1, op5, op10), iterate over a graph (op2), walk trees (op3), cut byte strings (op6) or rewrite
-text with offsets (op7): tests hold them against brute-force versions or held-out accuracy.
+The others learn (op1, op5, op10), iterate over a graph (op2), walk trees (op3) or rewrite text with offsets (op7): tests hold them against brute-force versions or held-out accuracy.
 """
 
 from __future__ import annotations
@@ -24,6 +23,19 @@ SELECT w.id AS doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) A
 FROM w LEFT JOIN covered c ON c.doc_id = w.id LEFT JOIN found f ON f.doc_id = w.id WHERE w.kind = 'd'
 """
 
+ORACLES["op6_suffix_dedup"] = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS MATERIALIZED (SELECT r, p, md5(h[2 * p - 1:2 * p + 398]) AS x FROM (SELECT r, h, unnest(range(1, n - 198)) AS p FROM d WHERE n >= 200)),
+t AS (SELECT x FROM w GROUP BY x HAVING count(*) > 1),
+hit AS (SELECT r, p, p - lag(p) OVER (PARTITION BY r ORDER BY p) AS gap FROM w SEMI JOIN t USING (x)),
+runs AS (SELECT r, min(p) AS a, max(p) + 199 AS b FROM (SELECT r, p, count(CASE WHEN gap > 200 THEN 1 END) OVER (PARTITION BY r ORDER BY p) AS k FROM hit) GROUP BY r, k),
+cut AS (SELECT r, count(*) AS n_spans, sum(b - a + 1) AS n_removed, max(b) AS last FROM runs GROUP BY r),
+kept AS (SELECT r, string_agg(h[2 * from_ + 1:2 * a - 2], '' ORDER BY a) AS k FROM (SELECT r, a, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS from_ FROM runs) JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN last IS NULL THEN h ELSE k || h[2 * last + 1:] END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (r) LEFT JOIN kept USING (r)
+"""
+
 ORACLES["op8_ngram_join"] = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
