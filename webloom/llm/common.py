@@ -6,7 +6,6 @@ executor costs a re-read and never a re-run of the stages before it.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,35 +13,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webloom.sources.shared import importable
+from webloom.sources.shared import importable, shared_folder
 
 #: ASCII white space of the word rule ``[^\x20\x09-\x0D]+``; ``bytes.split()`` splits at the same six characters.
 SPACES = " \t\n\x0b\x0c\r"
 
-_LOCAL_DIR: str | None = None
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for written intermediates: the session's checkpoint folder; a temporary one on a local master only."""
-    global _LOCAL_DIR
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if _LOCAL_DIR is None:
-        _LOCAL_DIR = "file://" + tempfile.mkdtemp(prefix="webloom-")
-    return _LOCAL_DIR
-
-
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written once as Parquet under the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/webloom/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/webloom/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._webloom_path = path
@@ -132,6 +115,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def text_digest() -> Column:
+    """The md5 of a text's bytes; a null text's is that of an empty one."""
+    return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+
+
 def core(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that extra columns with clashing names never meet the operator's own."""
     return docs.select(*(F.col(f"`{c}`") for c in columns))

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from webloom.llm.common import released, written
 
 
-def _star(edges: DataFrame) -> DataFrame:
-    """Per row (u, v): v's link to the least node among u and its neighbours."""
+def _star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per row (u, v): v's link to the least node among u and its neighbours; and the written minima."""
     least = written(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
-    return edges.join(least, "u")  # of two plain shuffles: a hub's rows can be split
+    return edges.join(least, "u"), least  # of two plain shuffles: a hub's rows can be split
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -25,14 +25,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     state = None
     for _ in range(most_rounds):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        starred, minima = _star(both)
+        large = starred.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         large = large.distinct()
         large = written(large, "cc-large")
         least = written(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         after = written(small.filter("u <> v").distinct(), "cc")
         row = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        released(current)
+        released(current, minima, large, least)
         current = after
         if tuple(row) == state:
             break

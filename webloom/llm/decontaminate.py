@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import ROW_ID, arrow_map, core, with_row_ids, written
+from webloom.llm.common import arrow_map, core, text_digest, written
 
 SIZE = 13
 #: Words up to which a vocabulary is sent to the tasks as it is.
@@ -170,7 +170,7 @@ def _places(words: list[bytes], hits: set[bytes]) -> list[int]:
 
 
 def candidates(docs: DataFrame, tokens: Vocabulary, signs: Vocabulary, size: int = SIZE) -> DataFrame:
-    """Per document row its word count and, for each word that may be a prefix word beside its neighbour, the words around it."""
+    """Per document row the digest of its text, its word count and, for each word that may be a prefix word beside its neighbour, the words around it."""
     shared = docs.sparkSession.sparkContext.broadcast((tokens, signs))
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -197,14 +197,19 @@ def candidates(docs: DataFrame, tokens: Vocabulary, signs: Vocabulary, size: int
                         }
                     )
             found.append(own)
-        return {"doc_id": batch.column("doc_id"), "n_words": n_words, "found": found}
+        return {"doc_id": batch.column("doc_id"), "digest": batch.column("digest"), "n_words": n_words, "found": found}
 
-    schema = "doc_id long, n_words long, found array<struct<pos:int,n_left:int,n_right:int,token:string,left:string,right:string>>"
-    return arrow_map(core(docs, "doc_id", "text"), run, schema)
+    schema = "doc_id long, digest string, n_words long, found array<struct<pos:int,n_left:int,n_right:int,token:string,left:string,right:string>>"
+    return arrow_map(core(docs, "doc_id", "text").withColumn("digest", text_digest()), run, schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and 20 * n_hit >= n_words)."""
+    return _judged(docs, benchmark, size).drop("digest")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
+    """:func:`contamination` with the digest of each row's text."""
     windows = written(benchmark_windows(benchmark, size), "op4-windows")
     vocabulary = windows.select(F.explode("words").alias("word")).distinct()
     frequency = written(document_frequency(docs, Vocabulary(vocabulary)), "op4-frequency")
@@ -223,11 +228,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> Da
     covered = runs.select("rid", gain.alias("gain")).groupBy("rid").agg(F.sum("gain").alias("n_hit"))
     items = hits.groupBy("rid").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     return (
-        rows.select("rid", "doc_id", "n_words")
+        rows.select("rid", "doc_id", "digest", "n_words")
         .join(covered, "rid", "left")
         .join(items, "rid", "left")
         .select(
             "doc_id",
+            "digest",
             "n_words",
             F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
             F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
@@ -240,9 +246,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> Da
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, each judged by its own text whatever its ``doc_id``."""
-    rows = with_row_ids(docs, "op4-docs")
-    bad = contamination(core(rows, ROW_ID, "text").toDF("doc_id", "text"), benchmark).filter("contaminated").select(F.col("doc_id").alias("__webloom_bad"))
-    return rows.join(bad, F.col(ROW_ID) == F.col("__webloom_bad"), "left_anti").drop(ROW_ID)
+    bad = written(_judged(docs, benchmark, SIZE).filter("contaminated").select(F.col("digest").alias("__webloom_bad")).distinct(), "op4-bad")
+    return docs.join(bad, text_digest() == F.col("__webloom_bad"), "left_anti")
 
 
 __all__ = ["contamination", "drop_contaminated"]

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import ROW_ID, arrow_map, core, released, with_row_ids, written
+from webloom.llm.common import arrow_map, core, released, text_digest, written
 from webloom.llm.components import components
 
 WORDS = 5
@@ -106,7 +106,8 @@ def _bytes_of(sig: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Per document row: doc_id, node (128-bit digest of its shingle set; null without words), its size, bands and sig (BANDS * ROWS bytes)."""
+    """Per document row: doc_id, digest of its text, node (128-bit digest of its shingle set; null without words), its size, bands and
+    sig (BANDS * ROWS bytes)."""
 
     def run(batch: pa.RecordBatch) -> dict:
         nodes, sizes, bands, sigs = [], [], [], []
@@ -117,9 +118,10 @@ def signatures(docs: DataFrame) -> DataFrame:
             sizes.append(len(own))
             bands.append(_band_keys(sig) if len(own) else None)
             sigs.append(_bytes_of(sig).tobytes() if len(own) else None)
-        return {"doc_id": batch.column("doc_id"), "node": nodes, "size": sizes, "bands": bands, "sig": sigs}
+        return {"doc_id": batch.column("doc_id"), "digest": batch.column("digest"), "node": nodes, "size": sizes, "bands": bands, "sig": sigs}
 
-    return arrow_map(core(docs, "doc_id", "text"), run, "doc_id long, node binary, size long, bands array<long>, sig binary")
+    rows = core(docs, "doc_id", "text").withColumn("digest", text_digest())
+    return arrow_map(rows, run, "doc_id long, digest string, node binary, size long, bands array<long>, sig binary")
 
 
 def _alive(sigs: np.ndarray, sizes: np.ndarray, i: int, js: np.ndarray, threshold: float, least: dict[int, int]) -> np.ndarray:
@@ -175,13 +177,16 @@ def candidate_ties(classes: DataFrame, threshold: float, least: dict[int, int],
     buckets = written(buckets.select("key", "n", "blocks"), "op8-buckets")
     rows = buckets.agg(F.sum("n")).first()[0] or 0
     tasks = max(1, -(-rows // BUCKET_ROWS))
-    members = written(keyed.join(buckets, "key").drop("n"), "op8-members").join(classes.select("short", "size", "sig"), "short")
+    placed = written(keyed.join(buckets, "key").drop("n"), "op8-members")
+    members = placed.join(classes.select("short", "size", "sig"), "short")
     own = F.pmod(F.xxhash64("short"), F.col("blocks")).cast("int")
     spread = members.withColumn("block", own).withColumn("k", F.explode(F.expr("sequence(0, blocks - 1)")))
     spread = spread.withColumn("i", F.least("block", "k")).withColumn("j", F.greatest("block", "k")).drop("k")
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(tasks))).otherwise(F.xxhash64("key", "i", "j"))
     found = spread.withColumn("task", task).groupBy("task").applyInPandas(lambda pdf: _ties_of(pdf, threshold, least), "a long, b long")
-    return written(found, "op8-ties")
+    ties = written(found, "op8-ties")
+    released(buckets, placed)
+    return ties
 
 
 def _sets(chosen: DataFrame) -> DataFrame:
@@ -257,22 +262,23 @@ def _links_of(pdf: pd.DataFrame, threshold: float, least: dict[int, int]) -> pd.
     return pd.DataFrame({"node": pd.Series(nodes, dtype=object), "mate": pd.Series(mates, dtype=object), "links": pd.Series(links, dtype="int64")})
 
 
-def jaccard_classes(
-    docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK, bucket_block: int = BUCKET_BLOCK
-) -> DataFrame:
-    """Per document row: doc_id, class_id (least doc_id linked to it over any chain), copy_id (least doc_id with an equal
-    shingle set), n_links (other documents at the threshold or above, equal ones included)."""
+def _judged(docs: DataFrame, threshold: float, tolerance: float, block: int, bucket_block: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, named): rows (doc_id, digest of the text, node) for every document row, named (node, root, copy_id, class_id, n_links)
+    for every distinct set. Texts are fetched again by their digests, so that no id of a row has to be the same twice."""
     least = fewest_matches(threshold, tolerance)
-    rows = written(signatures(docs), "op8-rows")
-    worded = rows.filter("node IS NOT NULL")
-    classes = worded.groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("size", "bands", "sig")).alias("one"))
+    signed = written(signatures(docs), "op8-signed")
+    rows = written(signed.select("doc_id", "digest", "node"), "op8-rows")
+    classes = signed.filter("node IS NOT NULL").groupBy("node")
+    classes = classes.agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("digest", "size", "bands", "sig")).alias("one"))
     # Candidates are tied by 64 bits of their digests: where two meet by chance, only one more pair is compared.
     classes = written(classes.select("node", F.xxhash64("node").alias("short"), "copy_id", "copies", "one.*"), "op8-nodes")
-    roots = written(components(candidate_ties(classes, threshold, least, bucket_block)), "op8-roots")
+    released(signed)
+    ties = candidate_ties(classes, threshold, least, bucket_block)
+    roots = written(components(ties), "op8-roots")
     sizes = written(roots.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "op8-sizes")
     members = roots.join(sizes, "root").select(F.col("node").alias("short"), F.col("root").alias("comp"), "blocks")
-    chosen = members.join(classes.select("node", "copy_id", "copies", "short"), "short").drop("short")
-    texts = core(docs, "doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("copy_id"))).select("text", "node", "comp", "blocks", "copies")
+    chosen = members.join(classes.select("node", "digest", "copies", "short"), "short").drop("short")
+    texts = core(docs, "text").withColumn("digest", text_digest()).join(chosen, "digest").select("text", "node", "comp", "blocks", "copies")
     sets = written(_sets(texts), "op8-sets")
     n_small = sets.filter("blocks = 1").count()
     bins = max(1, -(-n_small // block))
@@ -289,11 +295,20 @@ def jaccard_classes(
     placed = classes.select("node", "copy_id", "copies").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = written(placed, "op8-placed")
     names = written(placed.groupBy("root").agg(F.min("copy_id").alias("class_id")), "op8-classes")
-    named = placed.join(names, "root").join(linked, "node", "left").select("node", "copy_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = rows.select("doc_id", "node").join(written(named, "op8-named"), "node", "left")
-    released(sets, roots)
+    links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    named = written(placed.join(names, "root").join(linked, "node", "left").select("node", "root", "copy_id", "class_id", links), "op8-named")
+    released(classes, ties, roots, sizes, sets, found, placed, names)
+    return rows, named
+
+
+def jaccard_classes(
+    docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK, bucket_block: int = BUCKET_BLOCK
+) -> DataFrame:
+    """Per document row: doc_id, class_id (least doc_id linked to it over any chain), copy_id (least doc_id with an equal
+    shingle set), n_links (other documents at the threshold or above, equal ones included)."""
+    rows, named = _judged(docs, threshold, tolerance, block, bucket_block)
     lone = F.col("node").isNull()
-    return out.select(
+    return rows.join(named, "node", "left").select(
         "doc_id",
         F.when(lone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(lone, F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"),
@@ -301,17 +316,24 @@ def jaccard_classes(
     )
 
 
-def keep_one_of_each(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with one row of each class: that of the least doc_id (null ones last), then the first row.
+def keep_one_of_each(
+    docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK, bucket_block: int = BUCKET_BLOCK
+) -> DataFrame:
+    """``docs`` with one row of each class: that of the least doc_id (null ones last), ties by the text's digest.
 
-    Rows are told apart by an id that is written beside them: doc_id may be null or name several rows.
+    A class is known by its sets and a row by its doc_id and text, so doc_id may be null or name several rows; of rows equal
+    in both any one stays. Rows without words are classes of their own.
     """
-    rows = with_row_ids(docs, "op8-docs")
-    judged = written(jaccard_classes(core(rows, ROW_ID, "text").toDF("doc_id", "text"), **settings), "op8-judged")
-    named = judged.select(F.col("doc_id").alias("row"), F.col("class_id").alias("class")).join(core(rows, ROW_ID, "doc_id").toDF("row", "id"), "row")
-    best = written(named.groupBy("class").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best")).select("best.row"), "op8-best")
-    gone = judged.select(F.col("doc_id").alias("row")).join(best, "row", "left_anti").select(F.col("row").alias("__webloom_gone"))
-    return rows.join(gone, F.col(ROW_ID) == F.col("__webloom_gone"), "left_anti").drop(ROW_ID)
+    rows, named = _judged(docs, threshold, tolerance, block, bucket_block)
+    worded = rows.filter("node IS NOT NULL").join(named.select("node", "root"), "node")
+    best = worded.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "digest")).alias("best"))
+    best = written(best.select(F.col("best.doc_id").alias("__webloom_id"), F.col("best.digest").alias("__webloom_digest")), "op8-best")
+    released(rows, named)
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    own = docs.filter(has_words).withColumn("__webloom_own", text_digest())
+    kept = own.join(best, (F.col("__webloom_own") == F.col("__webloom_digest")) & F.col("doc_id").eqNullSafe(F.col("__webloom_id")))
+    kept = kept.dropDuplicates(["__webloom_own", "__webloom_id"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return kept.unionByName(docs.filter(~has_words))
 
 
 __all__ = ["fewest_matches", "jaccard_classes", "keep_one_of_each", "minhash", "shingles"]

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import arrow_map, core, released, written
+from webloom.llm.common import arrow_map, core, released, text_digest, written
 
 LENGTH, GRAM = 200, 50
 SPAN = LENGTH - GRAM + 1
@@ -360,7 +360,7 @@ def _cut(rows: DataFrame) -> DataFrame:
 
 def _with_digest(docs: DataFrame) -> DataFrame:
     """doc_id, text and the md5 of the text's bytes."""
-    return core(docs, "doc_id", "text").withColumn("digest", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    return core(docs, "doc_id", "text").withColumn("digest", text_digest())
 
 
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
