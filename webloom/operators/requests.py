@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webloom.operators.running import SLICE, dealt, row_numbers, running_max
+
 
 def cache_lookup(requests: DataFrame, cache: DataFrame, key: str = "key", at: str = "at_s", ttl: str = "ttl_s") -> DataFrame:
     """requests (key, at_s, ttl_s, ...) plus ``hit`` and ``cached_at`` of the newest entry (key, cached_at) that isn't too old.
 
     A ttl of 0 never hits, nor does a null key. Requests and entries of a key lie in one order by time, entries first: the newest
-    entry before a request is a running maximum, so the work grows with their sum and not with their product.
+    entry before a request is a running maximum, so the work grows with their sum and not with their product, and a key that
+    holds most of them spreads over many slices.
     """
     r = requests.withColumn("_entry", F.lit(None).cast("long")).withColumn("_at", F.col(at).cast("long"))
     blank = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != key else F.col(key) for f in requests.schema]
     entries = cache.select(*blank, F.col("cached_at").cast("long").alias("_entry"), F.col("cached_at").cast("long").alias("_at"))
-    before = Window.partitionBy(key).orderBy(F.col("_at").asc_nulls_first(), F.col("_entry").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     both = r.withColumn("_asked", F.lit(True)).unionByName(entries.withColumn("_asked", F.lit(False)))
-    seen = both.withColumn("_last", F.max("_entry").over(before)).filter("_asked")
+    order = [F.col("_at").asc_nulls_first(), F.col("_asked").asc()]
+    seen = running_max(dealt(both, [F.col(key), *order]), [key], order, F.col("_entry"), "_last").filter("_asked")
     fresh = (F.col(ttl) > 0) & F.col(key).isNotNull() & (F.col(at) - F.col("_last") <= F.col(ttl))
-    return seen.withColumn("cached_at", F.when(fresh, F.col("_last"))).withColumn("hit", F.col("cached_at").isNotNull()).drop("_entry", "_at", "_asked", "_last")
+    return seen.withColumn("cached_at", F.when(fresh, F.col("_last"))).withColumn("hit", F.col("cached_at").isNotNull()).drop("_entry", "_at", "_asked", "_last", SLICE)
 
 
 def cache_stats(cache: DataFrame, key: str = "key") -> DataFrame:
@@ -52,12 +58,13 @@ def latest_state(events: DataFrame, key: str, seq: str, state: str) -> DataFrame
 def paced(requests: DataFrame, key: str, at_ms: str, order: str, gap_ms: int) -> DataFrame:
     """``start_ms`` and ``wait_ms`` of requests of one domain kept ``gap_ms`` apart.
 
-    start[i] = max(at[i], start[i-1] + gap) unrolls to i * gap + max over j <= i of (at[j] - j * gap): a running maximum.
+    start[i] = max(at[i], start[i-1] + gap) unrolls to i * gap + max over j <= i of (at[j] - j * gap): a running number and a running
+    maximum, both in two levels, so that a domain with most of the requests is many tasks.
     """
-    w = Window.partitionBy(key).orderBy(at_ms, order)
-    d = requests.withColumn("_i", (F.row_number().over(w) - 1).cast("long"))
-    lead = F.max(F.col(at_ms) - F.col("_i") * gap_ms).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return d.withColumn("start_ms", lead + F.col("_i") * gap_ms).withColumn("wait_ms", F.col("start_ms") - F.col(at_ms)).drop("_i")
+    by = [F.col(at_ms).asc_nulls_first(), F.col(order).asc_nulls_first()]
+    d = row_numbers(dealt(requests, [F.col(key), *by]), [key], by, "_i").withColumn("_i", F.col("_i") - 1)
+    d = running_max(d, [key], by, F.col(at_ms) - F.col("_i") * gap_ms, "_lead")
+    return d.withColumn("start_ms", F.col("_lead") + F.col("_i") * gap_ms).withColumn("wait_ms", F.col("start_ms") - F.col(at_ms)).drop("_i", "_lead", SLICE)
 
 
 def idle_sessions(events: DataFrame, key: str, at: str, gap: str = "30 minutes") -> DataFrame:
@@ -66,34 +73,71 @@ def idle_sessions(events: DataFrame, key: str, at: str, gap: str = "30 minutes")
     return g.select(key, F.col("s.start").alias("session_start"), "last_at", "n")
 
 
-def accept(times: list[float], window: float, most: int, kept: list[float] | None = None) -> tuple[list[bool], list[float]]:
-    """Sliding-window limiter: a request passes while fewer than ``most`` passed in the last ``window``. Only passed ones count."""
-    live = list(kept or [])
-    out = []
-    for t in times:
-        live = [x for x in live if t - x < window]
-        out.append(len(live) < most)
-        if out[-1]:
-            live.append(t)
-    return out, live
+def accept(times, window: float, most: int, kept=None) -> tuple[list[bool], list[float]]:
+    """Sliding-window limiter: a request passes while fewer than ``most`` passed in the last ``window``. Only passed ones count.
+
+    ``times`` rise. While the window is full the walk jumps to the first request after the oldest pass has left it, so the steps
+    taken are those of the passes, not of the requests.
+    """
+    t = np.asarray(times, float)
+    ok, live, i = np.zeros(len(t), bool), deque(kept or []), 0
+    while i < len(t):
+        while live and t[i] - live[0] >= window:
+            live.popleft()
+        if len(live) < most:
+            ok[i] = True
+            live.append(t[i])
+            i += 1
+        elif not live:
+            break  # nothing ever passes
+        else:
+            i = max(i + 1, int(np.searchsorted(t, live[0] + window)) - 1)  # a place earlier: sums round, differences decide
+            while i < len(t) and t[i] - live[0] < window:
+                i += 1
+    while live and len(t) and t[-1] - live[0] >= window:
+        live.popleft()
+    return ok.tolist(), [float(x) for x in live]
+
+
+def segments(events: DataFrame, key: str, at_s: str, order: str, window_s: float) -> DataFrame:
+    """(key, order, at_s) with ``_segment``: the time of the key's last event that a quiet window came before.
+
+    No pass from before a quiet gap of a whole window is still counted behind it, so each segment is a limiter of its own.
+    """
+    by = [F.col(at_s).asc_nulls_first(), F.col(order).asc_nulls_first()]
+    d = dealt(events.select(key, order, at_s), [F.col(key), *by], tag="limiter")
+    d = running_max(d, [key], by, F.col(at_s), "_before", before=True)
+    starts = F.col("_before").isNull() | (F.col(at_s) - F.col("_before") >= window_s)
+    d = running_max(d, [key], by, F.when(starts, F.col(at_s)), "_segment")
+    return d.drop("_before", SLICE)
 
 
 def limited(events: DataFrame, key: str, at_s: str, order: str, window_s: float, most: int) -> DataFrame:
-    """(key, order, at_s, allowed): whether one passed decides over later ones, so each key is walked in order.
+    """(key, order, at_s, allowed): whether one passed decides over later ones, so each segment of a key is walked in order.
 
-    A key's events arrive in order and in Arrow batches; only the passes of the current key's last window are kept in
-    memory. Null keys are one key.
+    Segments (see :func:`segments`) are dealt over all tasks: a key with most of the events is spread as far as it has quiet
+    windows. One that never pauses for a window is a single walk, whose steps are its passes - few, as the window bounds them - over
+    times that arrive in Arrow batches; only the passes of the last window are kept. Null keys are one key; events without a time pass, as no
+    window holds them, and count for none.
     """
     kinds = dict(events.dtypes)
+    schema = f"{key} {kinds[key]}, {order} {kinds[order]}, {at_s} {kinds[at_s]}, allowed boolean"
 
     def run(batches):
         last, live = None, []
         for pdf in batches:
-            for k, part in pdf.groupby(key, sort=False, dropna=False):
-                k = None if pd.isna(k) else k
-                ok, live = accept(part[at_s].tolist(), window_s, most, live if last is not None and last[0] == k else [])
-                last = (k,)
-                yield pd.DataFrame({key: part[key], order: part[order], at_s: part[at_s], "allowed": ok})
-
-    rows = events.select(key, order, at_s).repartition(F.col(key)).sortWithinPartitions(key, at_s, order)
-    return rows.mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {at_s} {kinds[at_s]}, allowed boolean")
+            keys, times = pdf[key].tolist(), pdf[at_s].to_numpy()
+            code, segment = pd.factorize(pdf[key])[0], pdf["_segment"].to_numpy()
+            cuts = [0, *(np.flatnonzero((code[1:] != code[:-1]) | (segment[1:] != segment[:-1])) + 1).tolist(), len(pdf)]
+            allowed: list[bool] = []
+            for a, b in zip(cuts, cuts[1:]) if len(pdf) else ():
+                own = (None if pd.isna(keys[a]) else keys[a], segment[a])
+                ok, live = accept(times[a:b], window_s, most, live if last == own else [])
+                last = own
+                allowed += ok
+            yield pd.DataFrame({key: pdf[key], order: pdf[order], at_s: pdf[at_s], "allowed": allowed})
+
+    timed = segments(events.filter(F.col(at_s).isNotNull()), key, at_s, order, window_s)
+    rows = timed.repartition(F.col(key), F.col("_segment")).sortWithinPartitions(key, "_segment", at_s, order)
+    untimed = events.filter(F.col(at_s).isNull()).select(key, order, at_s, F.lit(True).alias("allowed"))
+    return rows.mapInPandas(run, schema).unionByName(untimed)

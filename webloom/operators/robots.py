@@ -94,3 +94,14 @@ def rule_table(robots: DataFrame, agent: str = "*") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int32())], names=["origin", "allow", "pattern", "size"])
 
     return robots.select("origin", "text").mapInArrow(run, "origin string, allow boolean, pattern string, size int")
+
+
+def sitemap_table(robots: DataFrame) -> DataFrame:
+    """robots (origin, text) -> (origin, sitemap): the sitemaps that robots files name, a row each."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [(o, u) for o, t in zip(batch.column("origin").to_pylist(), batch.column("text").to_pylist(), strict=True) for u in sitemaps(t or "")]
+            yield pa.RecordBatch.from_arrays([pa.array([o for o, _ in rows], pa.string()), pa.array([u for _, u in rows], pa.string())], names=["origin", "sitemap"])
+
+    return robots.select("origin", "text").mapInArrow(run, "origin string, sitemap string")

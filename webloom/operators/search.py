@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import fixed
 from webloom.functions.html_text import tokens
-
-_BREAK = re.compile(r"[\W_]+")
+from webloom.operators.running import SLICE, dealt, row_numbers
 
 
 def query_terms(df: DataFrame, query: str) -> list[str]:
@@ -68,18 +65,12 @@ def bm25f(
 def reranked(scored: DataFrame, tie: str, score: str = "bm25_score", k: int | None = None) -> DataFrame:
     """By score, best first, with ``position`` from 1; ties by ``tie``. With ``k`` only the best k: a top-k, not a full sort.
 
-    Without ``k`` rows are numbered inside ranges of the score and shifted by the rows of better ranges, so that no task
-    sorts them all.
+    Without ``k`` rows are dealt into ranges of (score, tie), numbered inside them and shifted by the rows of better ranges, so
+    that no task sorts them all, however many scores are equal.
     """
     if k is None:
-        cuts = sorted(set(scored.approxQuantile(score, [i / 64 for i in range(1, 64)], 0.002)))
-        bucket = F.size(F.filter(F.array(*(F.lit(float(c)) for c in cuts)), lambda c: c > F.col(score))) if cuts else F.lit(0)
-        d = scored.withColumn("_bucket", bucket)
-        sizes = d.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-        before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(F.desc(score), F.asc(tie)))
-        out = d.join(F.broadcast(sizes.select("_bucket", before.alias("_before"))), "_bucket")  # 64 rows at most
-        return out.withColumn("position", (F.col("_before") + inside).cast("long")).drop("_bucket", "_before").orderBy("position")
+        by = [F.desc(score), F.asc(tie)]
+        return row_numbers(dealt(scored, by, tag="ranking"), [], by, "position").drop(SLICE)
     ordered = scored.orderBy(F.desc(score), F.asc(tie)).limit(k)
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc(score), F.asc(tie))
     return ordered.withColumn("position", F.row_number().over(w).cast("long"))

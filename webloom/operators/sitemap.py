@@ -61,3 +61,19 @@ def expand(files: DataFrame, start: DataFrame) -> DataFrame:
             break
         seen, frontier = saved(seen.unionByName(fresh), "sitemap-seen"), fresh
     return out.distinct()
+
+
+def expand_many(files: DataFrame, starts: DataFrame) -> DataFrame:
+    """starts (seed, url) -> (seed, loc): as :func:`expand`, for many sites at once; each site visits a sitemap once."""
+    listed = saved(sitemap_urls(files), "sitemap")
+    seen = saved(starts.select("seed", "url").distinct(), "sitemap-seen")
+    frontier, out = seen, None
+    while True:
+        found = listed.join(frontier, listed["source"] == frontier["url"]).select("seed", "loc").distinct()
+        is_map = F.endswith(F.lower("loc"), F.lit(".xml"))
+        pages = found.filter(~is_map)
+        out = pages if out is None else out.unionByName(pages)
+        fresh = saved(found.filter(is_map).select("seed", F.col("loc").alias("url")).join(seen, ["seed", "url"], "left_anti"), "sitemap-next")
+        if not fresh.head(1):
+            return out.distinct()
+        seen, frontier = saved(seen.unionByName(fresh), "sitemap-seen"), fresh

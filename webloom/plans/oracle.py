@@ -447,3 +447,25 @@ ORACLES["rate_limited"] = (
     "s AS (SELECT user_id, event_id, i, true AS allowed, [at_s] AS live FROM e WHERE i = 1 UNION ALL SELECT user_id, event_id, i, len(kept) < 3, CASE WHEN len(kept) < 3 THEN list_append(kept, at_s) ELSE kept END FROM "
     "(SELECT e.*, list_filter(s.live, lambda x: e.at_s - x < 86400) AS kept FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)) SELECT event_id, allowed FROM s"
 )
+ORACLES["rate_limited_minute"] = (
+    "WITH RECURSIVE e AS (SELECT event_id, event_type, at_s, row_number() OVER (PARTITION BY event_type ORDER BY at_s, event_id) AS i FROM (SELECT event_id, event_type, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS at_s FROM events)), "
+    "s AS (SELECT event_type, event_id, i, true AS allowed, [at_s] AS live FROM e WHERE i = 1 UNION ALL SELECT event_type, event_id, i, len(kept) < 2, CASE WHEN len(kept) < 2 THEN list_append(kept, at_s) ELSE kept END FROM "
+    "(SELECT e.*, list_filter(s.live, lambda x: e.at_s - x < 60) AS kept FROM s JOIN e ON e.event_type = s.event_type AND e.i = s.i + 1)) SELECT event_id, allowed FROM s"
+)
+
+
+def bm25_batch(k: int) -> str:
+    """Every document scored for every item that shares a term with it; the k best of each item."""
+    part = lambda f, w: f"CASE WHEN {f}tf > 0 AND {f}avg > 0 THEN {w}::DOUBLE * ({f}tf * {fixed.BM25_K1 + 1}::DOUBLE / ({f}tf + {fixed.BM25_K1}::DOUBLE * (1 - {fixed.BM25_B}::DOUBLE + {fixed.BM25_B}::DOUBLE * ({f}dl / {f}avg)))) ELSE 0 END"
+    return (
+        f"WITH d AS (SELECT doc_id, {toks('title')} AS t, {toks('snippet')} AS s FROM {_RANKED}), g AS (SELECT count(*) AS n, avg(len(t)) AS tavg, avg(len(s)) AS savg FROM d), "
+        "x AS (SELECT doc_id, len(t) AS tdl, len(s) AS sdl, unnest(t) AS term, 1 AS a, 0 AS b FROM d UNION ALL SELECT doc_id, len(t), len(s), unnest(s), 0, 1 FROM d), "
+        "p AS (SELECT doc_id, term, tdl, sdl, sum(a) AS ttf, sum(b) AS stf FROM x GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1), "
+        f"q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({toks('text')}) AS term FROM benchmark) GROUP BY 1, 2), "
+        f"r AS (SELECT item_id, doc_id, round(sum(times * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1.0) * ({part('t', fixed.TITLE_WEIGHT)} + {part('s', fixed.SNIPPET_WEIGHT)})), 6) AS score "
+        "FROM q JOIN f USING (term) JOIN p USING (term), g GROUP BY 1, 2) "
+        f"SELECT item_id AS query_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS position, doc_id, score FROM r QUALIFY position <= {k}"
+    )
+
+
+ORACLES["bm25f_batch"] = bm25_batch(10)

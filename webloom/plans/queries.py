@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import brand, classify, color, design, html_text, links, pattern, url
-from webloom.operators import crawl, evaluate, extract, requests, robots, search, sitemap
+from webloom.operators import crawl, evaluate, extract, inverted_index, requests, robots, search, sitemap
 from webloom.plans import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -355,6 +355,14 @@ def bm25f_topk(spark, sf_dir):
     return search.reranked(s, "doc_id", k=10).select("position", "doc_id", F.col("bm25_score").alias("score"))
 
 
+@query
+def bm25f_batch(spark, sf_dir):
+    """The ten best documents of every benchmark item, from an inverted index."""
+    index = inverted_index.build(_ranked_docs(spark, sf_dir), "doc_id")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return inverted_index.answer(index, items, 10, by_documents=True).select("query_id", "position", F.col("doc").alias("doc_id"), "score")
+
+
 @query
 def conversation_search(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("title"), F.col("text").alias("snippet"))
@@ -552,6 +560,13 @@ def rate_limited(spark, sf_dir):
     return requests.limited(e, "user_id", "at_s", "event_id", 86_400.0, 3).select("event_id", "allowed")
 
 
+@query
+def rate_limited_minute(spark, sf_dir):
+    """Two requests a minute for each type of event: few keys, each with very many events, cut at their quiet minutes."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.unix_timestamp(F.date_trunc("second", "ts")).cast("double").alias("at_s"))
+    return requests.limited(e, "event_type", "at_s", "event_id", 60.0, 2).select("event_id", "allowed")
+
+
 @query
 def props_json_field(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"name": "'), "event_type", F.lit('", "props": '), "props", F.lit("}")).alias("j"))
