@@ -469,3 +469,50 @@ def bm25_batch(k: int) -> str:
 
 
 ORACLES["bm25f_batch"] = bm25_batch(10)
+ORACLES["cache_state"] = (
+    "WITH o AS (SELECT CASE WHEN event_type IN ('view', 'purchase') THEN 'set' WHEN event_type = 'click' THEN 'delete' WHEN event_type = 'error' THEN 'flush' WHEN event_id % 500 = 0 THEN 'flush_all' ELSE 'set' END AS op, user_id || ':' || event_id % 5 AS key, "
+    "'https://example.com/u' || user_id % 64 AS url, props AS data, event_id % 40 * 43200 AS ttl_s, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS at_s, event_id AS seq FROM events) "
+    f"SELECT key, url, data, ttl_s, at_s, seq FROM o WHERE op = 'set' AND at_s <= {q.CACHE_NOW} AND at_s + CASE WHEN ttl_s > 0 THEN ttl_s ELSE 86400 END > {q.CACHE_NOW} "
+    f"AND NOT EXISTS (SELECT 1 FROM o x WHERE x.at_s <= {q.CACHE_NOW} AND (x.at_s > o.at_s OR x.at_s = o.at_s AND x.seq > o.seq) AND (x.op IN ('set', 'delete') AND x.key = o.key OR x.op = 'flush' AND x.url = o.url OR x.op = 'flush_all'))"
+)
+_JOB_TTL = 2 * 86400
+_JOB_WALK = (
+    "WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY t, seq) AS i FROM (SELECT user_id AS job, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS t, event_id AS seq, "
+    "CASE WHEN event_type = 'signup' THEN 'start' WHEN event_type = 'click' AND event_id % 3 = 0 THEN 'delete' ELSE 'update' END AS op, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'in_progress' END AS status FROM events)), "
+    "s AS (SELECT job, t, seq, i, CASE WHEN op = 'start' THEN t END AS created, CASE WHEN op = 'start' THEN 'in_progress' ELSE 'unknown' END AS state FROM e WHERE i = 1 UNION ALL "
+    "SELECT e.job, e.t, e.seq, e.i, CASE WHEN op = 'start' THEN e.t ELSE created END, CASE WHEN op = 'start' THEN 'in_progress' WHEN created IS NULL THEN 'unknown' "
+    f"WHEN s.state IN ('gone', 'deleted') OR s.state IN ('completed', 'failed') AND greatest(s.t, created + {_JOB_TTL}) <= e.t THEN 'gone' WHEN op = 'delete' THEN 'deleted' ELSE status END "
+    "FROM s JOIN e ON e.job = s.job AND e.i = s.i + 1)"
+)
+ORACLES["job_states"] = f"{_JOB_WALK} SELECT seq AS event_id, job, created, state FROM s"
+_JOBS = (
+    f"(SELECT job, created, state AS status, t AS updated FROM (SELECT * FROM s WHERE t <= {q.JOBS_NOW} QUALIFY row_number() OVER (PARTITION BY job ORDER BY t DESC, seq DESC) = 1) "
+    f"WHERE state NOT IN ('unknown', 'gone', 'deleted') AND NOT (state IN ('completed', 'failed') AND greatest(t, created + {_JOB_TTL}) <= {q.JOBS_NOW}))"
+)
+ORACLES["job_registry"] = f"{_JOB_WALK} SELECT * FROM {_JOBS}"
+ORACLES["job_health"] = f"{_JOB_WALK} SELECT count(*) AS jobs, " + ", ".join(f"count(*) FILTER (status = '{x}') AS {x}" for x in ("in_progress", "completed", "failed")) + f" FROM {_JOBS}"
+_norm = lambda x: f"lower(regexp_replace(split_part({x}, '#', 1), '/$', ''))"
+_above = lambda x: f"regexp_replace({x}, '[^/?#]+/?([?#].*)?$', '')"
+
+
+def site_crawl(starts: str, room: int) -> str:
+    """Three levels from each site's starts, level by level; each adds its first URLs by norm while there is room."""
+    out = (
+        f"WITH l AS (SELECT DISTINCT p.url AS src, {origin('p.url')} || raw AS dst FROM {_anchors} JOIN pages p USING (page_id) WHERE raw LIKE '/%' AND raw NOT LIKE '//%'), "
+        f"a AS (SELECT dst AS src, {_above('dst')} AS dst FROM l WHERE {path(_above('dst'))} <> ''), b AS (SELECT dst AS src, {_above('dst')} AS dst FROM a WHERE {path(_above('dst'))} <> ''), "
+        f"e AS MATERIALIZED (SELECT DISTINCT {origin('dst')} AS seed, {_norm('src')} AS parent, {_norm('dst')} AS norm FROM (SELECT * FROM l UNION SELECT * FROM a UNION SELECT * FROM b) WHERE {origin('src')} = {origin('dst')}), "
+        f"v0 AS MATERIALIZED (SELECT DISTINCT seed, {_norm('url')} AS norm, 0 AS depth FROM ({starts}))"
+    )
+    for d in (1, 2, 3):
+        out += (
+            f", n{d} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY norm) AS r FROM (SELECT DISTINCT e.seed, e.norm FROM v{d - 1} v JOIN e ON e.seed = v.seed AND e.parent = v.norm WHERE v.depth = {d - 1}) x "
+            f"WHERE NOT EXISTS (SELECT 1 FROM v{d - 1} v WHERE v.seed = x.seed AND v.norm = x.norm)), "
+            f"v{d} AS MATERIALIZED (SELECT * FROM v{d - 1} UNION ALL SELECT seed, norm, {d} FROM n{d} WHERE r <= {room} - (SELECT count(*) FROM v{d - 1} v WHERE v.seed = n{d}.seed))"
+        )
+    return out
+
+
+ORACLES["crawl_hosts"] = site_crawl(f"SELECT {origin('url')} AS seed, url FROM pages", 30) + " SELECT seed, norm, depth FROM v3"
+ORACLES["crawl_states"] = site_crawl(f"SELECT {origin('url')} AS seed, min(url) AS url FROM pages GROUP BY 1", 5000) + (
+    f" SELECT seed, count(*) AS total, count(*) FILTER (r <= 100 AND EXISTS (SELECT 1 FROM pages p WHERE {_norm('p.url')} = norm)) AS completed, 'completed' AS status FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, norm) AS r FROM v3) GROUP BY seed"
+)

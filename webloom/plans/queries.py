@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import brand, classify, color, design, html_text, links, pattern, url
-from webloom.operators import crawl, evaluate, extract, inverted_index, requests, robots, search, sitemap
+from webloom.operators import cache_log, crawl, evaluate, extract, inverted_index, jobs, requests, robots, search, sitemap
 from webloom.plans import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -567,6 +567,51 @@ def rate_limited_minute(spark, sf_dir):
     return requests.limited(e, "event_type", "at_s", "event_id", 60.0, 2).select("event_id", "allowed")
 
 
+def _cache_log(spark, sf_dir) -> DataFrame:
+    """Events as operations of a cache: five keys a user, a URL for every 64th user; some signups flush everything."""
+    e = table(spark, sf_dir, "events").withColumn("at_s", F.unix_timestamp(F.date_trunc("second", "ts")))
+    op = F.when(F.col("event_type").isin("view", "purchase"), "set").when(F.col("event_type") == "click", "delete").when(F.col("event_type") == "error", "flush")
+    op = op.when(F.col("event_id") % 500 == 0, "flush_all").otherwise("set")
+    key = F.concat_ws(":", F.col("user_id").cast("string"), (F.col("event_id") % 5).cast("string"))
+    return e.select(op.alias("op"), key.alias("key"), F.concat(F.lit("https://example.com/u"), (F.col("user_id") % 64).cast("string")).alias("url"), F.col("props").alias("data"), (F.col("event_id") % 40 * 43_200).alias("ttl_s"), "at_s", F.col("event_id").alias("seq"))
+
+
+@query
+def cache_state(spark, sf_dir):
+    """The cache at one time, folded from all operations before."""
+    log = _cache_log(spark, sf_dir)
+    return cache_log.live(log, CACHE_NOW).select("key", "url", "data", "ttl_s", "at_s", "seq")
+
+
+CACHE_NOW = 1_705_900_000
+JOBS_NOW = 1_706_000_000
+
+
+def _job_events(spark, sf_dir) -> DataFrame:
+    """Events as operations on jobs, a job a user."""
+    e = table(spark, sf_dir, "events").withColumn("at", F.unix_timestamp(F.date_trunc("second", "ts")))
+    op = F.when(F.col("event_type") == "signup", "start").when((F.col("event_type") == "click") & (F.col("event_id") % 3 == 0), "delete").otherwise("update")
+    status = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("in_progress")
+    return e.select(F.col("user_id").alias("job"), "at", F.col("event_id").alias("seq"), op.alias("op"), status.alias("status"))
+
+
+@query
+def job_states(spark, sf_dir):
+    """Every event's job after it: in progress, completed, failed, deleted, gone or unknown."""
+    return jobs.job_log(_job_events(spark, sf_dir), 2 * 86_400).select(F.col("seq").alias("event_id"), "job", "created", "state")
+
+
+@query
+def job_registry(spark, sf_dir):
+    """The jobs that are there at one time."""
+    return jobs.registry(_job_events(spark, sf_dir), JOBS_NOW, 2 * 86_400)
+
+
+@query
+def job_health(spark, sf_dir):
+    return jobs.health(jobs.registry(_job_events(spark, sf_dir), JOBS_NOW, 2 * 86_400))
+
+
 @query
 def props_json_field(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"name": "'), "event_type", F.lit('", "props": '), "props", F.lit("}")).alias("j"))
@@ -595,6 +640,30 @@ def stored_crawl(spark, sf_dir):
     return crawl.traverse(crawl.page_edges(p), first, max_depth=1).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _site_edges(pages: DataFrame) -> DataFrame:
+    """Links of pages, and from every linked URL to the folders above it."""
+    found = links.rooted_links(pages).join(pages.select("page_id", F.col("url").alias("src")), "page_id").select("src", F.col("abs_url").alias("dst"), "ord")
+    above = lambda c: F.regexp_replace(c, "[^/?#]+/?([?#].*)?$", "")
+    first = found.select(F.col("dst").alias("src"), above("dst").alias("dst")).filter(url.path("dst") != "")
+    second = first.select(F.col("dst").alias("src"), above("dst").alias("dst")).filter(url.path("dst") != "")
+    return found.unionByName(first.unionByName(second).distinct().withColumn("ord", F.lit(0)))
+
+
+@query
+def crawl_hosts(spark, sf_dir):
+    """A crawl of every site of the stored pages at once, three levels deep and at most thirty URLs each; a site's pages are its starts."""
+    p = table(spark, sf_dir, "pages")
+    seeds = p.select(url.origin("url").alias("seed"), "url")
+    return crawl.traverse_many(_site_edges(p), seeds, max_depth=3, max_found=30).select("seed", "norm", "depth")
+
+
+@query
+def crawl_states(spark, sf_dir):
+    """Counters of the crawl of every site, from the first of its URLs."""
+    p = table(spark, sf_dir, "pages")
+    return crawl.crawl_many(p, _site_edges(p), crawl.site_seeds(p), max_depth=3, max_pages=100)[1]
+
+
 @query
 def map_urls(spark, sf_dir):
     return crawl.map_urls(_edges(spark), SEED, 3)
