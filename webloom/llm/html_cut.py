@@ -14,7 +14,9 @@ the weights of the text, and the shares of neighbours with unlike labels give th
 built-in values, which hold where the sample shows too little.
 
 Inside an article or ``main``, comments, asides, forms, adverts, menus, notices and footers are boilerplate whatever
-their text; outside, they are held for it less firmly.
+their text; outside, they are held for it less firmly. Names of classes are judged as whole names, never against the article or ``main`` that bears them, and the
+vaguer ones (popular, widget, legal) can be outweighed by text. The larger the part of a page's likely text that lies in an article, the more speaks against what lies
+outside, such as a notice without any telling name.
 
 Edge cases: a null or empty page gives an empty text; truncated pages and unclosed tags are read as far as they go; very
 long pages are read whole, one at a time; ties of the cut go to boilerplate; repeated rows are extracted row by row; an
@@ -47,18 +49,33 @@ _SAME = {"li": "li", "dt": "dd dt", "dd": "dd dt", "option": "option", "tr": "tr
 _SAME_SETS = {k: frozenset(v.split()) for k, v in _SAME.items()}
 _SCOPES = frozenset("ul ol dl table select body html article section div".split())
 
-_BAD_WORD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|sponsor(?:ed)?|promo(?:tion)?s?|banner|nav(?:bar|igation)?|menu|sidebar|side|rail|foot(?:er)?|masthead|topbar|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri(?:be|ption)|signup|sign-up|shar(?:e|ing)|social|related|recommend(?:ed|ations?)?|more-stories|read-more|comments?|disqus|respond|reply|replies|breadcrumbs?|login|search|widget|copyright|legal|pagination|pager|tags?|skip-link|toolbar|outbrain|taboola|author-box|trending|popular)(?:$|[\s_-])",
-    re.I,
+#: Class and id names of boilerplate. A name counts if it is one of these, or a compound that ends in one (site-footer), or one that begins with
+#: one and ends in a word for a container (ad-box). Compounds that only say something about a page (has-sidebar, tag-news, comments-open) don't.
+HARD_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertisements sponsor sponsored promo promos promotion promotions banner nav navbar navigation menu sidebar footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup sign-up share sharing social related recommend recommended recommendation recommendations breadcrumb breadcrumbs login search copyright pagination pager skip-link outbrain taboola".split()
 )
-_REPLY_WORD = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|respond|reply|replies)(?:$|[\s_-])", re.I)
-_HEAD_WORD = re.compile(r"(?:^|[\s_-])(?:header|site-header|page-header)(?:$|[\s_-])", re.I)
+REPLY_NAMES = frozenset("comment comments disqus respond reply replies".split())
+SOFT_NAMES = frozenset("side rail foot masthead topbar tag tags widget widgets toolbar legal trending popular author-box more-stories read-more".split())
+CONTAINERS = frozenset("area bar block blocks box buttons card container content form inner item items links list panel posts row section slot text unit wrap wrapper zone".split())
+#: First words of names that state a property of the page or its subject.
+STATES = frozenset("has is no not with without hide show tag category cat topic type format status lang".split())
+_HEAD_NAMES = frozenset(("header", "site-header", "page-header"))
 _GOOD_WORD = re.compile(r"(?:^|[\s_-])(?:article|post|entry|content|main|story|body|text|article-body|post-content|entry-content)(?:$|[\s_-])", re.I)
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar alertdialog form".split())
 _BAD_TAGS = frozenset("nav footer aside form menu dialog search".split())
 _SPACE = re.compile(r"\s+")
 #: How firmly the markup says boilerplate.
-NO, MAYBE, SURE = 0, 1, 2
+NO, SOFT, MAYBE, SURE = 0, 1, 2, 3
+
+
+def names_one(name: str, known: frozenset[str]) -> bool:
+    """Whether a class or id, taken whole, is one of the known names or a compound of it."""
+    if name in known:
+        return True
+    words = name.split("-")
+    if len(words) < 2 or words[0] in STATES:
+        return False
+    return words[-1] in known or "-".join(words[-2:]) in known or words[0] in known and words[-1] in CONTAINERS
 
 
 class _Open:
@@ -81,16 +98,19 @@ class _Open:
             role = a.get("role", "").lower()
             if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
                 self.hidden = True
-            named = names != " " and tag not in ("html", "body")
-            if role in _BAD_ROLES or named and _REPLY_WORD.search(names):
+            # What an article is called, or a page as a whole, says nothing against it.
+            own = [] if tag in ("html", "body", "article", "main") else names.lower().replace("_", "-").split()
+            if role in _BAD_ROLES or any(names_one(n, REPLY_NAMES) for n in own):
                 bad = SURE
-            elif named and (_BAD_WORD.search(names) or not inside and _HEAD_WORD.search(names)):
+            elif any(names_one(n, HARD_NAMES) or not inside and n in _HEAD_NAMES for n in own):
                 bad = max(bad, SURE if inside else MAYBE)
+            elif any(names_one(n, SOFT_NAMES) for n in own):
+                bad = max(bad, SOFT)
             elif role in ("main", "article"):
                 good = 2
             elif names != " " and _GOOD_WORD.search(names):
                 good = max(good, 1)
-        if good == 2 and tag == "main" and self.bad == MAYBE:
+        if good == 2 and tag == "main" and self.bad in (SOFT, MAYBE):
             self.bad = NO  # a wrapper named after its sidebar
         self.bad = max(self.bad, bad)
         self.good = 0 if self.bad == SURE else max(self.good, good)
@@ -185,8 +205,12 @@ class Costs(NamedTuple):
 
 #: Log-odds that the block's element gives: fixed, as sites agree on far fewer elements than articles differ in length.
 ELEMENT_ODDS = dict.fromkeys(("p", "blockquote", "pre"), 0.8) | dict.fromkeys(("h1", "h2", "h3"), 1.0) | dict.fromkeys(("li", "td", "th", "dd"), -0.4)
-#: Log-odds that the markup gives: by SURE or MAYBE boilerplate, and by kind of content ancestor.
-BAD_ODDS, GOOD_ODDS = (0.0, -6.0, -9.0), (0.0, 1.8, 5.0)
+#: Log-odds that the markup gives: by how firmly it says boilerplate, and by kind of content ancestor.
+BAD_ODDS, GOOD_ODDS = (0.0, -3.0, -6.0, -9.0), (0.0, 1.8, 3.0)
+#: Log-odds of a block outside every article and main where these hold all of the page's likely text; in proportion where they hold a part.
+OUTSIDE_ODDS = -5.0
+#: Most that an edge may weigh: two of them can't outweigh what the markup says for sure.
+MOST_EDGE = 2.0
 #: Bounds of the text's log-odds: no text outweighs what the markup says for sure.
 MOST_TEXT = 4.0
 #: Blocks of a page that the costs are fitted on: the first ones.
@@ -210,6 +234,19 @@ def log_odds(b: Block, costs: Costs = Costs()) -> float:  # noqa: B008  a consta
     return max(-MOST_TEXT, min(MOST_TEXT, text + ELEMENT_ODDS.get(b.tag, 0.0))) + BAD_ODDS[b.bad] + GOOD_ODDS[b.good]
 
 
+def article_share(found: list[Block]) -> float:
+    """The share of a page's likely text, by code points, that lies in an article or main."""
+    inside = sum(len(b.text) for b in found if told(b) == 1)
+    likely = sum(len(b.text) for b in found if told(b) != 0)
+    return inside / likely if likely else 0.0
+
+
+def page_odds(found: list[Block], costs: Costs = Costs()) -> list[float]:  # noqa: B008  a constant
+    """The classifier for the blocks of a page: an article elsewhere on the page speaks against what lies outside."""
+    outside = OUTSIDE_ODDS * article_share(found)
+    return [log_odds(b, costs) + (outside if b.good < 2 else 0.0) for b in found]
+
+
 def distance(a: Block, b: Block) -> int:
     """DOM steps between the two blocks' elements beyond the one that parts siblings; 3 for more."""
     same = 0
@@ -264,14 +301,22 @@ def fit_costs(pages: DataFrame, sample_pages: int = 1500, prior: float = 20.0) -
             total[int(r["x"][0])] += r["n"]
             unlike[int(r["x"][0])] += r["n"] * r["x"][1]
     start = Costs()
-    edges = []
-    for d, w in enumerate(start.edges):
-        share = (unlike[d] + prior / (1 + np.exp(w))) / (total[d] + prior)
-        edges.append(float(min(2.0, max(0.1, log((1 - share) / share)))))
-    edges = [float(min(edges[: d + 1])) for d in range(4)]  # farther blocks are never tied closer
+    shares = [((unlike[d] + prior / (1 + np.exp(w))), total[d] + prior) for d, w in enumerate(start.edges)]
+    edges = [float(min(MOST_EDGE, max(0.1, log((n - u) / u)))) for u, n in _rising(shares)]
     return Costs(_logistic(np.array(blocks_), np.array(n_blocks, float), np.array(start.text), prior), tuple(edges))
 
 
+def _rising(shares: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """(part, whole) by distance, neighbours pooled until the shares rise: farther blocks are never tied closer."""
+    pools: list[list] = []
+    for part, whole in shares:
+        pools.append([part, whole, 1])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] > pools[-1][0] * pools[-2][1]:
+            p, w, n = pools.pop()
+            pools[-1] = [pools[-1][0] + p, pools[-1][1] + w, pools[-1][2] + n]
+    return [(p, w) for p, w, n in pools for _ in range(n)]
+
+
 def _logistic(rows: np.ndarray, n: np.ndarray, start: np.ndarray, prior: float, rounds: int = 25) -> tuple[float, ...]:
     """Weights of most likelihood (Newton's method) under a normal prior around ``start``; both classes weigh the same."""
     if not len(rows) or rows[:, -1].min() == rows[:, -1].max():
@@ -365,7 +410,7 @@ def label_blocks(html: str, costs: Costs = Costs(), smooth: bool = True) -> list
     """Blocks and labels (True: content); without ``smooth`` by the classifier alone."""
     found = blocks(html)
     edges = [(i, j, costs.edges[distance(found[i], found[j])]) for i, j in neighbours(found)] if smooth else []
-    return list(zip(found, min_cut([log_odds(b, costs) for b in found], edges), strict=True))
+    return list(zip(found, min_cut(page_odds(found, costs), edges), strict=True))
 
 
 def main_text(html: str | None, costs: Costs = Costs()) -> str:  # noqa: B008

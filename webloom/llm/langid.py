@@ -151,9 +151,9 @@ def held_out():
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> MaskFilter:
-    """The filter from a hash sample of about ``per_language`` training documents of each language."""
-    rows = training(core(docs, "doc_id", "text", "lang"))
-    found = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    """The filter from a hash sample of about ``per_language`` distinct training texts of each language, whatever their ids and copies."""
+    rows = training(core(docs, "doc_id", "text", "lang")).select("lang", "text", F.xxhash64("text").alias("h"))
+    found = {r["lang"]: r["count"] for r in rows.select("lang", "h").distinct().groupBy("lang").count().collect()}
     languages = sorted(found)
     if len(languages) > 4096:
         raise ValueError("more than 4096 values of lang: not a language column")
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> MaskFilter:
         return MaskFilter([], [])
     scale = 1 << 30
     most = F.create_map(*(x for n, lang in enumerate(languages) for x in (F.lit(lang), F.lit(min(scale, scale * per_language // found[lang])))))
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < most[F.col("lang")])
+    sample = rows.filter(F.pmod("h", F.lit(scale)) < most[F.col("lang")]).dropDuplicates(["lang", "h"])
     index = {lang: n for n, lang in enumerate(languages)}
 
     def run(batch: pa.RecordBatch) -> dict:

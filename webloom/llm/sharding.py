@@ -11,8 +11,8 @@ sizes in rows differ by one at most, whatever the links.
 Only tables of a fixed size (shards x priority buckets, shards x size classes) reach the driver. Every rank is taken in
 two levels (buckets, then offsets), never in one task per shard.
 
-Ranks of rows that nothing else tells apart follow ids that are written once a run; another file layout may deal them
-otherwise under the same law.
+Rows are named by the digest of their doc_id and text, and true repeats by a number besides, so the result hangs on the rows alone and not on how files
+lay them out or in which order.
 
 Edge cases: a null text counts as empty (size 1, crc32 of no bytes) and equals other empty texts; very long texts count
 by their whole bytes and enter as a hash; ties of votes are broken by a hash of hub and shard; repeated rows are rows of
@@ -146,13 +146,33 @@ def shards(nodes: DataFrame, links: DataFrame, n_shards: int = N_SHARDS, rounds:
     return ranked(placed, ["shard"], ["rid"], "slot", buckets)
 
 
+def named_rows(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, hub, ...), written, with ``rid``: 16 bytes of a digest of doc_id, hub and the number of the repeat.
+
+    Repeats are numbered within the partitions they were read in, and those counts are added up, so that a row repeated very often isn't one task.
+    """
+    rows = written(rows.withColumn("_in", F.spark_partition_id()), "op2-rows")
+    same = F.expr("r.doc_id <=> s.doc_id AND r.hub = s.hub")
+    often = written(rows.groupBy("doc_id", "hub").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"), "op2-often")
+    marked = rows.alias("r").join(often.withColumn("_often", F.lit(True)).alias("s"), same, "left").select("r.*", "s._often")
+    name = lambda k: F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "hub", k).cast("binary")))
+    once = marked.filter("_often IS NULL").withColumn("rid", name(F.lit("0")))
+    again = marked.filter("_often IS NOT NULL")
+    earlier = Window.partitionBy("doc_id", "hub").orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
+    before = again.groupBy("doc_id", "hub", "_in").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    numbered = again.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "hub", "_in").orderBy("size")))
+    numbered = numbered.alias("r").join(before.alias("s"), F.expr("r.doc_id <=> s.doc_id AND r.hub = s.hub AND r._in = s._in")).select("r.*", "s._before")
+    numbered = numbered.withColumn("rid", name((F.col("_before") + F.col("_k")).cast("string"))).drop("_k", "_before")
+    return written(once.unionByName(numbered).drop("_in", "_often"), "op2-named")
+
+
 def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
     """Per document row: doc_id, size, text_crc32, law, shard, slot, grown_shard (null under the law ``rows``)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = core(docs, "doc_id", "text").select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.sha2(text, 256).alias("hub")
     )
-    rows = written(rows.withColumn("rid", F.monotonically_increasing_id()), "op2-rows")
+    rows = named_rows(rows)
     out = shards(rows.drop("hub"), rows.select("rid", "hub"), n_shards)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
