@@ -35,16 +35,16 @@ def font_usage(rows: DataFrame, page: str = "page_id", family: str = "family", w
 def spacing_medians(rows: DataFrame, value: str = "value") -> DataFrame:
     """(bucket, median, n): the upper median of the spacings in each size bucket (8, 16, 32, 64, and 999 for more).
 
-    Equal values are counted first, so that what is sorted is a bucket's distinct values.
+    Exact, by sketch and range: see :mod:`webloom.operators.quantiles`.
     """
+    from webloom.operators.quantiles import at_ranks
+
     bucket = F.lit(999)
     for top in (64, 32, 16, 8):
         bucket = F.when(F.col(value) <= top, top).otherwise(bucket)
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(bucket.alias("bucket"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("k"))
-    upto = Window.partitionBy("bucket").orderBy("v")
-    ranked = counts.withColumn("upto", F.sum("k").over(upto)).withColumn("n", F.sum("k").over(Window.partitionBy("bucket")))
-    middle = F.floor(F.col("n") / 2) + 1
-    return ranked.filter((F.col("upto") >= middle) & (F.col("upto") - F.col("k") < middle)).select("bucket", F.col("v").alias("median"), "n")
+    kind = dict(rows.dtypes)[value]
+    found = at_ranks(rows.filter(F.col(value).isNotNull()).select(bucket.alias("bucket"), F.col(value).alias("v")), "v", ["bucket"], {"median": F.floor(F.col("n") / 2)})
+    return found.select("bucket", F.col("median").cast(kind).alias("median"), "n")
 
 
 def font_sources(files: DataFrame, faces: DataFrame) -> DataFrame:

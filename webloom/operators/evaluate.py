@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.html_text import phrases, searchable
+from webloom.operators.quantiles import percentiles
+from webloom.sources.shared import saved
 
 
 def score_rows(rows: DataFrame) -> DataFrame:
@@ -52,40 +54,26 @@ def run_totals(scored: DataFrame) -> DataFrame:
     )
 
 
-#: Slices of the range of latencies that are counted at first.
-SLICES = 4096
+#: The percentiles of a run.
+PERCENTILES = {"p50_ms": 0.5, "p90_ms": 0.9, "p95_ms": 0.95, "p99_ms": 0.99}
 
 
 def latency(rows: DataFrame, ms: str = "ms") -> DataFrame:
-    """Average and interpolated percentiles; 0 for no rows.
+    """Average and interpolated percentiles; 0 for no rows. Exact: see :mod:`webloom.operators.quantiles`."""
+    average = rows.select(F.col(ms).cast("double").alias("v")).agg(F.round(F.avg("v"), 1).alias("avg_ms"))  # one row
+    found = percentiles(rows, ms, [], PERCENTILES).select(*(F.round(k, 1).alias(k) for k in PERCENTILES), "n")
+    both = average.join(F.broadcast(found), F.lit(True), "left")
+    return both.select(*(F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("avg_ms", *PERCENTILES)), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
-    Exact in two levels: rows are counted by slices of the range (a table of fixed size), and only the slices that hold
-    a wanted rank are sorted, by their distinct values.
-    """
-    names = {"p50_ms": 0.5, "p90_ms": 0.9, "p95_ms": 0.95, "p99_ms": 0.99}
-    values = rows.select(F.col(ms).cast("double").alias("v")).filter("v IS NOT NULL")
-    total = values.agg(F.round(F.avg("v"), 1).alias("avg"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n")).first()
-    spark, schema = rows.sparkSession, "avg_ms double, " + ", ".join(f"{n} double" for n in names) + ", n long"
-    if not total["n"]:
-        return spark.createDataFrame([(0.0,) * 5 + (0,)], schema)
-    width = (total["hi"] - total["lo"]) / SLICES or 1.0
-    sliced = values.withColumn("slice", F.least(F.lit(SLICES - 1), F.floor((F.col("v") - total["lo"]) / width)))
-    before, starts = 0, {}
-    for r in sliced.groupBy("slice").count().orderBy("slice").collect():
-        starts[r["slice"]] = (before, before + r["count"])
-        before += r["count"]
-    ranks = {n: (total["n"] - 1) * q for n, q in names.items()}
-    wanted = {k for x in ranks.values() for k in (int(x), min(int(x) + 1, total["n"] - 1))}
-    places = {k: next(s for s, (a, b) in starts.items() if a <= k < b) for k in wanted}
-    counts = sliced.filter(F.col("slice").isin(*set(places.values()))).groupBy("slice", "v").agg(F.count(F.lit(1)).alias("k"))
-    upto = counts.withColumn("upto", F.sum("k").over(Window.partitionBy("slice").orderBy("v")))
-    at = {}
-    for k, s in places.items():
-        hit = (F.col("slice") == s) & (F.col("upto") > k - starts[s][0]) & (F.col("upto") - F.col("k") <= k - starts[s][0])
-        at[k] = F.max(F.when(hit, F.col("v"))).alias(f"at{k}")
-    found = upto.agg(*at.values()).first()
-    value = lambda x: found[f"at{int(x)}"] + (x - int(x)) * (found[f"at{min(int(x) + 1, total['n'] - 1)}"] - found[f"at{int(x)}"])
-    return spark.createDataFrame([(total["avg"], *(value(x) for x in ranks.values()), total["n"])], schema).select("avg_ms", *(F.round(n, 1).alias(n) for n in names), "n")
+
+def latency_by(rows: DataFrame, group: list[str], ms: str = "ms") -> DataFrame:
+    """Average and percentiles of each group, as of a host or a kind of request; groups without a value have no row."""
+    found = percentiles(rows, ms, group, PERCENTILES).withColumnsRenamed({g: f"_p_{g}" for g in group})
+    average = rows.groupBy(*group).agg(F.round(F.avg(F.col(ms).cast("double")), 1).alias("avg_ms"))
+    same = F.lit(True)
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"_p_{g}"))
+    return average.join(found, same).select(*group, "avg_ms", *(F.round(k, 1).alias(k) for k in PERCENTILES), "n")
 
 
 def failure_histogram(rows: DataFrame, reason: str = "reason", k: int = 10) -> DataFrame:
@@ -108,18 +96,25 @@ PHRASE_BLOCK = 500
 def phrase_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, n_docs): documents that hold the whole text of an item, for each row of ``items``.
 
-    A document that holds a phrase holds each of its inner words as a word: documents and phrases meet by the phrase's longest
-    inner word, and the phrase is looked for in those documents alone. Phrases without an inner word are a query set,
-    held against all documents in blocks of PHRASE_BLOCK.
+    A document that holds a phrase holds each of its inner words as a word: texts and phrases meet by the phrase's rarest inner word, as digests
+    and words alone. Then each distinct text that has a candidate is fetched once, and the phrase is looked for in it. Phrases without an inner word are a
+    query set, held against all documents in blocks of PHRASE_BLOCK.
     """
     phrases = items.select(F.col("text").alias("phrase")).filter("phrase <> ''").distinct()
-    words = F.split("phrase", r"\s+")
     inner = F.expr("slice(words, 2, greatest(size(words) - 2, 0))")
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = phrases.withColumn("words", words).withColumn("word", longest).drop("words")
-    own = docs.select("text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
-    found = own.join(keyed.filter("word IS NOT NULL"), "word").filter(F.contains("text", "phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
-    short = [r["phrase"] for r in keyed.filter("word IS NULL").orderBy("phrase").toLocalIterator()]
+    keyed = saved(phrases.withColumn("words", F.split("phrase", r"\s+")).select("phrase", F.md5(F.col("phrase").cast("binary")).alias("p"), F.array_distinct(inner).alias("words")), "phrases")
+    texts = docs.filter(F.col("text").isNotNull()).select("text", F.md5(F.col("text").cast("binary")).alias("d"))
+    asked = keyed.select("p", F.explode("words").alias("word"))
+    own = texts.select("d", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+    met = saved(own.join(asked.select("word").distinct(), "word", "left_semi").distinct(), "phrase-words")
+    # A word that no text has is the rarest of all: its phrase has no candidate.
+    spread = met.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    rarest = asked.join(spread, "word", "left").groupBy("p").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
+    candidates = saved(met.join(rarest, "word").select("d", "p"), "phrase-candidates")
+    fetched = texts.join(candidates.select("d").distinct(), "d", "left_semi").groupBy("d").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("k"))
+    held = candidates.join(keyed.select("p", "phrase"), "p").join(fetched, "d").filter(F.contains("text", "phrase"))
+    found = held.groupBy("phrase").agg(F.sum("k").alias("n"))
+    short = [r["phrase"] for r in keyed.filter("size(words) = 0").select("phrase").orderBy("phrase").toLocalIterator()]
     for at in range(0, len(short), PHRASE_BLOCK):
         block = F.array(*(F.lit(p) for p in short[at : at + PHRASE_BLOCK]))
         hits = docs.select("text", F.explode(F.filter(block, lambda p: F.contains(F.col("text"), p))).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))

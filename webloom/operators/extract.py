@@ -6,13 +6,15 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from webloom.functions import fixed
+from webloom.functions.base import any_of
 from webloom.functions.color import named_points, nearest
 from webloom.functions.dom import Node, parse, select, serialize
 from webloom.functions.links import page_images, page_links
 from webloom.functions.tokens import OPEN, RAWTEXT, attributes, tokens
-from webloom.functions.readability import Article, boost, candidate_score, is_noise_wrapper, is_readable, main_content, preprocess, readability, structural
+from webloom.functions.readability import Article, boost, candidate_score, is_readable, main_content, preprocess, readability, structural
 from webloom.functions.render import markdown, plain_text
 from webloom.functions.url import resolve
 
@@ -213,16 +215,22 @@ def scrape(pages: DataFrame, formats: list[str] | None = None, extractor: str =
                 metas = [pa.array([r[f] for r in rows], pa.string()) for f in _META_FIELDS]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), *texts, *lists, *metas], names=["page_id", "url", *_TEXTS, "links", "image_links", *_META_FIELDS])
 
-    from pyspark.sql import functions as F
-
     raw = F.when(F.col("content_type") == "application/pdf", F.col("raw")) if with_raw else F.lit(None).cast("binary")
     return spread(pages.select("page_id", "url", "html", raw.alias("raw"))).mapInArrow(run, SCHEMA)
 
 
+#: Tables of fewer bytes a core than this are dealt out before Python works on them.
+SPREAD_BYTES = 16 << 20
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows of fewer splits than there are cores are dealt out before Python works on them; a table of many splits stays as it is."""
+    """Rows of a small table are dealt over all cores before Python works on them; a large one has splits enough and stays as it is.
+
+    Judged by the plan's estimate of size alone: nothing runs.
+    """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * SPREAD_BYTES else rows
 
 
 def _per_page(pages: DataFrame, schema: str, one) -> DataFrame:
@@ -270,28 +278,19 @@ def selected(pages: DataFrame, selector: str) -> DataFrame:
 
 
 def best_renderings(rows: DataFrame, key: str, options: list[str]) -> DataFrame:
-    """(key, pick): the number of the option that :func:`best_candidate` takes, from 0."""
-    kind = dict(rows.dtypes)[key]
-
-    def run(batches):
-        for batch in batches:
-            texts = zip(*(batch.column(c).to_pylist() for c in options), strict=True)
-            found = [[x or "" for x in t] for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([t.index(best_candidate(t)) for t in found], pa.int64())], names=[key, "pick"])
-
-    return rows.select(key, *options).mapInArrow(run, f"{key} {kind}, pick long")
+    """(key, pick): the number of the longest option in bytes, trimmed, from 0; the first of equals. As :func:`best_candidate`, JVM-side."""
+    sizes = [F.octet_length(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")) for c in options]
+    best = F.array_max(F.array(*(F.struct(n.alias("n"), F.lit(-i).alias("i")) for i, n in enumerate(sizes))))
+    return rows.select(key, (-best["i"]).cast("long").alias("pick"))
 
 
 def noise_flags(rows: DataFrame, key: str, names: str, role: str) -> DataFrame:
-    """(key, noise): whether class and id, or the role, mark a wrapper of noise."""
-    kind = dict(rows.dtypes)[key]
-
-    def run(batches):
-        for batch in batches:
-            flags = [is_noise_wrapper(n or "", r or "") for n, r in zip(batch.column(names).to_pylist(), batch.column(role).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(flags, pa.bool_())], names=[key, "noise"])
-
-    return rows.select(key, names, role).mapInArrow(run, f"{key} {kind}, noise boolean")
+    """(key, noise): whether class and id, or the role, mark a wrapper of noise. As :func:`is_noise_wrapper`, JVM-side."""
+    own, kind = F.coalesce(F.col(names), F.lit("")), F.lower(F.coalesce(F.col(role), F.lit("")))
+    words = F.split(own, r"(?U)[\s\x1c-\x1f]+")
+    phrase = any_of(F.contains(own, F.lit(p)) for p in fixed.NOISE_PHRASES)
+    word = F.exists(words, lambda w: w.isin(*fixed.NOISE_TOKENS) | any_of(F.startswith(w, F.lit(p)) for p in fixed.NOISE_PREFIXES))
+    return rows.select(key, (phrase | word | kind.isin(*fixed.NOISE_ROLES)).alias("noise"))
 
 
 def candidate_scores(pages: DataFrame, selector: str) -> DataFrame:
@@ -426,8 +425,6 @@ def brand(pages: DataFrame, names: dict[str, str] | None = None, tokens: DataFra
     ``names`` (hex -> name) is the table of colour names that ``color_names`` come from, as
     :func:`webloom.sources.readers.color_names` reads it; the built-in one is short.
     """
-    from pyspark.sql import functions as F
-
     from webloom.functions.color import merged_colors
 
     points = named_points(names)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import brand, classify, color, design, html_text, links, pattern, url
-from webloom.operators import cache_log, crawl, evaluate, extract, inverted_index, jobs, requests, robots, search, sitemap
+from webloom.operators import cache_log, crawl, evaluate, extract, inverted_index, jobs, quantiles, requests, robots, search, sitemap
 from webloom.plans import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -425,6 +425,19 @@ def latency_percentiles(spark, sf_dir):
     return evaluate.latency(table(spark, sf_dir, "events").select(F.col("value").alias("ms")))
 
 
+@query
+def latency_by_type(spark, sf_dir):
+    """Percentiles of each type of event."""
+    return evaluate.latency_by(table(spark, sf_dir, "events"), ["event_type"], "value")
+
+
+@query
+def page_sizes_by_host(spark, sf_dir):
+    """Percentiles of the pages' bytes by host: many small groups."""
+    p = table(spark, sf_dir, "pages").select(url.host("url").alias("host"), F.octet_length("html").alias("n_bytes"))
+    return quantiles.percentiles(p, "n_bytes", ["host"], {"p50": 0.5, "p90": 0.9}).select("host", "n", F.round("p50", 4).alias("p50"), F.round("p90", 4).alias("p90"))
+
+
 @query
 def phrase_hits(spark, sf_dir):
     return evaluate.phrase_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
