@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from urllib.parse import quote, urljoin, urlsplit, urlunsplit
+from urllib.parse import quote
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -116,19 +116,101 @@ def brand_resolve(src: Column | str, base: Column | str) -> Column:
     )
 
 
-# Reference resolution over text needs a real parser: this is the Python side, used inside Arrow operators.
-_SAFE_PATH, _SAFE_QUERY = "/%:@!$&'()*+,;=~-._", "/%:@!$&'()*+,;=~-._?[]\"<>^`{|}\\"
-_BAD_ESCAPE = re.compile(r"%(?![0-9A-Fa-f]{2})")
+#: Scheme, authority, path, query and fragment of a reference; the last two with their mark.
+PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
+#: An authority that can be read; the port is judged besides.
+AUTHORITY = r"^(?:[^@]*@)?(?:\[[^\[\]]*\]|[^\[\]:@ ]*)(?::([0-9]*))?$"
+#: Characters that stay as they are in a path, and in a query or fragment; others become percent-encoded UTF-8.
+SAFE_PATH, SAFE_QUERY = r"A-Za-z0-9/%:@!$&'()*+,;=~\-._", r"A-Za-z0-9/%:@!$&'()*+,;=~\-._?\[\]\"<>^`{|}\\"
+_BAD_ESCAPE, CONTROL, _DOTS = "%(?![0-9A-Fa-f]{2})", r"[\x00-\x1f\x7f]", r"(?:^|/)\.\.?(?:/|$)"
+
+
+def encoded(x: Column, safe: str) -> Column:
+    """``x`` with every character outside the class ``safe`` percent-encoded, run by run."""
+    runs = F.regexp_extract_all(x, F.lit(f"[{safe}]+|[^{safe}]+"), F.lit(0))
+    coded = F.transform(runs, lambda r: F.when(r.rlike(f"^[{safe}]"), r).otherwise(F.replace(F.url_encode(r), F.lit("+"), F.lit("%20"))))
+    return F.when(x.rlike(f"[^{safe}]"), F.array_join(coded, "")).otherwise(x)
+
+
+def without_dots(path_: Column) -> Column:
+    """A rooted path without its ``.`` and ``..`` segments, folded from the left; ``..`` at the root is dropped."""
+    parent = lambda done: F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+    step = lambda done, s: F.when(s == ".", done).when(s == "..", parent(done)).otherwise(F.concat(done, F.array(s)))
+    fold = lambda segments: F.struct(F.aggregate(segments, F.array().cast("array<string>"), step).alias("kept"), F.element_at(segments, -1).isin(".", "..").alias("open"))
+    shown = lambda t: F.concat(F.lit("/"), F.array_join(t["kept"], "/"), F.when(t["open"] & (F.size(t["kept"]) > 0), "/").otherwise(""))
+    return F.when(path_.rlike(_DOTS), bound(bound(F.split(F.substr(path_, F.lit(2)), "/", -1), fold), shown)).otherwise(path_)
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, so that steps built on steps stay small as expressions."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def parts(x: Column) -> Column:
+    """A reference's scheme, host, path, query and fragment, and whether it names a host."""
+    found = (F.regexp_extract(x, PARTS, k).alias(n) for k, n in enumerate(("scheme", "host", "path", "query", "fragment"), 1))
+    return F.struct(*found, x.rlike("^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//").alias("hosted"))
+
+
+def resolved(base: Column | str, href: Column | str) -> Column:
+    """``href`` against ``base`` (RFC 3986), JVM-side; null where it can't be read. As :func:`resolve`.
+
+    Dot segments go, also from absolute references; a scheme without ``//`` is opaque and stays; a base without a path
+    counts as its root; bytes that a path may not hold are percent-encoded.
+    """
+    b, h = F.coalesce(col(base), F.lit("")), col(href)
+    readable = ~h.rlike(CONTROL)
+    return F.when(readable, bound(F.struct(parts(h).alias("h"), parts(b).alias("b")), lambda t: resolved_parts(t["b"], t["h"])))
+
+
+def resolved_parts(b: Column, h: Column) -> Column:
+    """:func:`resolved` for :func:`parts` of a base and of a reference without control characters."""
+    own, opaque = h["hosted"] | (h["scheme"] != ""), (h["scheme"] != "") & ~h["hosted"]
+    rooted = lambda p: F.when((p == "") | F.startswith(p, F.lit("/")) | opaque, p).otherwise(F.concat(F.lit("/"), p))
+    folder = F.regexp_extract(b["path"], "(?s)^(.*/)?", 1)
+    joined = F.when(own | F.startswith(h["path"], F.lit("/")), h["path"]).when(h["path"] == "", b["path"]).otherwise(F.concat(folder, h["path"]))
+    steps = F.struct(
+        bound(joined, rooted).alias("path"), F.when(own, h["host"]).otherwise(b["host"]).alias("host"), F.lower(F.when(h["scheme"] != "", h["scheme"]).otherwise(b["scheme"])).alias("scheme"),
+        F.when(~own & (h["path"] == "") & (h["query"] == ""), b["query"]).otherwise(h["query"]).alias("query"),
+    )
+
+    def address(t: Column) -> Column:
+        scheme = F.when(t["scheme"] != "", F.concat(t["scheme"], F.lit(":"))).otherwise("")
+        authority = F.when(h["hosted"] | ~own & b["hosted"], F.concat(F.lit("//"), t["host"])).otherwise("")
+        place = bound(F.when(opaque, t["path"]).otherwise(without_dots(t["path"])), lambda p: encoded(p, SAFE_PATH))
+        query = F.when(t["query"].rlike(r"[^\x00-\x7f]"), encoded(t["query"], SAFE_QUERY)).otherwise(t["query"])
+        fragment = F.when(h["fragment"] != "#", encoded(h["fragment"], SAFE_QUERY + "#")).otherwise("")
+        port = F.regexp_extract(t["host"], AUTHORITY, 1)
+        bad = h["path"].rlike(_BAD_ESCAPE) | ~t["host"].rlike(AUTHORITY) | (F.char_length(port) > 5) | F.coalesce(F.when(port != "", port.try_cast("int")) > 65535, F.lit(False))
+        return F.when(~bad, F.concat(scheme, authority, place, query, fragment))
+
+    return bound(steps, address)
+
+
+_PARTS, _AUTHORITY, _UNREADABLE, _DOT_SEGMENT = re.compile(PARTS.removesuffix("$") + r"\Z"), re.compile(AUTHORITY), re.compile(CONTROL), re.compile(_DOTS)
+_QUOTED_PATH, _QUOTED_QUERY = "/%:@!$&'()*+,;=~-._", "/%:@!$&'()*+,;=~-._?[]\"<>^`{|}\\"
 
 
 def resolve(base: str, href: str) -> str | None:
-    """``href`` against ``base`` (RFC 3986), with bytes that a path may not hold percent-encoded; None if it can't be read."""
-    if _BAD_ESCAPE.search(href.split("#", 1)[0].split("?", 1)[0]) or any(ord(c) < 32 or c == "\x7f" for c in href):
-        return None
-    try:
-        parts = urlsplit(urljoin(base, href))
-        parts.port  # noqa: B018  raises on a bad port
-    except ValueError:
+    """:func:`resolved` for one reference, where a page is in a worker's hands already."""
+    scheme, host_, path_, query, fragment = _PARTS.match(href).groups()
+    base_scheme, base_host, place, base_query, _ = _PARTS.match(base).groups()
+    own = scheme is not None or host_ is not None
+    authority = _AUTHORITY.match((host_ if own else base_host) or "")
+    if _UNREADABLE.search(href) or re.search(_BAD_ESCAPE, path_) or not authority or len(authority[1] or "") > 5 or int(authority[1] or 0) > 65535:
         return None
-    query = quote(parts.query, safe=_SAFE_QUERY) if not parts.query.isascii() else parts.query
-    return urlunsplit((parts.scheme, parts.netloc, quote(parts.path, safe=_SAFE_PATH), query, quote(parts.fragment, safe=_SAFE_QUERY)))
+    if not own and not path_ and query is None:
+        query = base_query
+    joined = path_ if own or path_.startswith("/") else place[: place.rfind("/") + 1] + path_ if path_ else place
+    if scheme is None or host_ is not None:
+        joined = "/" + joined if joined and joined[0] != "/" else joined
+        if _DOT_SEGMENT.search(joined):
+            kept: list[str] = []
+            for segment in (segments := joined[1:].split("/")):
+                kept = kept[:-1] if segment == ".." else kept if segment == "." else [*kept, segment]
+            joined = "/" + "/".join(kept) + ("/" if kept and segments[-1] in (".", "..") else "")
+    query = query or ""
+    shown, authority_ = (scheme or base_scheme or "").lower(), host_ if own else base_host
+    start = (shown + ":" if shown else "") + ("" if authority_ is None else "//" + authority_)
+    end = "" if fragment in (None, "#") else quote(fragment, safe=_QUOTED_QUERY + "#")
+    return start + quote(joined, safe=_QUOTED_PATH) + (query if query.isascii() else quote(query, safe=_QUOTED_QUERY)) + end

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from webloom.functions import fixed
 from webloom.functions.pattern import compiled, valid
-from webloom.functions.url import PRIVATE_V4, PRIVATE_V6
+from webloom.functions.url import AUTHORITY, PARTS, PRIVATE_V4, PRIVATE_V6, SAFE_PATH, SAFE_QUERY
 from webloom.plans import fixtures as fx
 from webloom.plans import queries as q
 
@@ -165,6 +165,40 @@ _bare = lambda t: f"list_concat(regexp_extract_all({t}, {_s(fixed.HTTP_URL)}), l
 ORACLES["bare_urls"] = (
     f"SELECT doc_id, array_to_string({_bare('t')}, ' ') AS urls FROM (SELECT doc_id, text || ' see http://www.example.com/a?b=1, and WWW.example.org)' || doc_id AS t FROM documents)"
 )
+
+
+def _coded(x: str, safe: str) -> str:
+    runs = f"regexp_extract_all({x}, {_s(f'[{safe}]+|[^{safe}]+')})"
+    return f"array_to_string(list_transform({runs}, lambda r: CASE WHEN regexp_matches(r, {_s(f'^[{safe}]')}) THEN r ELSE url_encode(r) END), '')"
+
+
+def _resolved(rows: str, key: str) -> str:
+    """(key, ord, x): the rows' ``raw`` against their ``url``, step by step; those that can't be read left out."""
+    parts = lambda c, p: ", ".join(f"regexp_extract({c}, {_s(PARTS)}, {k}) AS {p}{k}" for k in range(1, 6))
+    starts = lambda c: f"regexp_matches({c}, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//')"
+    fold = "list_reduce(string_split(substr(p, 2), '/'), lambda d, s: CASE WHEN s = '.' THEN d WHEN s = '..' THEN d[:-2] ELSE list_append(d, s) END, []::VARCHAR[])"
+    dotted = "regexp_matches(p, '(?:^|/)[.][.]?(?:/|$)')"
+    undotted = f"CASE WHEN {dotted} THEN '/' || array_to_string({fold}, '/') || CASE WHEN len({fold}) > 0 AND regexp_matches(p, '/[.][.]?$') THEN '/' ELSE '' END ELSE p END"
+    a = f"SELECT *, {parts('raw', 'h')}, {parts('url', 'b')}, {starts('raw')} AS hosted, {starts('url')} AS based FROM ({rows}) WHERE NOT regexp_matches(raw, '[\\x00-\\x1f\\x7f]')"
+    b = "SELECT *, hosted OR h1 <> '' AS own, CASE WHEN hosted OR h1 <> '' OR h3 LIKE '/%' THEN h3 WHEN h3 = '' THEN b3 ELSE regexp_extract(b3, '^(.*/)?', 1) || h3 END AS j FROM a"
+    c = "SELECT *, CASE WHEN j = '' OR j LIKE '/%' OR h1 <> '' AND NOT hosted THEN j ELSE '/' || j END AS p, CASE WHEN own THEN h2 ELSE b2 END AS host, CASE WHEN NOT own AND h3 = '' AND h4 = '' THEN b4 ELSE h4 END AS q FROM b"
+    d = f"SELECT *, CASE WHEN h1 <> '' AND NOT hosted THEN p ELSE {undotted} END AS u, regexp_extract(host, {_s(AUTHORITY)}, 1) AS port FROM c WHERE regexp_matches(host, {_s(AUTHORITY)})"
+    e = (
+        f"SELECT {key}, ord, CASE WHEN h1 <> '' THEN lower(h1) || ':' WHEN b1 <> '' THEN lower(b1) || ':' ELSE '' END || CASE WHEN hosted OR NOT own AND based THEN '//' || host ELSE '' END || {_coded('u', SAFE_PATH)} "
+        f"|| CASE WHEN regexp_matches(q, '[^\\x00-\\x7f]') THEN {_coded('q', SAFE_QUERY)} ELSE q END || CASE WHEN h5 = '#' THEN '' ELSE {_coded('h5', SAFE_QUERY + '#')} END AS x FROM d "
+        "WHERE len(port) <= 5 AND coalesce(TRY_CAST(port AS INT), 0) <= 65535 AND NOT regexp_matches(h3, '%(?:[^0-9A-Fa-f]|[0-9A-Fa-f][^0-9A-Fa-f]|[0-9A-Fa-f]?$)')"
+    )
+    return f"(WITH a AS ({a}), b AS ({b}), c AS ({c}), d AS ({d}) {e})"
+
+
+_found = lambda l: f"SELECT page_id, url, unnest(l) AS raw, unnest(range(len(l))) AS ord FROM (SELECT page_id, url, {l} AS l FROM pages)"
+_links_of = f"SELECT * FROM ({_found(f'list_concat({_hrefs("html")}, {_bare("html")})')}) WHERE NOT regexp_matches(raw, {_s(fixed.EXCLUDED_SCHEME)})"
+_sources = f"list_filter(list_transform(regexp_extract_all(html, {_s(fixed.IMAGE_SRC)}, 1), lambda h: {unescape('trim(h)')}), lambda h: h <> '' AND NOT regexp_matches(h, '^(?:data:|blob:)'))"
+ORACLES["extract_links"] = (
+    "SELECT page_id, coalesce(l, '') AS links, CAST(coalesce(n, 0) AS INT) AS n_images FROM pages "
+    f"LEFT JOIN (SELECT page_id, string_agg(x, chr(10) ORDER BY o) AS l FROM (SELECT page_id, x, min(ord) AS o FROM {_resolved(_links_of, 'page_id')} WHERE x <> '' GROUP BY 1, 2) GROUP BY 1) USING (page_id) "
+    f"LEFT JOIN (SELECT page_id, count(DISTINCT x) AS n FROM {_resolved(_found(_sources), 'page_id')} WHERE x <> '' GROUP BY 1) USING (page_id)"
+)
 ORACLES["images_raw"] = (
     f"SELECT id, array_to_string(list_filter(list_transform(regexp_extract_all(html, {_s(fixed.IMAGE_SRC)}, 1), lambda h: {unescape('trim(h)')}), "
     f"lambda h: h <> '' AND NOT regexp_matches(h, '^(?:data:|blob:)')), ' ') AS images FROM {fx.values(fx.IMG_PAGES, 'id, html')}"
