@@ -554,3 +554,4 @@ ORACLES["latency_by_type"] = (
     "SELECT event_type, round(avg(value), 1) AS avg_ms, " + ", ".join(f"round(quantile_cont(value, {v}), 1) AS {n}" for n, v in (("p50_ms", 0.5), ("p90_ms", 0.9), ("p95_ms", 0.95), ("p99_ms", 0.99))) + ", count(value) AS n FROM events GROUP BY 1 HAVING count(value) > 0"
 )
 ORACLES["page_sizes_by_host"] = f"SELECT host, count(*) AS n, round(quantile_cont(b, 0.5), 4) AS p50, round(quantile_cont(b, 0.9), 4) AS p90 FROM (SELECT {host('url')} AS host, strlen(html)::DOUBLE AS b FROM pages) GROUP BY 1"
+ORACLES["events_logged"] = "SELECT event_id, user_id, event_type FROM events"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from webloom.functions import brand, classify, color, design, html_text, links, pattern, url
 from webloom.operators import cache_log, crawl, evaluate, extract, inverted_index, jobs, quantiles, requests, robots, search, sitemap
 from webloom.plans import fixtures as fx
+from webloom.sources.shared import shared_folder
+from webloom.streaming import once
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -770,3 +773,15 @@ def scrape_answers(spark, sf_dir):
     from webloom.api import ScrapeRequest, envelope, scrape
 
     return envelope(scrape(with_status(table(spark, sf_dir, "pages")), ScrapeRequest(["markdown", "links"])))
+
+
+@query
+def events_logged(spark, sf_dir):
+    """Events streamed into a log that takes every batch once; the stream then runs again from its start, and adds nothing."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    place = f"{shared_folder(spark)}/webloom-core/log-{uuid.uuid4().hex}"
+    kinds = ", ".join(f"{n} {t}" for n, t in e.dtypes)
+    for attempt in ("first", "again"):
+        stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*").select(*e.columns)
+        once.log_once(stream, f"{place}/log", f"{place}/{attempt}").awaitTermination()
+    return once.logged(spark, f"{place}/log", kinds).drop("batch")
