@@ -88,6 +88,11 @@ BEFORE_AT = frozenset(
     "this that there here stuff found find visit read more us directly sold held based hosted open opens online buy order located listed".split()
 )
 
+# Words after which a plain word is a verb, so that "at" after it is prose.
+BEFORE_VERB = frozenset("we they i he she who will would can could must shall should may might don't didn't cannot".split())
+# Units that make a spoken figure with points a measure, not an address.
+UNITS = ("percent", "per cent", "%", "prozent", "pour cent", "por ciento")
+
 _alt = lambda words: "|".join(sorted(map(re.escape, words), key=len, reverse=True))
 _UNIT = _alt(DIGIT_WORDS)
 _GERMAN = rf"(?:ein|{_alt(w for w in DIGIT_WORDS)})und(?:{_alt(w for w in TENS)})"
@@ -114,9 +119,12 @@ _DOTTED = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:{_HARD_DOT}|{_SOFT_DOT}|\.)
 _BLANK_DOTTED = re.compile(r"(?<![0-9.])[0-9](?:\x20?[0-9]){0,2}(?:\x20?\.\x20?[0-9](?:\x20?[0-9]){0,2}){3}(?![0-9])")
 _ESCAPED = re.compile(r"&#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});|&(?:commat|period|plus|lpar|rpar|lowbar|hyphen|dash);|%(?:40|2[bBeE])")
 _MAY_ESCAPE = re.compile(r"&[#a-z]|%[24]")
+_MEASURED = re.compile(rf"[\s-]*(?:{_alt(UNITS)})", re.I)
+_LAST_WORD = re.compile(r"(?<![\w'])([\w']{1,12})\s{1,20}\Z")
+_FULL_STOPS = frozenset("。｡")
 _NAME_SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-")
 #: Beyond Latin letters and ordinary punctuation: may hold homoglyphs, full-width forms or invisible characters.
-_ODD = re.compile(r"[­ɐ-᷿​-‏․⁠-₟℀-⅏①-⓿　﹒﹫﻿-￯\U0001D400-\U0001D7FF]")
+_ODD = re.compile(r"[­ɐ-᷿​-‏․⁠-₟℀-⅏①-⓿　。﹒﹫﻿-￯\U0001D400-\U0001D7FF]")
 _INVISIBLE = frozenset("­​‌‍‎‏⁠﻿")
 
 
@@ -216,8 +224,21 @@ def plain_char(c: str) -> str | None:
     return LOOKALIKES.get(folded)
 
 
+def _joins(text: str, i: int) -> bool:
+    """Whether the ideographic full stop at ``i`` stands inside an address: between figures, or before an ending or one more stop."""
+    label = _LABEL.match(text, i + 1)
+    if not i or not label or not text[i - 1].isascii() or not text[i - 1].isalnum():
+        return False
+    return label[0].lower() in ENDINGS or label[0].isdigit() and text[i - 1].isdigit() or text[label.end() : label.end() + 1] in _FULL_STOPS
+
+
 def _glyph_edits(text: str) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), new) for m in _ODD.finditer(text) if (new := plain_char(m[0])) is not None]
+    out = []
+    for m in _ODD.finditer(text):
+        new = ("." if _joins(text, m.start()) else None) if m[0] in _FULL_STOPS else plain_char(m[0])
+        if new is not None:
+            out.append((m.start(), m.end(), new))
+    return out
 
 
 def _escape_edits(text: str) -> list[tuple[int, int, str]]:
@@ -260,6 +281,12 @@ def _name_before(text: str, end: int, least: int) -> tuple[int, list, bool, bool
     return start, edits, False, disguised
 
 
+def _after_subject(text: str, start: int) -> bool:
+    """Whether the word before ``start`` makes the next one a verb, as in "we sell at"."""
+    before = _LAST_WORD.search(text, max(0, start - 40), start)
+    return bool(before) and before[1].lower() in BEFORE_VERB
+
+
 def _mail_edits(text: str) -> list[tuple[int, int, str]]:
     """From each at sign, plain or disguised, to the left for the name and to the right for the domain."""
     edits: list[tuple[int, int, str]] = []
@@ -294,7 +321,7 @@ def _mail_edits(text: str) -> list[tuple[int, int, str]]:
         at, n, disguised = end
         if m["plain"] and not left and not disguised:
             continue  # the base pattern has it
-        if m["soft"] and not spaced and not hard and text[start : m.start()].lower() in BEFORE_AT:
+        if m["soft"] and not spaced and not hard and (text[start : m.start()].lower() in BEFORE_AT or _after_subject(text, start)):
             continue
         edits += sorted(left) + ([] if m["plain"] else [(m.start(), m.end(), "@")]) + right[:n]
         last = at
@@ -353,6 +380,8 @@ def _digit_edits(text: str) -> list[tuple[int, int, str]]:
         if not any(w in _SAID or _GERMAN_WORD.fullmatch(w) for w in _WORDS.findall(m[0].lower())):
             continue
         new = _spoken(m[0])
+        if "." in new and _MEASURED.match(text, m.end()):
+            continue
         if len(_NOT_DIGITS.sub("", new)) >= 7 or new.count(".") == 3:
             edits.append((m.start(), m.end(), new))
     return edits
@@ -360,7 +389,7 @@ def _digit_edits(text: str) -> list[tuple[int, int, str]]:
 
 def _dotted_edits(text: str) -> list[tuple[int, int, str]]:
     """Addresses whose dots are disguised, or whose digits are spaced out."""
-    found = [(m.start(), m.end(), re.sub(r"[^0-9.]+", ".", re.sub(rf"{_HARD_DOT}|{_SOFT_DOT}", ".", m[0], flags=re.I))) for m in _DOTTED.finditer(text)]
+    found = [(m.start(), m.end(), re.sub(r"[^0-9.]+", ".", re.sub(rf"{_HARD_DOT}|{_SOFT_DOT}", ".", m[0], flags=re.I))) for m in _DOTTED.finditer(text) if not _MEASURED.match(text, m.end())]
     for m in _BLANK_DOTTED.finditer(text):
         if re.search(r"[0-9]\x20[0-9]", m[0]):
             found.append((m.start(), m.end(), m[0].replace(" ", "")))
@@ -376,7 +405,8 @@ _WORD_TRIGGER = re.compile(rf"[\[({{<]\s{{0,20}}(?:{_alt(AT_WORDS)}|{_alt(DOT_WO
 
 
 def disguised_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans that only the rewritten text shows, in source offsets."""
+    """Spans that only the rewritten text shows, in source offsets. They meet no base span of their kind, but that an email
+    whose base span ends at a look-alike glyph is added whole, around the base span."""
     tape = Tape(text)
     if not text.isascii() and _ODD.search(text):
         tape = tape.rewrite(_glyph_edits(tape.text))
@@ -392,12 +422,19 @@ def disguised_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[s
     out, taken = [], {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}
     for kind, a, b in base_spans(tape.text):
         s, e = tape.back(a, b)
-        if all(e <= x or s >= y for x, y in taken[kind]):
+        if all(e <= x or s >= y or kind == "email" and _wider(text, s, e, x, y) for x, y in taken[kind]):
             out.append((kind, s, e))
             taken[kind].append((s, e))
     return out
 
 
+def _wider(text: str, s: int, e: int, x: int, y: int) -> bool:
+    """Whether (s, e) is the whole of an address that odd glyphs cut to (x, y): it goes on over such a glyph, up to a word's edge."""
+    if not (s <= x and y <= e) or (s, e) == (x, y) or s and text[s - 1].isalnum():
+        return False
+    return (s == x or bool(_ODD.match(text[x - 1]))) and (e == y or bool(_ODD.match(text[y])))
+
+
 def find_spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, added spans) of one text, each by kind, then start."""
     base = base_spans(text or "")
@@ -435,7 +472,7 @@ def redact(docs: DataFrame) -> DataFrame:
             if text is not None:
                 base, added = find_spans(text)
                 at, parts = 0, []
-                for a, b, kind in sorted((a, b, k) for k, a, b in base + added):
+                for a, b, kind in sorted(((a, b, k) for k, a, b in base + added), key=lambda x: (x[0], -x[1])):
                     if a >= at:
                         parts += [text[at:a], f"<{kind}>"]
                         at = b
