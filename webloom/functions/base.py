@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -34,3 +34,8 @@ def first_bytes(x: Column, n: int) -> Column:
 
 def replaced(x: Column, pattern: str, by: str = "") -> Column:
     return F.regexp_replace(x, F.lit(pattern), F.lit(by))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, so that steps built on steps stay small as expressions."""
+    return F.element_at(F.transform(F.array(value), use), 1)

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import fixed
-from webloom.functions.base import col
+from webloom.functions.base import bound, col
+from webloom.sources.shared import saved
 
 CSS_HEX = "#[0-9a-fA-F]{3,8}"
 
@@ -59,13 +60,46 @@ def name_table(df: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
     return table.withColumn("n_rgb", rgb("name_hex")).withColumn("n_hsl", hsl(F.col("n_rgb")))
 
 
+#: Steps of the lattice: of each RGB channel, and of the hue, whose jumps would blur a cell.
+CELL, HUES = 16, 24
+
+
+def cell_names(colors: DataFrame, names: DataFrame) -> DataFrame:
+    """(_cell, name, n_rgb, n_hsl): for each occupied cell of the lattice the names that can be nearest to a colour in it.
+
+    ``colors`` has ``_cell``, ``_rgb`` and ``_hsl``. A cell's box is what its colours span. A name that is farther from the
+    nearest point of the box than another name from the farthest point can't win there. Cells are at most some thousands and the
+    table of names is a parameter of fixed size, so this costs the same however many colours there are.
+    """
+    axes = [(f"_{kind}", n, f"n_{kind}", weight) for kind, weight in (("rgb", 1), ("hsl", 2)) for n in kind]
+    spans = (f(F.col(c)[n]).alias(f"_{n}_{w}") for c, n, _, _ in axes for w, f in (("low", F.min), ("high", F.max)))
+    boxes = colors.filter(F.col("_cell").isNotNull()).groupBy("_cell").agg(*spans)
+    gaps = {
+        "least": lambda x, low, high: F.greatest(low - x, x - high, F.lit(0)),
+        "most": lambda x, low, high: F.greatest(F.abs(x - low), F.abs(x - high)),
+    }
+    bound = lambda w: sum((g := gaps[w](F.col(t)[n], F.col(f"_{n}_low"), F.col(f"_{n}_high"))) * g * k for _, n, t, k in axes)
+    pairs = boxes.crossJoin(F.broadcast(names))
+    safe = pairs.groupBy("_cell").agg(F.min(bound("most")).alias("_enough"))
+    return boxes.join(safe, "_cell").crossJoin(F.broadcast(names)).filter(bound("least") <= F.col("_enough")).select("_cell", "name", "n_rgb", "n_hsl")
+
+
+def distinct_colors(df: DataFrame, hex_: str) -> DataFrame:
+    """(_hex, _rgb, _hsl, _cell) of each colour once; the cell is null where the digits can't be read."""
+    step = lambda c, n, width: F.floor(c[n] / width).cast("long")
+    cell = lambda c, h: ((step(c, "r", CELL) * 256 + step(c, "g", CELL)) * 256 + step(c, "b", CELL)) * 512 + step(h, "h", HUES)
+    point = bound(rgb("_hex"), lambda c: bound(hsl(c), lambda h: F.struct(c.alias("_rgb"), h.alias("_hsl"), cell(c, h).alias("_cell"))))
+    return df.select(six_digits(hex_).alias("_hex")).distinct().withColumn("_point", point).select("_hex", "_point.*")
+
+
 def nearest_name(df: DataFrame, hex_: str, names: dict[str, str] | None = None) -> DataFrame:
-    """``df`` with ``color_name`` and ``color_distance`` of the nearest name; ties go to the first name in order.
+    """``df`` with ``color_name`` and ``color_distance`` of the nearest name; ties go to the first name in order, and colours
+    whose digits can't be read have neither.
 
-    Distinct colours are few beside rows, so each is compared with the fixed table of names once.
+    Distinct colours are written once, as they are read twice; they meet, by their cell of a lattice, only the few names that can win there (:func:`cell_names`).
     """
-    colors = df.select(six_digits(hex_).alias("_hex")).distinct().withColumn("_rgb", rgb("_hex")).withColumn("_hsl", hsl(F.col("_rgb")))
-    pairs = colors.crossJoin(F.broadcast(name_table(df, names)))  # a fixed table, not one that grows
+    colors = saved(distinct_colors(df, hex_), "colors")
+    pairs = colors.join(cell_names(colors, name_table(df, names)), "_cell")
     d = distance(F.col("_rgb"), F.col("_hsl"), F.col("n_rgb"), F.col("n_hsl")).cast("long")
     best = pairs.withColumn("d", d).groupBy("_hex").agg(F.min(F.struct("d", "name")).alias("best"))
     best = best.select("_hex", F.col("best.name").alias("color_name"), F.col("best.d").alias("color_distance"))

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import fixed
-from webloom.functions.base import col
+from webloom.functions.base import bound, col
 from webloom.functions.html_text import unescape_entities
-from webloom.functions.url import CONTROL, bound, is_excluded_scheme, origin, parts, resolve, resolved_parts
+from webloom.functions.url import CONTROL, is_excluded_scheme, origin, parts, resolve, resolved_parts
 
 
 def raw_hrefs(html: Column | str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from webloom.functions import fixed
-from webloom.functions.base import any_of, col
+from webloom.functions.base import any_of, bound, col
 
 #: Addresses that must not be fetched: loopback, private, link-local, unspecified, shared.
 PRIVATE_V4 = r"^(?:127\.|10\.|0\.|169\.254\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|100\.(?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.)[0-9.]*$"
@@ -141,11 +141,6 @@ def without_dots(path_: Column) -> Column:
     return F.when(path_.rlike(_DOTS), bound(bound(F.split(F.substr(path_, F.lit(2)), "/", -1), fold), shown)).otherwise(path_)
 
 
-def bound(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, so that steps built on steps stay small as expressions."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def parts(x: Column) -> Column:
     """A reference's scheme, host, path, query and fragment, and whether it names a host."""
     found = (F.regexp_extract(x, PARTS, k).alias(n) for k, n in enumerate(("scheme", "host", "path", "query", "fragment"), 1))

@@ -59,7 +59,16 @@ def evaluation_set(spark: SparkSession, path: str, most: int | None = None) -> D
     return d if most is None else d.orderBy("url").limit(most)
 
 
+#: A table of colour names is a parameter that goes to every task; a larger one is refused.
+MOST_NAMES = 100_000
+
+
 def color_names(spark: SparkSession, path: str) -> dict[str, str]:
-    """A table of colour names from CSV (hex, name), as :func:`webloom.functions.color.nearest_name` takes it; a few thousand rows."""
-    rows = spark.read.csv(path, schema="hex string, name string").limit(100_000).collect()
+    """A table of colour names from CSV (hex, name), as :func:`webloom.functions.color.nearest_name` takes it; a few thousand rows.
+
+    Raises ValueError for a table of more than MOST_NAMES rows.
+    """
+    rows = spark.read.csv(path, schema="hex string, name string").limit(MOST_NAMES + 1).collect()
+    if len(rows) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} colour names in {path}")
     return {r["hex"].upper().removeprefix("#"): r["name"] for r in rows if r["hex"] and r["name"]}
