@@ -233,22 +233,33 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if size < cores * SPREAD_BYTES else rows
 
 
-def _per_page(pages: DataFrame, schema: str, one) -> DataFrame:
+def _per_page(pages: DataFrame, schema: str, one, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``one`` (html, url) -> the fields of ``schema`` after page_id; string columns ``keep`` go along."""
+    schema = ", ".join([schema, *(f"{c} string" for c in keep)])
+
     def run(batches):
         for batch in batches:
             rows = [one(h or "", u or "") for h, u in zip(batch.column("html").to_pylist(), batch.column("url").to_pylist(), strict=True)]
             target = pa.schema(_fields)
-            columns = [batch.column("page_id"), *(pa.array([r[k] for r in rows], target.field(k + 1).type) for k in range(len(target) - 1))]
+            columns = [batch.column("page_id"), *(pa.array([r[k] for r in rows], target.field(k + 1).type) for k in range(len(target) - 1 - len(keep)))]
+            columns += [batch.column(c).cast(target.field(c).type) for c in keep]
             yield pa.RecordBatch.from_arrays(columns, schema=target)
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
     _fields = list(to_arrow_schema(pages.sparkSession.createDataFrame([], schema).schema))
-    return spread(pages.select("page_id", "url", "html")).mapInArrow(run, schema)
+    return spread(pages.select("page_id", "url", "html", *keep)).mapInArrow(run, schema)
+
 
+def page_metadata(pages: DataFrame, given: tuple[str, ...] = ()) -> DataFrame:
+    """Ten fields a page. Those named in ``given`` are columns of ``pages`` already and go along as they are."""
+    read = tuple(f for f in _META_FIELDS if f not in given)
+
+    def one(h: str, u: str):
+        found = metadata(h)
+        return tuple(found[f] for f in read)
 
-def page_metadata(pages: DataFrame) -> DataFrame:
-    return _per_page(pages, ", ".join(["page_id long", *(f"{f} string" for f in _META_FIELDS)]), lambda h, u: tuple(metadata(h).values()))
+    return _per_page(pages, ", ".join(["page_id long", *(f"{f} string" for f in read)]), one, given).select("page_id", *_META_FIELDS)
 
 
 def page_text(pages: DataFrame) -> DataFrame:
