@@ -12,8 +12,8 @@ stratum admits, it takes the one that catches most bad documents for the fewest
 admit none, and the rules stay silent there; :func:`power` tells how many good documents each of them had and what it admits.
 The base rule (very short or repetitive texts) is a fixed one and lies outside the guarantee.
 
-Trials have to be independent: equal texts count once, and texts that the fitting quarter holds too don't count. Both
-quarters are bounded samples of the labelled documents (``sample_rows``, ``holdout_rows``: documented parameters).
+Trials have to be independent: equal texts count once, and texts that the fitting quarter holds too don't count. Every
+labelled document is in one of the two parts, whatever their number.
 
 Edge cases: a null or empty text has no words and fails the base rule; very long texts are measured whole, one at a
 time; labels that are null or belong to no document are ignored, and several for one document count as bad if any does;
@@ -35,7 +35,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import SPACES, arrow_map, core, written
+from webloom.llm.common import SPACES, arrow_map, core, text_digest, written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -164,41 +164,49 @@ def fold():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
 
 
-def lexicon_counts(docs: DataFrame, labels: DataFrame, folds: tuple[int, ...], sample_rows: int, max_terms: int = 50_000) -> DataFrame:
+def lexicon_counts(docs: DataFrame, labels: DataFrame, folds: tuple[int, ...], sample_rows: int | None = None, max_terms: int = 50_000) -> DataFrame:
     """(term, fold, clean, toxic): labelled documents with a term, by quarter; the empty term counts the documents.
 
-    At most ``sample_rows`` labels, evenly from the quarters (the smallest hashes); equal texts count once. Terms are
-    those of at least one in a hundred toxic documents, and of four: ``max_terms`` at most, the most frequent first.
+    All labelled documents count (only where a caller gives ``sample_rows``, that many labels, the smallest hashes); equal texts
+    count once, as the least of their ids. Terms are those of at least one in a hundred toxic documents, and of four:
+    ``max_terms`` at most, the most frequent first.
     """
-    parts = [labels.filter(fold() == f).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows // len(folds)) for f in folds]
-    sample = reduce(DataFrame.unionByName, parts).select("doc_id", (F.col("toxic") > 0).alias("toxic"), fold().cast("int").alias("fold"))
-    rows = core(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic", "fold")
-    rows = written(rows.dropDuplicates(["text"]), "lexicon-texts")
+    wanted = fold().isin(*folds)
+    sample = labels.filter(wanted)
+    if sample_rows is not None:
+        sample = reduce(DataFrame.unionByName, [labels.filter(fold() == f).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows // len(folds)) for f in folds])
+    sample = sample.select("doc_id", (F.col("toxic") > 0).alias("toxic"), fold().cast("int").alias("fold"))
+    texts = core(docs, "doc_id", "text").filter(wanted).withColumn("digest", text_digest())
+    # One row a text, by its digest: texts themselves aren't gathered or written. Rows repeated as a whole share one count.
+    same = texts.select("doc_id", "digest").join(sample, "doc_id").groupBy("digest", "doc_id", "toxic", "fold").agg(F.count(F.lit(1)).alias("copies"))
+    owners = same.groupBy("digest").agg(F.min(F.struct("doc_id", "toxic", "fold", "copies")).alias("x")).select("digest", "x.*")
+    owners = written(owners, "lexicon-owners")
 
     def counted(known: Broadcast | None):
         def run(batch: pa.RecordBatch) -> dict | None:
-            counts: dict[tuple[bytes, int], int] = {}
-            for text, f in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True):
+            counts: dict[tuple[bytes, int, int], int] = {}
+            for text, f, copies in zip(*(batch.column(c).to_pylist() for c in ("text", "fold", "copies")), strict=True):
                 own = set(letter_words(text))
                 own |= stems(own)
                 if known is not None:
                     own &= known.value
                 own.add(b"")
                 for w in own:
-                    counts[w, f] = counts.get((w, f), 0) + 1
-            return {"term": [w.hex() for w, _ in counts], "fold": [f for _, f in counts], "n": list(counts.values())}
+                    counts[w, f, copies] = counts.get((w, f, copies), 0) + 1
+            return {"term": [w.hex() for w, _, _ in counts], "fold": [f for _, f, _ in counts], "copies": [c for _, _, c in counts], "n": list(counts.values())}
 
         return run
 
     def totals(side: DataFrame, known: Broadcast | None, tag: str) -> DataFrame:
-        found = arrow_map(core(side, "text", "fold"), counted(known), "term string, fold int, n long")
-        return written(found.groupBy("term", "fold").agg(F.sum("n").alias("n")), tag)
+        rows = texts.join(side, ["doc_id", "digest"]).select("text", "fold", "copies")
+        found = arrow_map(rows, counted(known), "term string, fold int, copies long, n long").groupBy("term", "fold", "copies").agg(F.sum("n").alias("n"))
+        return written(found.groupBy("term", "fold").agg(F.sum(F.expr("n div copies")).alias("n")), tag)
 
-    toxic = totals(rows.filter("toxic"), None, "lexicon-toxic")
+    toxic = totals(owners.filter("toxic"), None, "lexicon-toxic")
     n_toxic = toxic.filter("term = ''").agg(F.sum("n")).first()[0] or 0
     often = toxic.groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(4, n_toxic // 100)).orderBy(F.desc("n"), "term").limit(max_terms)
     known = docs.sparkSession.sparkContext.broadcast(frozenset(bytes.fromhex(r["term"]) for r in often.collect()))
-    clean = totals(rows.filter("NOT toxic"), known, "lexicon-clean")
+    clean = totals(owners.filter("NOT toxic"), known, "lexicon-clean")
     both = toxic.select("term", "fold", F.lit(0).alias("clean"), F.col("n").alias("toxic")).unionByName(clean.select("term", "fold", F.col("n").alias("clean"), F.lit(0).alias("toxic")))
     return both.join(F.broadcast(often.select("term")), "term", "left_semi")
 
@@ -215,9 +223,9 @@ def telling_terms(counts: DataFrame, folds: tuple[int, ...], max_terms: int = 5_
     return frozenset(bytes.fromhex(r.term) for r in best.orderBy(F.desc("rate"), F.desc("toxic"), "term").limit(max_terms).collect())
 
 
-def toxic_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> frozenset[bytes]:
+def toxic_lexicon(docs: DataFrame, labels: DataFrame) -> frozenset[bytes]:
     """Words, and beginnings of words, of toxic language, fitted on the fitting quarter of the labels."""
-    return telling_terms(lexicon_counts(docs, labels, (0,), sample_rows), (0,))
+    return telling_terms(lexicon_counts(docs, labels, (0,)), (0,))
 
 
 def binom_cdf(k: int, n: int, p: float) -> float:
@@ -304,19 +312,23 @@ def _stratum_columns(languages: tuple[str, ...]) -> tuple:
     return length, F.concat(F.lit("language "), F.when(known, F.col("lang")).otherwise("other"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, alpha: float, delta: float, sample_rows: int = 20_000, holdout_rows: int = 60_000) -> tuple[Rules, dict[str, tuple[int, int, int]]]:
-    """Rules from a bounded sample of labelled documents, and per stratum (levels taken, admitted, good documents).
+def learn(docs: DataFrame, labels: DataFrame, alpha: float, delta: float) -> tuple[Rules, dict[str, tuple[int, int, int]]]:
+    """Rules from all labelled documents, and per stratum (levels taken, admitted, good documents)."""
+    return _learned(docs, labels, alpha, delta)[:2]
 
-    Only counts of a fixed number reach the driver, beside the lexicon.
+
+def _learned(docs: DataFrame, labels: DataFrame, alpha: float, delta: float) -> tuple[Rules, dict[str, tuple[int, int, int]], DataFrame]:
+    """:func:`learn`, and the measures of every row of ``docs`` besides.
+
+    Texts are measured where they lie, and only their measures meet the labels. Only counts of a fixed number reach the
+    driver, beside the lexicon.
     """
     known = clean_labels(labels)
-    lexicon = toxic_lexicon(docs, known, sample_rows)
-    order = F.xxhash64("doc_id")
-    fitted = known.filter(fold() == 0).orderBy(order, "doc_id").limit(sample_rows)
-    held = known.filter(fold() != 0).orderBy(order, "doc_id").limit(holdout_rows)
-    sample = fitted.unionByName(held).select("doc_id", (fold() == 0).alias("fit"), ((F.col("quality") > 0) & (F.col("toxic") == 0)).alias("good"))
-    rows = core(docs, "doc_id", "lang", "text").join(F.broadcast(sample), "doc_id").withColumn("digest", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    each = measures(rows, lexicon, ("lang", "fit", "good", "digest"))
+    lexicon = toxic_lexicon(docs, known)
+    rows = core(docs, "doc_id", "lang", "text").withColumn("digest", text_digest())
+    whole = written(measures(rows, lexicon, ("lang", "digest")), "op1-measures")
+    sample = known.select("doc_id", (fold() == 0).alias("fit"), ((F.col("quality") > 0) & (F.col("toxic") == 0)).alias("good"))
+    each = whole.join(sample, "doc_id")
     # One row a text; a text of the fitting quarter is none of the holdout.
     own = [F.first(c).alias(c) for c in ("n_words", "n_repeat_words", *RULES)]
     measured = each.groupBy("digest").agg(F.min("lang").alias("lang"), F.max("fit").alias("fit"), F.min("good").alias("good"), *own)
@@ -332,7 +344,7 @@ def learn(docs: DataFrame, labels: DataFrame, alpha: float, delta: float, sample
     by_stratum = F.explode(F.array(*_stratum_columns(languages))).alias("stratum")
     found = measured.filter("NOT fit").select("good", level, by_stratum).groupBy("stratum", "level", "good").count().collect()
     chosen = choose_levels({(r["stratum"], r["level"], r["good"]): r["count"] for r in found}, strata(languages), alpha, delta)
-    return Rules(lexicon, path, languages, {s: taken for s, (taken, _, _) in chosen.items()}), chosen
+    return Rules(lexicon, path, languages, {s: taken for s, (taken, _, _) in chosen.items()}), chosen, whole
 
 
 def power(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> dict[str, tuple[int, int, int]]:
@@ -346,8 +358,8 @@ def base_failed():
 
 def apply_quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """Per document row: base counts, ``base_failed``, badness ratios, the rule that rejected it, and ``kept``."""
-    rules, _ = learn(docs, labels, alpha, delta)
-    measured = measures(core(docs, "doc_id", "lang", "text"), rules.lexicon, ("lang",)).withColumn("base_failed", base_failed())
+    rules, _, whole = _learned(docs, labels, alpha, delta)
+    measured = whole.drop("digest").withColumn("base_failed", base_failed())
     admitted = F.create_map(*(x for s, n in rules.levels.items() for x in (F.lit(s), F.lit(n))))
     length, language = _stratum_columns(rules.languages)
     measured = measured.withColumn("levels", F.least(admitted[length], admitted[language]))
