@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from webloom.llm import quality_rules
+from webloom.llm import quality_rules, weak_quality
 
 from .conftest import make
 
@@ -34,3 +34,16 @@ def test_terms_count_each_text_once(spark):
     counts = found(rows, labels)
     assert counts and found(more, more_labels) == counts
     assert sum(c + t for term, _, c, t in counts if term == "") == 30
+
+
+def test_no_bound_on_good_documents(spark, monkeypatch):
+    """op10's cut-offs and lexicons see every labelled document."""
+    rows, labels = corpus(spark)
+    limited, limit = [], type(labels).limit
+    monkeypatch.setattr(type(labels), "limit", lambda self, n: (limited.append(self.columns), limit(self, n))[1])
+    seen = []
+    learned = weak_quality.learned_cutoffs
+    monkeypatch.setattr(weak_quality, "FEWEST", 1)
+    monkeypatch.setattr(weak_quality, "learned_cutoffs", lambda *args: (seen.append(args[2:]), learned(*args))[1])
+    assert weak_quality.classify(make(spark, rows), labels, sample_rows=8).count() == 60
+    assert seen == [()] and limited and not [c for c in limited if "doc_id" in c]

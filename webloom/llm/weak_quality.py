@@ -163,8 +163,8 @@ def train(rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray, epochs
     return w, bias
 
 
-def lexicons(docs: DataFrame, labels: DataFrame, sample_rows: int = 40_000) -> list[frozenset[bytes]]:
-    """By quarter of the documents: the toxic terms of the labels of the other three."""
+def lexicons(docs: DataFrame, labels: DataFrame, sample_rows: int | None = None) -> list[frozenset[bytes]]:
+    """By quarter of the documents: the toxic terms of the labels of the other three; of all of them, where no ``sample_rows`` is given."""
     counts = lexicon_counts(docs, labels, (0, 1, 2, 3), sample_rows)
     return [telling_terms(counts, tuple(g for g in range(4) if g != f)) for f in range(4)]
 
@@ -187,11 +187,13 @@ def measures(docs: DataFrame, known: list[frozenset[bytes]]) -> DataFrame:
     return arrow_map(rows, run, "doc_id long, n_words long, vals array<double>, bins binary")
 
 
-def learned_cutoffs(measured: DataFrame, labels: DataFrame, sample_rows: int) -> dict[str, tuple]:
-    """MEASURES with the cut-offs that the good documents of the fitting quarter show (at most ``sample_rows`` labels)."""
-    fit = labels.filter((fold() == 0) & (F.col("quality") > 0) & (F.col("toxic") == 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("doc_id")
+def learned_cutoffs(measured: DataFrame, labels: DataFrame, sample_rows: int | None = None) -> dict[str, tuple]:
+    """MEASURES with the cut-offs that the good documents of the fitting quarter show: all of them, where no ``sample_rows`` is given."""
+    fit = labels.filter((fold() == 0) & (F.col("quality") > 0) & (F.col("toxic") == 0)).select("doc_id")
+    if sample_rows is not None:
+        fit = fit.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     shares = [OUTSIDE, UNSURE, 1 - UNSURE, 1 - OUTSIDE]
-    rows = measured.join(F.broadcast(fit), "doc_id").filter("n_words > 0")
+    rows = measured.select("doc_id", "n_words", "vals").join(fit, "doc_id").filter("n_words > 0")
     found = rows.agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(F.col("vals")[k], shares, 10_000).alias(f"q{k}") for k in range(len(MEASURES)))).first()
     if not found or found["n"] < FEWEST:
         return dict(MEASURES)
@@ -281,7 +283,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     text), kept (quality at least 0.5 and toxicity below 0.5)."""
     known = clean_labels(labels)
     measured = written(measures(docs, lexicons(docs, known)).withColumn("rid", F.monotonically_increasing_id()), "op10-measures")
-    voted = written(weak_labels(measured, known, learned_cutoffs(measured, known, sample_rows)), "op10-voted")
+    voted = written(weak_labels(measured, known, learned_cutoffs(measured, known)), "op10-voted")
     models, _ = fit(measured, voted, sample_rows)
     weights = np.stack([models["junk"][0], models["toxic"][0]], axis=1).astype(np.float32)
     bias = np.array([models["junk"][1], models["toxic"][1]])
