@@ -47,3 +47,13 @@ def test_no_bound_on_good_documents(spark, monkeypatch):
     monkeypatch.setattr(weak_quality, "learned_cutoffs", lambda *args: (seen.append(args[2:]), learned(*args))[1])
     assert weak_quality.classify(make(spark, rows), labels, sample_rows=8).count() == 60
     assert seen == [()] and limited and not [c for c in limited if "doc_id" in c]
+
+
+def test_no_bound_in_the_first_stage(spark, monkeypatch):
+    """The pipeline's filter learns from every labelled document, and keeps what op1 keeps."""
+    rows, labels = corpus(spark)
+    limited, limit = [], type(labels).limit
+    monkeypatch.setattr(type(labels), "limit", lambda self, n: (limited.append(self.columns), limit(self, n))[1])
+    kept = {r["doc_id"] for r in quality_rules.filter_by_quality(make(spark, rows), labels).collect()}
+    assert limited and not [c for c in limited if "doc_id" in c]
+    assert kept == {r["doc_id"] for r in quality_rules.apply_quality_rules(make(spark, rows), labels).filter("kept").collect()}
