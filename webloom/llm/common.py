@@ -110,6 +110,23 @@ def ranked(df: DataFrame, group: list[str], order: list[str], out: str, buckets:
     return d.join(offsets, keys).withColumn(out, (F.col("_off") + inside - 1).cast("long")).drop("_bucket", "_off")
 
 
+#: Bits of the filter of :func:`likely`: two mebibytes, whatever the number of keys.
+FILTER_BITS = 1 << 24
+
+
+def likely(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is one of ``keys``, and a few others: a filter in front of a join, so that wide rows that match
+    nothing never travel. It is a bitmap of hashes of fixed size, which is broadcast; with very many keys it lets more pass,
+    and the join behind it decides.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
+    bits = keys.select(bit.alias("_bit")).distinct().withColumn("_block", F.bitmap_bucket_number("_bit")).repartition("_block")
+    bitmap = bits.groupBy("_block").agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_bits"))
+    found = rows.withColumns({"_block": F.bitmap_bucket_number(bit), "_at": F.bitmap_bit_position(bit)}).join(F.broadcast(bitmap), "_block")
+    byte = "CAST(conv(hex(substring(_bits, CAST(_at DIV 8 AS INT) + 1, 1)), 16, 10) AS INT)"
+    return found.filter(F.expr(f"{byte} & shiftleft(1, CAST(_at % 8 AS INT)) > 0")).select(*(F.col(f"`{c}`") for c in rows.columns))
+
+
 def word_count(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in a text; null counts 0. JVM-side."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

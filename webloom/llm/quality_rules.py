@@ -31,11 +31,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import SPACES, arrow_map, core, text_digest, written
+from webloom.llm.common import SPACES, arrow_map, core, likely, text_digest, written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -176,39 +175,49 @@ def lexicon_counts(docs: DataFrame, labels: DataFrame, folds: tuple[int, ...], s
     if sample_rows is not None:
         sample = reduce(DataFrame.unionByName, [labels.filter(fold() == f).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows // len(folds)) for f in folds])
     sample = sample.select("doc_id", (F.col("toxic") > 0).alias("toxic"), fold().cast("int").alias("fold"))
-    texts = core(docs, "doc_id", "text").filter(wanted).withColumn("digest", text_digest())
+    texts = core(docs, "doc_id", "text").filter(wanted)
     # One row a text, by its digest: texts themselves aren't gathered or written. Rows repeated as a whole share one count.
-    same = texts.select("doc_id", "digest").join(sample, "doc_id").groupBy("digest", "doc_id", "toxic", "fold").agg(F.count(F.lit(1)).alias("copies"))
+    same = texts.select("doc_id", text_digest().alias("digest")).join(sample, "doc_id").groupBy("digest", "doc_id", "toxic", "fold").agg(F.count(F.lit(1)).alias("copies"))
     owners = same.groupBy("digest").agg(F.min(F.struct("doc_id", "toxic", "fold", "copies")).alias("x")).select("digest", "x.*")
     owners = written(owners, "lexicon-owners")
 
-    def counted(known: Broadcast | None):
-        def run(batch: pa.RecordBatch) -> dict | None:
-            counts: dict[tuple[bytes, int, int], int] = {}
-            for text, f, copies in zip(*(batch.column(c).to_pylist() for c in ("text", "fold", "copies")), strict=True):
-                own = set(letter_words(text))
-                own |= stems(own)
-                if known is not None:
-                    own &= known.value
-                own.add(b"")
-                for w in own:
-                    counts[w, f, copies] = counts.get((w, f, copies), 0) + 1
-            return {"term": [w.hex() for w, _, _ in counts], "fold": [f for _, f, _ in counts], "copies": [c for _, _, c in counts], "n": list(counts.values())}
-
-        return run
-
-    def totals(side: DataFrame, known: Broadcast | None, tag: str) -> DataFrame:
-        rows = texts.join(side, ["doc_id", "digest"]).select("text", "fold", "copies")
-        found = arrow_map(rows, counted(known), "term string, fold int, copies long, n long").groupBy("term", "fold", "copies").agg(F.sum("n").alias("n"))
-        return written(found.groupBy("term", "fold").agg(F.sum(F.expr("n div copies")).alias("n")), tag)
-
-    toxic = totals(owners.filter("toxic"), None, "lexicon-toxic")
+    def toxic_terms(batch: pa.RecordBatch) -> dict:
+        counts: dict[tuple[bytes, int, int], int] = {}
+        for text, f, copies in zip(*(batch.column(c).to_pylist() for c in ("text", "fold", "copies")), strict=True):
+            own = set(letter_words(text))
+            for w in own | stems(own) | {b""}:  # the empty term counts the documents
+                counts[w, f, copies] = counts.get((w, f, copies), 0) + 1
+        return {"term": [w.hex() for w, _, _ in counts], "fold": [f for _, f, _ in counts], "copies": [c for _, _, c in counts], "n": list(counts.values())}
+
+    def totals(found: DataFrame, tag: str) -> DataFrame:
+        rows = found.groupBy("term", "fold", "copies").agg(F.sum("n").alias("n"))
+        return written(rows.groupBy("term", "fold").agg(F.sum(F.expr("n div copies")).alias("n")), tag)
+
+    side = owners.filter("toxic")
+    rows = likely(texts, side, "doc_id").withColumn("digest", text_digest()).join(side, ["doc_id", "digest"]).select("text", "fold", "copies")
+    toxic = totals(arrow_map(rows, toxic_terms, "term string, fold int, copies long, n long"), "lexicon-toxic")
     n_toxic = toxic.filter("term = ''").agg(F.sum("n")).first()[0] or 0
     often = toxic.groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(4, n_toxic // 100)).orderBy(F.desc("n"), "term").limit(max_terms)
-    known = docs.sparkSession.sparkContext.broadcast(frozenset(bytes.fromhex(r["term"]) for r in often.collect()))
-    clean = totals(owners.filter("NOT toxic"), known, "lexicon-clean")
+    spark = docs.sparkSession
+    numbers = {r["term"]: k for k, r in enumerate(often.collect())}
+    numbered = spark.createDataFrame([(k, term) for term, k in numbers.items()], "k int, term string")
+    known = spark.sparkContext.broadcast({bytes.fromhex(term): k for term, k in numbers.items()})
+
+    def known_terms(batch: pa.RecordBatch) -> dict:
+        number = known.value
+        terms = []
+        for text in batch.column("text").to_pylist():
+            own = set(letter_words(text))
+            terms.append([number[w] for w in own | stems(own) | {b""} if w in number])
+        return {"doc_id": batch.column("doc_id"), "digest": batch.column("digest"), "terms": terms}
+
+    # The numbers of a text's terms travel to the labels, not the text.
+    side = owners.filter("NOT toxic")
+    rows = arrow_map(likely(texts, side, "doc_id").withColumn("digest", text_digest()), known_terms, "doc_id long, digest string, terms array<int>")
+    found = rows.join(side, ["doc_id", "digest"]).select(F.explode("terms").alias("k"), "fold", "copies").groupBy("k", "fold", "copies").agg(F.count(F.lit(1)).alias("n"))
+    clean = totals(found.join(F.broadcast(numbered), "k"), "lexicon-clean")
     both = toxic.select("term", "fold", F.lit(0).alias("clean"), F.col("n").alias("toxic")).unionByName(clean.select("term", "fold", F.col("n").alias("clean"), F.lit(0).alias("toxic")))
-    return both.join(F.broadcast(often.select("term")), "term", "left_semi")
+    return both.join(F.broadcast(numbered.select("term")), "term", "left_semi")
 
 
 def telling_terms(counts: DataFrame, folds: tuple[int, ...], max_terms: int = 5_000) -> frozenset[bytes]:
